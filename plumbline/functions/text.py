@@ -77,7 +77,7 @@ def parse_pairs(c: Column, keep_bare: bool = False) -> Column:
         return F.struct(field.alias("field"), value.alias("value"))
 
     if keep_bare:
-        kept = F.filter(F.transform(parts, strip), lambda p: p != "")
+        kept = F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p != "")
     else:
         kept = F.filter(parts, lambda p: p.contains("="))
     return F.transform(kept, pair)
@@ -121,7 +121,7 @@ def pack_cols(names: Sequence[str]) -> str:
 def combo_text(acted: Column, consulted: Column) -> Column:
     """One display text per combination: acted-upon parts, then consulted ones, duplicates dropped."""
     def parts(c: Column) -> Column:
-        return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), strip), lambda p: p != "")
+        return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda p: strip(p)), lambda p: p != "")
 
     joined = F.array_join(F.array_distinct(F.concat(parts(acted), parts(consulted))), " · ")
     return F.when(joined == "", F.lit("N/A")).otherwise(joined)
@@ -135,7 +135,7 @@ def test_kind(test_id: Column) -> Column:
 
 def parse_ie(c: Column) -> Column:
     """Comma list of information elements, trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: strip(p)), lambda p: p != "")
 
 
 def case_change(old: Column, new: Column) -> Column:
@@ -152,7 +152,7 @@ def change_text(result: Column, acted: Column) -> Column:
     """``field amended from a → b`` per pair, joined by ``; ``; a field without an original shows
     ``field → b`` and a part that is no pair is shown as it is."""
     originals = parse_pairs(acted, keep_bare=True)
-    parts = F.filter(F.transform(F.split(F.coalesce(result, F.lit("")), r"\|"), strip), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(result, F.lit("")), r"\|"), lambda p: strip(p)), lambda p: p != "")
 
     def one(p: Column) -> Column:
         at = F.instr(p, "=")

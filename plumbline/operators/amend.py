@@ -195,7 +195,7 @@ def change_log(results: DataFrame) -> DataFrame:
     fix = actionable(results)
     acted = parse_pairs(F.col("actedUpon"), keep_bare=True)
     rows = fix.select("test_id", "status", "actedUpon", "consulted", F.col("count").cast("bigint").alias("count"),
-                      acted.alias("acted"), F.explode(_pairs(results)).alias("pair"))
+                      F.explode(_pairs(results)).alias("pair")).withColumn("acted", acted)
     before = F.try_element_at(F.filter("acted", lambda a: a["field"] == F.col("pair.field")), F.lit(1))["value"]
     out = rows.select("test_id", "status", "actedUpon", "consulted", "count", F.col("pair.field").alias("field"),
                       before.alias("before"), F.col("pair.value").alias("after"))

@@ -102,9 +102,9 @@ def fixes_for_combos(results: DataFrame, seq: str | None = None) -> DataFrame:
     look = amendment_lookup(results, seq)
     writes = F.transform(parse_pairs(F.col("result"), keep_bare=True), lambda p: p["field"])
     fixes = look.select(
-        "test_id", "result", "actedUpon", "count", writes.alias("writes"),
+        "test_id", "result", "actedUpon", "count",
         F.explode(F.array_distinct(parse_pairs(F.col("actedUpon"), keep_bare=True))).alias("pair"),
-    ).filter(F.array_contains("writes", F.col("pair.field"))).select(
+    ).withColumn("writes", writes).filter(F.array_contains("writes", F.col("pair.field"))).select(
         F.col("pair.field").alias("field"), F.col("pair.value").alias("value"), "test_id", "result", "actedUpon", "count")
     return bad.join(fixes, ["field", "value"]).select(
         "validation_id", "field", "value", "flagged", "test_id", "result", "actedUpon", "count")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import names as N
 from plumbline.rules.base import response
 from plumbline.rules.registry import Inputs
+from plumbline.session import ship_package
 
 _ANSWER = "status string, result string, comment string"
 
@@ -34,6 +35,7 @@ def pandas_rule(fn: Callable[..., tuple[str, str, str]], columns: Sequence[str])
         return pd.DataFrame(rows, columns=["status", "result", "comment"], dtype="object")
 
     def bound(v: Inputs) -> Column:
+        ship_package(SparkSession.active())
         answer = run(F.struct(*[v[name].alias(f"v{i}") for i, name in enumerate(columns)]))
         return response(answer["status"], answer["result"], answer["comment"])
 

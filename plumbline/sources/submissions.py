@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import NA_TOKENS
 from plumbline.names import CORE_PREFIX
+from plumbline.session import ship_package
 from plumbline.sources.delimited import clean_names, sniff_delimiter, unique_names
 
 # Layout of a submission message.
@@ -89,6 +90,8 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
     Tables with different headers stay in one DataFrame. A message is bounded by the mail size limit, so
     one task parses it whole; messages are spread over tasks by Spark.
     """
+    ship_package(messages.sparkSession)
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text in zip(batch["id"], batch["content"]):

@@ -90,6 +90,8 @@ OCC_RULES.add(DWC["VALIDATION_EVENTDATE_INRANGE"].with_params(latestValidDate=LA
 OCC_RULES.rule("AMENDMENT_TAXONRANK_STANDARDIZED", "Amendment", acted=["dwc:taxonRank"], ie_class="dwc:Taxon",
                usecases=("Taxon-Management",), description="Propose the long flag.")(
     B.standardize("dwc:taxonRank", lambda v: B.lookup_literal(v["dwc:taxonRank"], FLAGS), lambda v: v["dwc:taxonRank"] == "N"))
+OCC_RULES.rule("VALIDATION_TAXONRANK_STANDARD", acted=["dwc:taxonRank"], ie_class="dwc:Taxon", usecases=("Taxon-Management",),
+               description="Is the flag listed?")(B.in_vocabulary("dwc:taxonRank", ["N"]))
 OCC_RULES.rule("AMENDMENT_COUNTRYCODE_FROM_COUNTRY", "Amendment", acted=["dwc:countryCode"], consulted=["dwc:country"],
                ie_class="dcterms:Location", usecases=("Spatial-Temporal_Patterns",), description="Fill the code from the country.")(
     B.fill_from({"dwc:countryCode": lambda v: F.concat(F.lit("X"), F.substring_index(v["dwc:country"], "_", -1))}, ["dwc:country"]))
@@ -107,7 +109,7 @@ NO_CONTEXT = "ISSUE_EVENTDATE_YEARSTART"
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of the seven tests; one pass over the join, since producing its rows is the dear part."""
+    """Result rows of the eight tests; one pass over the join, since producing its rows is the dear part."""
     return run_tests(occ(spark, sf_dir), OCC_RULES, single_pass=True).results
 
 
@@ -166,6 +168,9 @@ RESULTS_SQL = OCC_SQL + ",\nresults AS (\n" + "\nUNION ALL ".join([
     result_sql("AMENDMENT_TAXONRANK_STANDARDIZED", f"CASE WHEN {_FLAG} THEN 'AMENDED' ELSE 'NOT_AMENDED' END",
                f"CASE WHEN {_FLAG} THEN 'dwc:taxonRank=' || {_LONG} ELSE '' END",
                when_sql(_FLAG, "dwc:taxonRank standardised.", "dwc:taxonRank already has a standard value.")),
+    result_sql("VALIDATION_TAXONRANK_STANDARD", HAS, verdict_sql("\"dwc:taxonRank\" = 'N'"),
+               "CASE WHEN \"dwc:taxonRank\" = 'N' THEN 'dwc:taxonRank is a listed term.' "
+               "ELSE 'dwc:taxonRank [' || \"dwc:taxonRank\" || '] is not a listed term.' END"),
     result_sql("AMENDMENT_COUNTRYCODE_FROM_COUNTRY",
                f"CASE WHEN {_FILL} THEN 'FILLED_IN' ELSE 'INTERNAL_PREREQUISITES_NOT_MET' END",
                f"CASE WHEN {_FILL} THEN 'dwc:countryCode=X' || split_part(\"dwc:country\", '_', 2) ELSE '' END",

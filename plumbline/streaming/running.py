@@ -35,3 +35,18 @@ def stream_combos(stream: DataFrame, cols: Sequence[str], at: str | None = None,
     keyed = stream.select(col(at), *[read(c).alias(c) for c in cols])
     return keyed.groupBy(F.window(col(at), window or "1 hour").alias("window"), *[col(c) for c in cols]).agg(
         F.count(F.lit(1)).alias("count"))
+
+
+def store_counts(stream: DataFrame, cols: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Keep running counts up to date below ``out``: each micro-batch writes the combinations it changed to its
+    own folder, so a repeated batch replaces itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return stream_combos(stream, cols).writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(stored: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The newest count of every combination in what :func:`store_counts` wrote."""
+    return stored.groupBy(*[col(c) for c in cols]).agg(F.max_by("count", "batch").alias("count"))

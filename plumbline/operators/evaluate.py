@@ -15,7 +15,7 @@ from plumbline.operators.catalogue import applicable_rules
 from plumbline.operators.combos import distinct_key_sets, unique_combos, unique_combos_all
 from plumbline.operators.lookups import MissingReference, References, attach_answers
 from plumbline.rules.base import unmet
-from plumbline.rules.registry import Rule, Source, bind, columns_source, map_source
+from plumbline.rules.registry import Rule, Source, bind, column_source, columns_source, map_source
 
 RESULT_SCHEMA = (
     "test_id string, test_type string, status string, result string, comment string, actedUpon string, "
@@ -129,7 +129,7 @@ def run_tests(df: DataFrame, rules: Iterable[Rule], refs: References | None = No
 def _evaluate_single_pass(df: DataFrame, rules: Sequence[Rule], carry: Sequence[str]) -> DataFrame:
     sets = distinct_key_sets([r.columns for r in rules])
     combos = unique_combos_all(df, sets, carry)
-    source = columns_source(combos)
+    source = column_source()  # within its own set a column is never null
     members = {frozenset(s): i for i, s in enumerate(sets)}
     per_set: dict[int, list[Column]] = {}
     for r in rules:

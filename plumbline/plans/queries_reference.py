@@ -233,7 +233,7 @@ def _(spark, d):
     return _points(spark, d).groupBy(grid_key(F.col("lat"), F.col("lon")).alias("cell")).agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("shape_boundaries", """SELECT n_nationkey AS poly_id, p AS part, n_name AS iso_a2, n_nationkey + 10.0 * p AS min_lon, n_nationkey + 10.0 * p + 2 AS max_lon, 1.5 AS min_lat, 3.0 AS max_lat, 4 AS points
+@query("shape_boundaries", """SELECT n_nationkey AS poly_id, p AS part, n_name AS iso_a2, CAST(n_nationkey + 10 * p AS DOUBLE) AS min_lon, CAST(n_nationkey + 10 * p + 2 AS DOUBLE) AS max_lon, CAST(1.5 AS DOUBLE) AS min_lat, CAST(3 AS DOUBLE) AS max_lat, 4 AS points
 FROM nation JOIN (SELECT unnest([0, 1]) AS p) ON p = 0 OR n_nationkey % 2 = 0 WHERE n_nationkey % 5 <> 4""")
 def _(spark, d):
     n, k = table(spark, d, "nation"), F.col("n_nationkey")
@@ -284,7 +284,7 @@ def _(spark, d):
     return reference.resolve_refresh(table(spark, d, "nation").select(F.col("n_name").alias("name")), asked)
 
 
-@query("shape_iso", "SELECT 'c' || c_custkey AS alpha2, NULL AS alpha3, CAST(c_nationkey AS VARCHAR) AS numeric, c_name AS name, NULL AS region, c_mktsegment AS sub_region FROM customer")
+@query("shape_iso", "SELECT 'c' || c_custkey AS alpha2, CAST(NULL AS VARCHAR) AS alpha3, CAST(c_nationkey AS VARCHAR) AS numeric, c_name AS name, CAST(NULL AS VARCHAR) AS region, c_mktsegment AS sub_region FROM customer")
 def _(spark, d):
     c = table(spark, d, "customer")
     return reference.shape_iso(c.select(F.concat(F.lit("c"), "c_custkey").alias("alpha-2"), F.col("c_nationkey").alias("country-code"),

@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import key_text
 from plumbline.names import col
@@ -79,15 +80,38 @@ def answer_column(name: str) -> str:
     return f"__answer_{name}"
 
 
+def _remembered(read: Source) -> Source:
+    """The same Column object for the same name; building one costs a round trip to the JVM per node."""
+    seen: dict[str, Column] = {}
+
+    def source(name: str) -> Column:
+        if name not in seen:
+            seen[name] = read(name)
+        return seen[name]
+
+    return source
+
+
 def columns_source(df: DataFrame) -> Source:
     """Inputs are the columns of ``df``, with blanks as ``''``."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return lambda name: key_text(col(name), types[name])
+    fields = {f.name: f for f in df.schema.fields}
+
+    def read(name: str) -> Column:
+        f = fields[name]
+        clean = isinstance(f.dataType, T.StringType) and not f.nullable
+        return col(name) if clean else key_text(col(name), f.dataType)
+
+    return _remembered(read)
+
+
+def column_source() -> Source:
+    """Inputs are columns that are known to hold non-null text."""
+    return _remembered(col)
 
 
 def map_source(values: Column) -> Source:
     """Inputs are the entries of a map column; an absent entry is blank."""
-    return lambda name: F.coalesce(values[name], F.lit(""))
+    return _remembered(lambda name: F.coalesce(values[name], F.lit("")))
 
 
 def bind(r: Rule, source: Source, param_map: Column | None = None) -> Column:

@@ -24,13 +24,19 @@ SUBMISSION_DDL = (
     "attachments array<struct<filename:string,mimeType:string,size:bigint,contentBase64:string>>"
 )
 CORRUPT = "_corrupt_record"
-SUBMISSION_SCHEMA = T.StructType.fromDDL(SUBMISSION_DDL + f", {CORRUPT} string")
+
+
+def parse_messages(files: DataFrame) -> DataFrame:
+    """Whole JSON texts (column ``value``) to message columns; a text that is no JSON is kept in
+    ``_corrupt_record``."""
+    parsed = F.from_json("value", SUBMISSION_DDL).alias("m")
+    broken = F.when(F.get_json_object("value", "$").isNull(), F.col("value")).alias(CORRUPT)
+    return files.select(parsed, broken).select("m.*", CORRUPT)
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file; a file that is no JSON keeps its text in ``_corrupt_record``."""
-    return spark.read.schema(SUBMISSION_SCHEMA).option("multiLine", True).option(
-        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    """One row per message file."""
+    return parse_messages(spark.read.option("wholetext", True).text(path))
 
 
 def split_corrupt(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +45,10 @@ def split_corrupt(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return submissions.filter(~bad).drop(CORRUPT), submissions.filter(bad).select(CORRUPT)
 
 
+# Rows handed back to Spark at a time.
+OUTPUT_ROWS = 5000
+
+
 def is_table(a: Column) -> Column:
     """Whether an attachment looks like delimited text, by name or type."""
     name, mime = F.lower(F.coalesce(a["filename"], F.lit(""))), F.lower(F.coalesce(a["mimeType"], F.lit("")))
@@ -93,11 +103,24 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
     ship_package(messages.sparkSession)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, lines, values = [], [], []
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame({"id": ids.copy(), "line": lines.copy(), "values": values.copy()})
+            for part in (ids, lines, values):
+                part.clear()
+            return out
+
         for batch in batches:
             for key, text in zip(batch["id"], batch["content"]):
-                rows = list(_table_rows(text))
-                if rows:
-                    yield pd.DataFrame({"id": key, "line": [r[0] for r in rows], "values": [r[1] for r in rows]})
+                for line, cells in _table_rows(text):
+                    ids.append(key)
+                    lines.append(line)
+                    values.append(cells)
+                    if len(ids) >= OUTPUT_ROWS:
+                        yield frame()
+        if ids:
+            yield frame()
 
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", T.LongType()),
                            T.StructField("values", T.MapType(T.StringType(), T.StringType()))])

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.functions.text import blank
 from plumbline.operators.evaluate import run_map_tests
 from plumbline.rules.registry import Rule
-from plumbline.sources.submissions import CORRUPT, SUBMISSION_SCHEMA, extract_attachments, submission_rows
+from plumbline.sources.submissions import CORRUPT, extract_attachments, parse_messages, submission_rows
 
 # Messages per poll and time between polls.
 MAX_PER_POLL = 50
@@ -20,10 +20,7 @@ POLL_INTERVAL = "1 minute"
 
 def stream_submissions(spark: SparkSession, path: str, max_files: int = MAX_PER_POLL) -> DataFrame:
     """Message files as a stream, at most ``max_files`` per micro-batch."""
-    return (
-        spark.readStream.schema(SUBMISSION_SCHEMA).option("multiLine", True).option("maxFilesPerTrigger", max_files)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    )
+    return parse_messages(spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(path))
 
 
 def dedupe_submissions(stream: DataFrame, delay: str = "7 days", key: str = "messageId", at: str = "receivedAt") -> DataFrame:

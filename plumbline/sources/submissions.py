@@ -36,7 +36,7 @@ def parse_messages(files: DataFrame) -> DataFrame:
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """One row per message file."""
-    return parse_messages(spark.read.option("wholetext", True).text(path))
+    return parse_messages(spark.read.text(path, wholetext=True))
 
 
 def split_corrupt(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ POLL_INTERVAL = "1 minute"
 
 def stream_submissions(spark: SparkSession, path: str, max_files: int = MAX_PER_POLL) -> DataFrame:
     """Message files as a stream, at most ``max_files`` per micro-batch."""
-    return parse_messages(spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(path))
+    return parse_messages(spark.readStream.option("maxFilesPerTrigger", max_files).text(path, wholetext=True))
 
 
 def dedupe_submissions(stream: DataFrame, delay: str = "7 days", key: str = "messageId", at: str = "receivedAt") -> DataFrame:

@@ -15,7 +15,7 @@ def test_intake_once_only_with_restart(spark, tmp_path):
     inbox.mkdir()
 
     def drop(name, m):
-        (inbox / f"{name}.json").write_text(m if isinstance(m, str) else json.dumps(m))
+        (inbox / f"{name}.json").write_text(m if isinstance(m, str) else json.dumps(m, indent=1))
 
     table = encode("occurrenceID,country,countryCode\n1,France,FR\n2,France,NA\n")
     drop("a", message(1, [attachment("t.csv", "", table)]))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import names as N
+from plumbline.functions.sizing import BROADCAST_LIMIT
 from plumbline.functions.text import case_change, key_text, parse_pairs
 from plumbline.operators.combos import unique_combos
 from plumbline.operators.filters import actionable
@@ -19,6 +20,8 @@ from plumbline.rules.registry import Rule, bind, columns_source
 # 1 / HOT_SHARE combinations per test can do so, which bounds the table that is broadcast for them.
 HOT_SHARE = 0.001
 SALTS = 64
+# Bytes a result row is taken to need beside its texts, when the size of a broadcast is worked out.
+ROW_OVERHEAD = 256
 
 
 def _pairs(results: DataFrame) -> Column:
@@ -39,13 +42,15 @@ def _key(results: DataFrame, name: str) -> Column:
 
 @dataclass(frozen=True)
 class KeySet:
-    """The key columns shared by some tests, the fields those tests write and the rows one test covers."""
+    """The key columns shared by some tests, the fields those tests write, the rows one test covers and the
+    size of what is to be written."""
 
     acted_cols: str
     consulted_cols: str
     keys: tuple[str, ...]
     fields: tuple[str, ...]
     rows: int
+    bytes: int
 
 
 def key_sets(results: DataFrame, columns: Sequence[str]) -> list[KeySet]:
@@ -54,10 +59,11 @@ def key_sets(results: DataFrame, columns: Sequence[str]) -> list[KeySet]:
     hits = F.col("status").isin(*N.ACTIONABLE)
     fields = F.when(hits, F.transform(_pairs(results), lambda p: p["field"]))
     count = F.col("count").cast("bigint") if "count" in results.columns else F.lit(1).cast("bigint")
+    size = F.lit(ROW_OVERHEAD) + sum((2 * F.length(F.coalesce(c, F.lit(""))) for c in ("result", "actedUpon", "consulted")), F.lit(0))
     per_test = results.groupBy("actedUpon_cols", "consulted_cols", "test_id").agg(
-        F.sum(count).alias("rows"), F.collect_set(fields).alias("fields"), F.max(hits).alias("hit"))
+        F.sum(count).alias("rows"), F.sum(F.when(hits, size)).alias("bytes"), F.collect_set(fields).alias("fields"), F.max(hits).alias("hit"))
     found = per_test.filter("hit").groupBy("actedUpon_cols", "consulted_cols").agg(
-        F.max("rows").alias("rows"), 
+        F.max("rows").alias("rows"), F.sum("bytes").alias("bytes"),
         F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("fields"))))).alias("fields"))
     out = []
     for row in found.collect():
@@ -65,7 +71,7 @@ def key_sets(results: DataFrame, columns: Sequence[str]) -> list[KeySet]:
         keys = tuple(dict.fromkeys(c for p in packed for c in p.split("|") if c in columns))
         if keys:
             out.append(KeySet(row["actedUpon_cols"], row["consulted_cols"], keys,
-                              tuple(f for f in row["fields"] if f in columns), int(row["rows"] or 0)))
+                              tuple(f for f in row["fields"] if f in columns), int(row["rows"] or 0), int(row["bytes"])))
     return sorted(out, key=lambda k: (k.acted_cols or "", k.consulted_cols or ""))
 
 
@@ -100,7 +106,8 @@ def _hot_keys(results: DataFrame, s: KeySet, names: Sequence[str]) -> DataFrame:
 def _match(df: DataFrame, results: DataFrame, s: KeySet, index: int, strict: bool) -> DataFrame:
     """Left join of the writes of one key set as ``__w{index}``.
 
-    The counts already tell which combinations are hot. Those few are broadcast together with their
+    Writes whose measured size is within BROADCAST_LIMIT are broadcast: the table is not shuffled. Beyond
+    that the join shuffles, and hot combinations are kept out of it. The counts already tell which combinations are hot. Those few are broadcast together with their
     writes; their rows then carry a salt from the hash of the whole row (the same on every retry), so in
     the join of the remaining combinations they are spread over the tasks instead of meeting in one.
     """
@@ -108,6 +115,8 @@ def _match(df: DataFrame, results: DataFrame, s: KeySet, index: int, strict: boo
     names = [f"__k{i}" for i in range(len(s.keys))]
     writes = _writes(results, s, strict)
     out = df.withColumns({n: key_text(N.col(k), types[k]) for k, n in zip(s.keys, names)})
+    if s.bytes <= BROADCAST_LIMIT:
+        return out.join(F.broadcast(writes.withColumnRenamed("writes", f"__w{index}")), names, "left").drop(*names)
     if s.rows * HOT_SHARE < 1 or "count" not in results.columns:
         return out.join(writes.withColumnRenamed("writes", f"__w{index}"), names, "left").drop(*names)
     hot = _hot_keys(results, s, names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from plumbline.rules import base as B
 from plumbline.rules.adapters import pandas_rule
 from plumbline.rules.dwc import REGISTRY as DWC
 from plumbline.rules.registry import Registry
+from plumbline.session import checkpoint_dir, cut
+from plumbline.sources.sinks import write_run
 
 BOOK = Book()
 query = BOOK.query
@@ -425,7 +429,7 @@ def _part_results(spark, d) -> DataFrame:
 
 @query("apply_amendments", _AMENDED)
 def _(spark, d):
-    return amend.apply_amendments(_part(spark, d), _part_results(spark, d))
+    return amend.apply_amendments(_part(spark, d), cut(_part_results(spark, d)))
 
 
 @query("amend_inline", _AMENDED)
@@ -436,7 +440,10 @@ def _(spark, d):
 @query("amend_occurrences", f"""WITH {I.OCC_SQL} SELECT CASE WHEN {I._FILL} THEN 'X' || split_part("dwc:country", '_', 2) ELSE "dwc:countryCode" END AS code,
   coalesce({I._LONG}, "dwc:taxonRank") AS rank, count(*) AS count FROM occ GROUP BY 1, 2""")
 def _(spark, d):
-    amended = amend.apply_amendments(I.occ(spark, d), I.results(spark, d))
+    paths = write_run(f"{checkpoint_dir(spark)}/amend-{uuid.uuid4().hex}", "r", original=I.occ(spark, d))
+    original = spark.read.parquet(paths["original"])
+    run = evaluate.run_tests(original, I.OCC_RULES.select("AMENDMENT_COUNTRYCODE_FROM_COUNTRY", "AMENDMENT_TAXONRANK_STANDARDIZED"))
+    amended = amend.apply_amendments(original, cut(run.results))
     return amended.groupBy(F.coalesce(N.col("dwc:countryCode"), F.lit("")).alias("code"), N.col("dwc:taxonRank").alias("rank")).agg(
         F.count(F.lit(1)).alias("count"))
 
@@ -445,7 +452,7 @@ def _(spark, d):
 def _(spark, d):
     df = _bucketed(spark, d)
     run = evaluate.run_tests(df, GENERIC.select("AMENDMENT_EVENTTYPE_FROM_BUCKET"))
-    return amend.apply_amendments(df, run.results)
+    return amend.apply_amendments(df, cut(run.results))
 
 
 _METRICS = """WITH a AS (SELECT count(*) FILTER (p_brand <> 'Brand#1') AS b, count(*) FILTER (p_type <> 'ECONOMY') AS t,
@@ -455,7 +462,7 @@ SELECT b + t + s AS updates, b + t + s AS rows_touched, '' AS not_found FROM a""
 
 @query("amend_metrics", _METRICS)
 def _(spark, d):
-    out = amend.amend_metrics(_part(spark, d), _part_results(spark, d))
+    out = amend.amend_metrics(_part(spark, d), cut(_part_results(spark, d)))
     return out.withColumn("not_found", F.array_join("not_found", ","))
 
 

@@ -80,6 +80,9 @@ def extract_attachments(submissions: DataFrame) -> DataFrame:
         {"filename": F.col("__first.filename"), "content": F.col("__first.content")}).drop("__first")
 
 
+_NA = frozenset(NA_TOKENS)
+
+
 def _table_rows(content: str) -> Iterator[tuple[int, dict[str, str]]]:
     text = content.lstrip("﻿")
     head = text.split("\n", 1)[0].rstrip("\r")
@@ -88,17 +91,17 @@ def _table_rows(content: str) -> Iterator[tuple[int, dict[str, str]]]:
     if not header:
         return
     names = [n if n.startswith(CORE_PREFIX) else CORE_PREFIX + n for n in unique_names(clean_names(header))]
-    na = set(NA_TOKENS)
     for i, row in enumerate(r for r in reader if any(cell.strip() for cell in r)):
         cells = [*row, *[""] * (len(names) - len(row))]
-        yield i, {n: ("" if v in na else v) for n, v in zip(names, cells)}
+        yield i, {n: ("" if v in _NA else v) for n, v in zip(names, cells)}
 
 
 def submission_rows(messages: DataFrame, id_column: str = "messageId", content: str = "content") -> DataFrame:
     """(id, line, values): the rows of each message's table as a map from prefixed column to text.
 
     Tables with different headers stay in one DataFrame. A message is bounded by the mail size limit, so
-    one task parses it whole; messages are spread over tasks by Spark.
+    one task parses it whole. Messages are spread over tasks by id first, because parsing costs more than
+    moving them and they tend to arrive packed into few files.
     """
     ship_package(messages.sparkSession)
 
@@ -125,4 +128,4 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", T.LongType()),
                            T.StructField("values", T.MapType(T.StringType(), T.StringType()))])
     chosen = messages.select(F.col(id_column).alias("id"), F.col(content).alias("content")).filter(F.col("content").isNotNull())
-    return chosen.mapInPandas(parse, schema)
+    return chosen.repartition("id").mapInPandas(parse, schema)

@@ -71,12 +71,13 @@ def skewed(spark):
                                     (F.col("id") % 2).cast("string").alias("c"))
 
 
-@pytest.mark.parametrize("share", [0.001, 0.2])
-def test_hot_keys_change_like_any_other(spark, monkeypatch, share):
-    """The path for hot combinations, the plain join and the inline form give the same table."""
+@pytest.mark.parametrize(("share", "limit"), [(0.001, 0), (0.2, 0), (0.0, 0), (0.2, amend.BROADCAST_LIMIT)])
+def test_hot_keys_change_like_any_other(spark, monkeypatch, share, limit):
+    """The path for hot combinations, the plain join, the broadcast and the inline form give the same table."""
     df = skewed(spark)
     stored = run_tests(df, RULES).results
     monkeypatch.setattr(amend, "HOT_SHARE", share)
+    monkeypatch.setattr(amend, "BROADCAST_LIMIT", limit)
     hot = sorted(map(tuple, amend.apply_amendments(df, stored).collect()))
     inline = sorted(map(tuple, amend.amend_inline(df, RULES).collect()))
     assert hot == inline and len(hot) == 3000

@@ -76,13 +76,15 @@ def summary_with_top(results: DataFrame, n_records: int | None = None, n: int =
     """:func:`run_summary` with the four ranked lists as arrays."""
     top = top_results(results, n).groupBy("class").agg(F.array_sort(F.collect_list(
         F.struct("rank", "actedUpon", "consulted", "test_id", "count"))).alias("rows"))
-    lists = top.groupBy(F.lit(1).alias("__one")).agg(F.map_from_entries(F.collect_list(F.struct("class", "rows"))).alias("m"))
+    lists = top.agg(F.map_from_entries(F.collect_list(F.struct("class", "rows"))).alias("m"))
     names = {"issues": "top_issues", "filled_in": "top_filled_in", "amendments": "top_amendments",
              "non_compliant_validations": "top_non_compliant_validations"}
-    joined = run_summary(results, n_records).withColumn("__one", F.lit(1)).join(lists, "__one", "left")
-    return joined.withColumns({out: F.coalesce(F.col("m")[k], F.array().cast(
-        "array<struct<rank:int,actedUpon:string,consulted:string,test_id:string,count:bigint>>")) for k, out in names.items()}
-    ).drop("__one", "m")
+    # One row from each side: put them below each other and fold them into one.
+    totals = run_summary(results, n_records)
+    both = totals.unionByName(lists, allowMissingColumns=True)
+    one = both.agg(*[F.any_value(F.col(c), F.lit(True)).alias(c) for c in both.columns])
+    none = F.array().cast("array<struct<rank:int,actedUpon:string,consulted:string,test_id:string,count:bigint>>")
+    return one.select(*totals.columns, *[F.coalesce(F.col("m")[k], none).alias(out) for k, out in names.items()])
 
 
 def dataset_size(results: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ def plain(v):
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
+    assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
     mine = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     cursor = duck.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
@@ -44,12 +45,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"run_dataset", "read_results", "read_delimited", "stream_combos", "stream_dedupe"}))
-def test_no_cross_joins(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_plans(spark):
     q = entry.queries()
     assert "ReadSchema: struct<l_returnflag:string,l_linestatus:string>" in plan(q["unique_combos"](spark, SF))

@@ -16,7 +16,12 @@ def plan_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast when the estimated size is within ``limit``; else leave the choice to the optimizer."""
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the estimated size is known and within ``limit``."""
     size = plan_bytes(df)
-    return F.broadcast(df) if size is not None and size <= limit else df
+    return size is not None and size <= (BROADCAST_LIMIT if limit is None else limit)
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast for a table that :func:`is_small`; else leave the choice to the optimizer."""
+    return F.broadcast(df) if is_small(df, limit) else df

@@ -14,12 +14,12 @@ from plumbline.functions.sizing import BROADCAST_LIMIT
 from plumbline.functions.text import case_change, key_text, parse_pairs
 from plumbline.operators.combos import unique_combos
 from plumbline.operators.filters import actionable
+from plumbline.operators.skew import left_join_hot
 from plumbline.rules.registry import Rule, bind, columns_source
 
 # A combination that holds more than this share of a test's rows is joined apart from the others. At most
 # 1 / HOT_SHARE combinations per test can do so, which bounds the table that is broadcast for them.
 HOT_SHARE = 0.001
-SALTS = 64
 # Bytes a result row is taken to need beside its texts, when the size of a broadcast is worked out.
 ROW_OVERHEAD = 256
 
@@ -107,9 +107,7 @@ def _match(df: DataFrame, results: DataFrame, s: KeySet, index: int, strict: boo
     """Left join of the writes of one key set as ``__w{index}``.
 
     Writes whose measured size is within BROADCAST_LIMIT are broadcast: the table is not shuffled. Beyond
-    that the join shuffles, and hot combinations are kept out of it. The counts already tell which combinations are hot. Those few are broadcast together with their
-    writes; their rows then carry a salt from the hash of the whole row (the same on every retry), so in
-    the join of the remaining combinations they are spread over the tasks instead of meeting in one.
+    that the join shuffles, and the hot combinations, which the counts already tell, are kept out of it.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = [f"__k{i}" for i in range(len(s.keys))]
@@ -120,15 +118,7 @@ def _match(df: DataFrame, results: DataFrame, s: KeySet, index: int, strict: boo
     if s.rows * HOT_SHARE < 1 or "count" not in results.columns:
         return out.join(writes.withColumnRenamed("writes", f"__w{index}"), names, "left").drop(*names)
     hot = _hot_keys(results, s, names)
-    hot_writes = F.broadcast(hot.join(writes, names, "left").withColumn("__hot", F.lit(True))
-                             .withColumnRenamed("writes", "__hot_writes"))
-    cold_writes = writes.join(F.broadcast(hot), names, "left_anti").withColumn("__salt", F.lit(0))
-    salted = out.join(hot_writes, names, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.lit(1) + F.pmod(F.xxhash64(*[N.col(c) for c in df.columns if not c.startswith("__")]),
-                                                             F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    joined = salted.join(cold_writes, [*names, "__salt"], "left")
-    return joined.withColumn(f"__w{index}", F.coalesce("__hot_writes", "writes")).drop(
-        *names, "__salt", "__hot", "__hot_writes", "writes")
+    return left_join_hot(out, writes.withColumnRenamed("writes", f"__w{index}"), names, hot).drop(*names)
 
 
 def apply_amendments(df: DataFrame, results: DataFrame, strict_blank_mismatch: bool = False) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.sizing import is_small
+from plumbline.operators.skew import hot_keys, left_join_hot
+
 
 METRES_PER_DEGREE = 111_195.0
 
@@ -112,11 +115,16 @@ def point_countries(points: DataFrame, boundaries: DataFrame, lat: str = "lat",
 
 def point_country(df: DataFrame, boundaries: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "iso_a2",
                   **how) -> DataFrame:
-    """Add the country code of each point, null outside every polygon; of several the first polygon counts."""
-    hits = point_hits(df, boundaries, lat, lon, **how).groupBy(
-        F.col(lat).alias("__lat"), F.col(lon).alias("__lon")).agg(F.min_by("iso_a2", "poly_id").alias(out))
-    on = (df[lat].cast("double") == F.col("__lat")) & (df[lon].cast("double") == F.col("__lon"))
-    return df.join(hits, on, "left").drop("__lat", "__lon")
+    """Add the country code of each point, null outside every polygon; of several the first polygon counts.
+
+    Answers go back to the rows by a join that keeps hot locations apart.
+    """
+    keyed = df.withColumn("__lat", df[lat].cast("double")).withColumn("__lon", df[lon].cast("double"))
+    keys = ["__lat", "__lon"]
+    hits = point_hits(keyed, boundaries, *keys, **how).groupBy(*keys).agg(F.min_by("iso_a2", "poly_id").alias(out))
+    if is_small(hits):
+        return keyed.join(F.broadcast(hits), keys, "left").drop(*keys)
+    return left_join_hot(keyed, hits, keys, hot_keys(keyed, keys)).drop(*keys)
 
 
 def point_near(df: DataFrame, boundaries: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", **how) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.coords import number
-from plumbline.functions.sizing import small
+from plumbline.functions.sizing import is_small, small
 from plumbline.functions.text import strip
 from plumbline.operators.geo import point_countries
+from plumbline.operators.skew import hot_keys, left_join_hot
 from plumbline.rules.registry import Rule, Source, answer_column
 
 
@@ -27,9 +28,13 @@ def keyed(table: DataFrame, key: Column, order: str | None = None, name: str = "
 
 
 def with_answer(df: DataFrame, key: Column, table: DataFrame, out: str) -> DataFrame:
-    """Left join of a keyed table; broadcast only when its size is known to be small."""
-    side = small(table.select(F.col("key").alias("__key"), F.col("answer").alias(out)))
-    return df.join(side, key == F.col("__key"), "left").drop("__key")
+    """Left join of a keyed table: broadcast when its size is known to be small, else a shuffle join that
+    keeps the hot keys of ``df`` apart."""
+    side = table.select(F.col("key").alias("__key"), F.col("answer").alias(out))
+    keyed_df = df.withColumn("__key", key)
+    if is_small(side):
+        return keyed_df.join(F.broadcast(side), "__key", "left").drop("__key")
+    return left_join_hot(keyed_df, side, ["__key"], hot_keys(keyed_df, ["__key"])).drop("__key")
 
 
 def collapse(c: Column) -> Column:

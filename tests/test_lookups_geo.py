@@ -3,10 +3,16 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
+
+from pyspark.sql import functions as F
 
 from conftest import BACKBONE, BOUNDARIES
 from plumbline.operators import geo
+from plumbline.functions import sizing
 from plumbline.operators import lookups as L
+from plumbline.operators import skew
 
 
 def inside(x, y, rings):
@@ -117,3 +123,15 @@ def test_taxon_requests(spark, refs):
                                 "request_id int, name string, q string, rank string, dataset_key string, max_rows string")
     got = sorted((r["request_id"], r["rank_no"], r["found_name"]) for r in L.taxon_query(req, refs.backbone).collect())
     assert got == [(1, 1, "Ursus americanus"), (1, 2, "Ursus arctos"), (2, 1, "Ursus"), (4, 1, "Ursus americanus")]
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10**6])
+def test_large_tables_with_hot_keys(spark, refs, monkeypatch, hot_rows):
+    """Without a broadcast, and with and without hot keys, every row keeps its answer."""
+    name = F.when(F.col("id") % 3 > 0, "Ursus arctos").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("n"), "id"))
+    df = spark.range(60).select("id", name.alias("n"), F.when(F.col("id") % 3 > 0, 48.0).otherwise(F.col("id").cast("double")).alias("lat"), F.lit(2.0).alias("lon"))
+    expected = [sorted(map(str, L.taxon_exact(df, "n", refs.backbone).collect())), sorted(map(str, geo.point_country(df, refs.boundaries).collect()))]
+    monkeypatch.setattr(sizing, "BROADCAST_LIMIT", -1)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    again = [sorted(map(str, L.taxon_exact(df, "n", refs.backbone).collect())), sorted(map(str, geo.point_country(df, refs.boundaries).collect()))]
+    assert again == expected and len(expected[0]) == 60 and sum("FR" in r for r in expected[1]) >= 40

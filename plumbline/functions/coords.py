@@ -38,7 +38,8 @@ def dms_to_decimal(c: Column, places: int = 3) -> Column:
 def grid_key(lat: Column, lon: Column, size: float = 0.1) -> Column:
     """Key of the grid cell a point falls into: the cell's lower corner with three decimals."""
     g = F.lit(float(size))
-    return F.format_string("%.3f:%.3f", F.floor(lat / g) * g, F.floor(lon / g) * g)
+    key = F.format_string("%.3f:%.3f", F.floor(lat / g) * g, F.floor(lon / g) * g)
+    return F.when(lat.isNotNull() & lon.isNotNull(), key)
 
 
 def metres(c: Column) -> Column:
@@ -52,5 +53,5 @@ def metres(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Text of a double without exponent or trailing zeros (``3.048``, ``12``)."""
-    text = F.format_string("%.7f", c)
-    return F.regexp_replace(text, r"\.?0+$", "")
+    text = F.format_string("%.7f", c)  # gives the text "null" for a null
+    return F.when(c.isNotNull(), F.regexp_replace(text, r"\.?0+$", ""))

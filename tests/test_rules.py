@@ -86,6 +86,9 @@ CASES = [
      ("FILLED_IN", "dwc:minimumDepthInMeters=10|dwc:maximumDepthInMeters=20")),
     ("AMENDMENT_COORDINATES_DECIMAL", {"decimalLatitude": "40°26'46\"N", "decimalLongitude": "79°58'56\"W"},
      ("AMENDED", "dwc:decimalLatitude=40.446|dwc:decimalLongitude=-79.982")),
+    ("AMENDMENT_COORDINATES_DECIMAL", {"decimalLatitude": "40.4", "decimalLongitude": "79°58'56\"W"}, SAME),
+    ("AMENDMENT_MINDEPTHMAXDEPTH_FROM_VERBATIM", {"verbatimDepth": "deep"}, SAME),
+    ("AMENDMENT_COORDINATES_FROM_VERBATIM", {"verbatimLatitude": "north", "verbatimLongitude": "1", "verbatimSRS": "x"}, SAME),
     ("AMENDMENT_COORDINATES_FROM_VERBATIM",
      {"verbatimLatitude": "-41.0526", "verbatimLongitude": "-71.5311", "verbatimSRS": "EPSG:4326"},
      ("FILLED_IN", "dwc:decimalLatitude=-41.0526|dwc:decimalLongitude=-71.5311|dwc:geodeticDatum=EPSG:4326")),

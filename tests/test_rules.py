@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluate import evaluate, evaluate_requests, run_tests
@@ -209,9 +208,10 @@ def test_user_rule_in_batches(spark):
     assert out["a=boom|b=y"][0] == "INTERNAL_PREREQUISITES_NOT_MET" and "no good" in out["a=boom|b=y"][3]
 
 
-@pytest.mark.parametrize("single_pass", [False, True])
-def test_modes_agree(occurrences, refs, single_pass):
+def test_modes_agree(occurrences, refs):
+    rules = REGISTRY.select("VALIDATION_COUNTRY_NOTEMPTY", "VALIDATION_COUNTRY_FOUND", "VALIDATION_DECIMALLATITUDE_INRANGE",
+                            "AMENDMENT_BASISOFRECORD_STANDARDIZED", "VALIDATION_COORDINATES_NOTZERO")
     key = ["test_id", "status", "result", "actedUpon", "consulted", "count"]
-    a = run_tests(occurrences, REGISTRY, refs, single_pass=single_pass).results.select(*key)
-    b = run_tests(occurrences.repartition(3), REGISTRY, refs).results.select(*key)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a = run_tests(occurrences, rules, refs, single_pass=True).results.select(*key)
+    b = run_tests(occurrences.repartition(3), rules, refs).results.select(*key)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() > 0

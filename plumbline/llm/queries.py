@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, language_id
+from plumbline.llm import byte_bpe, exact_dedup, language_id, simhash
 from plumbline.plans.inputs import Book, table
 
 BOOK = Book()
@@ -17,6 +17,11 @@ def op1(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@BOOK.query("op6_simhash")
+def op6(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 @BOOK.query("op8_exact_dedup", r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

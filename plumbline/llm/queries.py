@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, language_id, simhash
+from plumbline.llm import byte_bpe, exact_dedup, html_text, language_id, license_scan, simhash
 from plumbline.plans.inputs import Book, table
 
 BOOK = Book()
@@ -17,6 +17,11 @@ def op1(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@BOOK.query("op3_html_text")
+def op3(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @BOOK.query("op6_simhash")
 def op6(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -31,6 +36,11 @@ def op8(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+@BOOK.query("op9_license_scan")
+def op9(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @BOOK.query("op10_language_id")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -3,7 +3,7 @@
 A text is lower-cased, everything but letters becomes a separator, runs of separators become one, and the n-grams of
 one to three characters are hashed into ``BUCKETS``. Training counts them for each language on a bounded sample of
 labelled rows (about ``ROWS_PER_LANG`` whole texts of each language, drawn by a hash of the id); the counts are summed on
-Spark. The matrix of log-probabilities (BUCKETS x languages, bounded by the sample) is broadcast, and numpy scores whole
+Spark. The matrix of log-probabilities (BUCKETS x languages, the ``MAX_LANGS`` commonest at most) is broadcast, and numpy scores whole
 texts in blocks: one gather of matrix rows and one sum per text.
 
 Edge cases: a null text, a text without a letter, and every text when no labelled row exists, is ``und`` with score 0.
@@ -27,6 +27,7 @@ from plumbline.session import ship_package
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ROWS_PER_LANG = 2000
+MAX_LANGS = 500
 SMOOTHING = 0.5
 BLOCK = 1 << 19  # characters scored at once
 UNKNOWN = "und"
@@ -66,14 +67,20 @@ def buckets(text: str) -> np.ndarray:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """Counts of a bounded sample, summed on Spark; only (language, bucket) counts reach the driver."""
+          rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """Counts of a bounded sample, summed on Spark; only (language, bucket) counts reach the driver.
+
+    The ``max_langs`` commonest languages are learned, so what is broadcast has a bound.
+    """
     ship_package(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not sizes:
+        return Model([], np.zeros((BUCKETS, 1), dtype=np.float32), np.empty(0))
+    known = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sizes], f"lang {dict(rows.dtypes)['lang']}, n long")
     drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(sizes, "lang").where(drawn < F.lit(float(rows_per_lang)) / F.col("n")).select("lang", "text")
+    sample = rows.join(F.broadcast(known), "lang").where(drawn < F.lit(float(rows_per_lang)) / F.col("n")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -87,13 +94,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                                              ["lang", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique())
-    prior = {r["lang"]: r["n"] for r in sizes.where(F.col("lang").isin(langs)).collect()} if langs else {}
+    langs, prior = sorted(counted["lang"].unique()), {r["lang"]: r["n"] for r in sizes}
     counts = np.full((BUCKETS, max(1, len(langs))), SMOOTHING)
     for i, lang in enumerate(langs):
         own = counted[counted["lang"] == lang]
         counts[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
-    log_prior = np.log(np.array([prior[lang] for lang in langs], dtype=float) / sum(prior.values())) if langs else np.empty(0)
+    log_prior = np.log(np.array([prior[lang] for lang in langs], dtype=float) / sum(prior[lang] for lang in langs))
     return Model(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32), log_prior)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, html_text, language_id, license_scan, simhash
+from plumbline.llm import ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, simhash
 from plumbline.plans.inputs import Book, table
 
 BOOK = Book()
@@ -27,6 +27,12 @@ def op6(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@BOOK.query("op7_ann_forest")
+def op7(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 @BOOK.query("op8_exact_dedup", r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, simhash
+from plumbline.llm import ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, mixing, pii, simhash
 from plumbline.plans.inputs import Book, table
 
 BOOK = Book()
+KEY = "surrogates of the driver tables"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -22,6 +23,11 @@ def op3(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@BOOK.query("op4_pii_surrogates")
+def op4(spark, sf_dir):
+    return pii.replace(table(spark, sf_dir, "documents"), KEY)
+
+
 @BOOK.query("op6_simhash")
 def op6(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -53,3 +59,58 @@ def op10(spark, sf_dir):
     learn = docs.where(~language_id.held_out(F.col("doc_id")))
     found = language_id.predict(docs, language_id.train(learn))
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+# Target weights of the mixture: domains by name, all languages of a domain alike, all sources of a language alike.
+DOMAINS = 4
+WEIGHTS = {("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0}
+SEED, EPOCHS, SHARE = 17, 4, 0.6
+
+
+def source_tree():
+    """Domain (a hash of the source's name stands in for a catalogue of sources), language, source."""
+    domain = F.concat(F.lit("d"), F.crc32(F.col("source").cast("binary")) % DOMAINS)
+    return [domain, F.col("lang"), F.col("source")]
+
+
+def _mixing_sql() -> str:
+    """The mixture in DuckDB: water filling for each level of the tree, then the seeded prefix."""
+    cases = " ".join(f"WHEN '{path[0]}' THEN {w}" for path, w in WEIGHTS.items())
+    keys, levels = ["domain", "lang", "source"], []
+    for i, key in enumerate(keys):
+        own, above = ", ".join(keys[:i + 1]), keys[:i]
+        same = " AND ".join(f"n.{k} IS NOT DISTINCT FROM p.{k}" for k in above) or "TRUE"
+        weight = f"CASE n.domain {cases} ELSE 1.0 END" if i == 0 else "1.0"
+        part = f"PARTITION BY {', '.join(above)}" if above else ""
+        path = " || ',' || ".join(f"coalesce(to_json(n.{k})::VARCHAR, 'null')" for k in keys[:i + 1])
+        levels.append(f"""c{i} AS (SELECT n.*, {weight}::DOUBLE AS w, p.budget, '[' || {path} || ']' AS node
+  FROM (SELECT {own}, sum(supply) * {EPOCHS} AS cap FROM leaves GROUP BY {own} HAVING sum(supply) > 0) n JOIN b{i} p ON {same}),
+r{i} AS (SELECT *, row_number() OVER (o) AS place, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c{i} WINDOW o AS ({part} ORDER BY cap / w, node)),
+s{i} AS (SELECT *, min(CASE WHEN level * w <= cap THEN place END) OVER ({part}) AS first_open FROM r{i}),
+b{i + 1} AS (SELECT {own}, coalesce(least(cap::DOUBLE, max(CASE WHEN place = first_open THEN level END) OVER ({part}) * w), cap::DOUBLE) AS budget FROM s{i})""")
+    ladder = ",\n".join(levels)
+    same = " AND ".join(f"d.{k} IS NOT DISTINCT FROM q.{k}" for k in keys)
+    # DuckDB has no crc32, so the domains of the sources are listed
+    from zlib import crc32
+
+    domains = " ".join(f"WHEN 'src{i}' THEN 'd{crc32(f'src{i}'.encode()) % DOMAINS}'" for i in range(20))
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, CASE source {domains} END AS domain,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply FROM d GROUP BY ALL),
+b0 AS (SELECT least(sum(supply) * {SHARE}::DOUBLE, (sum(supply) * {EPOCHS})::DOUBLE) AS budget FROM leaves),
+{ladder},
+q AS (SELECT l.*, floor(b.budget / supply)::BIGINT AS whole, (floor(b.budget) - floor(b.budget / supply) * supply)::BIGINT AS rest
+      FROM leaves l JOIN b3 b ON {same.replace('d.', 'l.').replace('q.', 'b.')}),
+p AS (SELECT d.*, q.whole, q.rest, ('0x' || substr(md5('{SEED}:' || whole || ':' || doc_id), 1, 15))::BIGINT AS position
+      FROM d JOIN q ON {same}),
+t AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY position) AS upto FROM p)
+SELECT doc_id, domain, lang, source, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies
+FROM t WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0"""
+
+
+@BOOK.query("op5_mixing", _mixing_sql())
+def op5(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), source_tree(), WEIGHTS, SHARE, EPOCHS, SEED)
+    return mixed.select("doc_id", source_tree()[0].alias("domain"), "lang", "source", F.col("__copies").alias("copies"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, mixing, pii, simhash
+from plumbline.llm import ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, mixing, pii, simhash, substring_dedup
 from plumbline.plans.inputs import Book, table
 
 BOOK = Book()
@@ -18,6 +18,11 @@ def op1(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@BOOK.query("op2_substring_dedup")
+def op2(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @BOOK.query("op3_html_text")
 def op3(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))

@@ -6,7 +6,7 @@
    evens it out, and lines at or over a threshold (the smaller of mean and standard deviation) are the content cluster.
    Lines under boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, comments; by element, role or
    class) never join it.
-3. The content region is the smallest element that holds most of the cluster, widened to the article or main element around it.
+3. The content region is the smallest container element that holds most of the cluster, widened to the article or main element around it.
    Short lines inside the region (headings, one-word paragraphs) belong to it as well; cluster lines outside
    stay only if the page has no article or main element.
 
@@ -39,6 +39,7 @@ UNSEEN = frozenset("head script style noscript template iframe object svg math c
 BOILERPLATE = frozenset("nav footer aside form menu dialog search".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "head", "title", "option", "optgroup"}
 MAIN = frozenset(("article", "main"))
+CONTAINERS = MAIN | frozenset(("", "html", "body", "div", "section", "td", "center"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|"
@@ -159,7 +160,7 @@ def main_text(html: str | None) -> str:
         weight[lines[i][2]] += len(lines[i][0])
     for n in range(len(weight) - 1, 0, -1):  # parents have smaller numbers
         weight[page.parents[n]] += weight[n]
-    region = max(n for n in range(len(weight)) if weight[n] >= MOST * weight[0])
+    region = max(n for n in range(len(weight)) if weight[n] >= MOST * weight[0] and page.names[n] in CONTAINERS)
     above = region
     while above > 0 and page.names[above] not in MAIN:
         above = page.parents[above]

@@ -90,7 +90,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 totals[lang] += np.bincount(buckets(text), minlength=BUCKETS)
         for lang, own in totals.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())],
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())],
                                              ["lang", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

@@ -58,8 +58,8 @@ LETTERS = {
 # Kinds in order of precedence, and their patterns.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
-_NAMES = "|".join(n for script in GIVEN.values() for names in script.values() for n in names)
-_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
+_NAMES = "|".join(x for script in GIVEN.values() for names in script.values() for n in names for x in (n, n.upper()))
+_TITLES = "|".join(dict.fromkeys(x for titles in TITLES.values() for t in titles for x in (t, t.upper())))
 PATTERNS = {
     "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -67,8 +67,8 @@ PATTERNS = {
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "phone": r"(?<![\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\p{N})|(?<![\p{N}])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\p{N})",
     "address": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}})",
-    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD}){{0,2}}|(?:{_NAMES}) {_WORD})",
+    "secret": r"(?<![\p{L}\p{N}])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
+    "name": rf"(?=[A-ZА-ЯЁг])(?<!\p{{L}})(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD}){{0,2}}|(?:{_NAMES}) {_WORD})",
 }
 ANY = "|".join(PATTERNS.values())
 PARTS = ["given", "surname"]
@@ -115,7 +115,7 @@ def _given(gender: Column, script: Column, noise: Column, attempt: Column) -> Co
             for g, names in genders.items():
                 out = F.when((script == s) & (gender == g), _pick(names, _number(noise, place))).otherwise(out)
         return out
-    more = [F.when(attempt > 2 * i, F.concat(F.lit("-"), name(i + 1))).otherwise("") for i in range(6)]
+    more = [F.when(attempt > 2 * i + 4, F.concat(F.lit("-"), name(i + 1))).otherwise("") for i in range(6)]
     return F.concat(name(0), *more)
 
 
@@ -216,6 +216,11 @@ def _spelled(text: Column, surrogate: Column, kind: Column) -> Column:
     return F.when(kind.isin(SPELLED), placed).when(upper, F.upper(surrogate)).otherwise(surrogate)
 
 
+def _holds(text: Column) -> Column:
+    """Whether a text holds anything; a text without digit and @ can only hold names, which spares it the other patterns."""
+    return F.coalesce(F.when(text.rlike("[0-9@]"), text.rlike(ANY)).otherwise(text.rlike(PATTERNS["name"])), F.lit(False))
+
+
 def _hits(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
@@ -224,7 +229,7 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     """``id_col, text, n_entities, kinds`` of every row; ``kinds`` lists the kinds found, sorted and joined by commas."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     tag = F.xxhash64("text").alias("tag")
-    held = cut(rows.where(F.col("text").rlike(ANY)).select("id", tag, F.explode(F.array_distinct(_hits(F.col("text")))).alias("value")))
+    held = cut(rows.where(_holds(F.col("text"))).select("id", tag, F.explode(F.array_distinct(_hits(F.col("text")))).alias("value")))
     parts = cut(_parts(held.select("value").distinct()))
     each = parts.select("value", "own", "title", F.posexplode("parts").alias("place", "part")).select("value", "own", "title", "place", "part.*")
     known = surrogates(each.select("kind", "canon", "gender"), key)
@@ -237,11 +242,11 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     # a document's own answers: as many as it holds entities
     own = held.join(answers, "value").groupBy("id", "tag").agg(
         F.map_from_entries(F.collect_set(F.struct("value", "new"))).alias("new"), F.array_join(F.array_sort(F.collect_set("own")), ",").alias("kinds"))
-    found = rows.where(F.col("text").rlike(ANY)).withColumn("tag", F.xxhash64("text"))
+    found = rows.where(_holds(F.col("text"))).withColumn("tag", F.xxhash64("text"))
     own = own.select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), "new", "kinds")
     found = found.join(own, found["id"].eqNullSafe(own["own_id"]) & (found["tag"] == own["own_tag"]))
     hits, between = _hits(F.col("text")), F.split("text", ANY, -1)
     text = F.array_join(F.zip_with(between, F.transform(hits, lambda h: F.element_at("new", h)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     found = found.select(F.col("id").alias(id_col), text.alias("text"), F.size(hits).cast("long").alias("n_entities"), "kinds")
-    clean = rows.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False)))
+    clean = rows.where(~_holds(F.col("text")))
     return found.unionByName(clean.select(F.col("id").alias(id_col), "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds")))

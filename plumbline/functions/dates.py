@@ -74,20 +74,21 @@ def has_leap_day(interval: Column) -> Column:
 
 
 def numeric_date_parts(c: Column) -> Column:
-    """Struct (a, b, y) of an ``a/b/y`` date with a four-digit year, null when the text is none."""
+    """Struct (a, b, y) of an ``a/b/y`` date, null when the text is none; y is null for a two-digit year,
+    whose century the text does not tell."""
     def parts(text: Column) -> Column:
         def n(i: int) -> Column:
             return F.regexp_extract(text, _NUMERIC, i).try_cast("int")
-        year = F.when(F.length(F.regexp_extract(text, _NUMERIC, 3)) == 2, n(3) + 2000).otherwise(n(3))
+        year = F.when(F.length(F.regexp_extract(text, _NUMERIC, 3)) == 4, n(3))
         return F.when(text.rlike(_NUMERIC), F.struct(n(1).alias("a"), n(2).alias("b"), year.alias("y")))
 
     return let(strip(c), parts)
 
 
 def ambiguous_date(c: Column) -> Column:
-    """True when day and month can be swapped to give another valid date."""
+    """True when day and month can be swapped to give another valid date, or the century is open."""
     def swappable(d: Column) -> Column:
-        return d["a"].between(1, 12) & d["b"].between(1, 12) & (d["a"] != d["b"])
+        return d.isNotNull() & (d["y"].isNull() | (d["a"].between(1, 12) & d["b"].between(1, 12) & (d["a"] != d["b"])))
 
     return F.coalesce(let(numeric_date_parts(c), swappable), F.lit(False))
 

@@ -126,7 +126,7 @@ def apply_amendments(df: DataFrame, results: DataFrame, strict_blank_mismatch: b
 
     Rows match on their original values, null and ``''`` being equal; changes of later tests (by test id)
     override earlier ones per cell; fields that are no columns are skipped. With ``strict_blank_mismatch``
-    results whose key holds a blank match nothing. One join per key set, not per test. ``results`` is
+    results whose key holds a blank match nothing. A proposed text that the column's type cannot hold is not written. One join per key set, not per test. ``results`` is
     read several times, so pass a stored table.
     """
     sets = [s for s in key_sets(results, df.columns) if s.fields]
@@ -142,7 +142,7 @@ def apply_amendments(df: DataFrame, results: DataFrame, strict_blank_mismatch: b
             columns.append(N.col(c))
             continue
         last = writers[0] if len(writers) == 1 else F.greatest(*writers)
-        columns.append(F.coalesce(last["value"].cast(df.schema[c].dataType), N.col(c)).alias(c))
+        columns.append(F.coalesce(last["value"].try_cast(df.schema[c].dataType), N.col(c)).alias(c))
     return out.select(*columns)
 
 
@@ -159,7 +159,7 @@ def amend_inline(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
                   for i, r in enumerate(chosen) if c in r.acted]
         value = F.coalesce(*reversed(writes)) if writes else None
         columns.append(N.col(c) if value is None else
-                       F.coalesce(value.cast(df.schema[c].dataType), N.col(c)).alias(c))
+                       F.coalesce(value.try_cast(df.schema[c].dataType), N.col(c)).alias(c))
     return answered.select(*columns)
 
 

@@ -32,7 +32,7 @@ PARAMETER_DEFAULTS = {
 SOURCE_AUTHORITY_BY_FAMILY = {
     ".georeference.": "NE_10M_ADMIN_0_COUNTRIES",
     ".metadata.": "NE_10M_ADMIN_0_COUNTRIES",
-    ".sciname.": "Backbone Taxonomy",
+    ".sciname.": "GBIF Backbone Taxonomy",
 }
 
 

@@ -202,7 +202,7 @@ def batch_summary(responses: DataFrame) -> DataFrame:
     return responses.agg(
         F.count(F.lit(1)).alias("items"),
         F.count_if(F.col("status") == N.INTERNAL_UNMET).alias("failed"),
-        (F.count_distinct("id") <= 1).alias("homogeneous"),
+        (F.count_distinct(F.struct("id")) <= 1).alias("homogeneous"),  # a missing id counts as an id of its own
     )
 
 

@@ -147,7 +147,8 @@ def _top(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 def genus_search(names: DataFrame, c: str, backbone: DataFrame) -> DataFrame:
     """One row per distinct queried genus that the backbone knows, with the ranks of its first entry."""
     queries = names.select(F.lower(strip(F.col(c))).alias("query")).filter("query <> ''").distinct()
-    ranks = backbone.select(*[x for x in backbone.columns if x != "canonical_name"])
+    named = backbone.where(F.coalesce("canonical_name", F.lit("")) != "")
+    ranks = named.select(*[x for x in backbone.columns if x != "canonical_name"])
     genera = keyed(ranks, F.lower(F.col("genus")), _pos(backbone))
     return queries.join(small(genera), F.col("query") == F.col("key")).select("query", "answer.*")
 

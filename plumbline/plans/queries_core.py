@@ -383,7 +383,7 @@ def _(spark, d):
 
 
 @query("default_params", f"""WITH {_CAT} SELECT seq, CASE WHEN class_name LIKE '%.georeference.%' THEN 'NE_10M_ADMIN_0_COUNTRIES'
-  WHEN class_name LIKE '%.sciname.%' THEN 'Backbone Taxonomy' END AS authority,
+  WHEN class_name LIKE '%.sciname.%' THEN 'GBIF Backbone Taxonomy' END AS authority,
   CASE WHEN p_size % 6 = 0 THEN 'own' WHEN p_size % 2 = 0 THEN '3000' END AS buffer FROM cat""")
 def _(spark, d):
     mine = F.when(F.col("n6") == 0, F.create_map(F.lit("ns:spatialBufferInMeters"), F.lit("own")))

@@ -54,7 +54,7 @@ def run_dataset(df: DataFrame, rules: Iterable[Rule], out: str, run_id: str, ref
     paths.update(write_run(out, run_id, amended=apply_amendments(original, results)))
     return Report(
         core, original, results, spark.read.parquet(paths["amended"]), run.failed,
-        summary_with_top(results), curated(results, context_of(catalogue_of(spark, chosen))))
+        summary_with_top(results, original.count()), curated(results, context_of(catalogue_of(spark, chosen))))
 
 
 def revalidate(report: Report, rules: Iterable[Rule], refs: References | None = None) -> Run:

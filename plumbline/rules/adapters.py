@@ -25,7 +25,10 @@ def pandas_rule(fn: Callable[..., tuple[str, str, str]], columns: Sequence[str])
     """
     def one(values: tuple) -> tuple[str, str, str]:
         try:
-            return fn(*values)
+            answer = fn(*values)
+            if not isinstance(answer, tuple) or len(answer) != 3 or not all(a is None or isinstance(a, str) for a in answer) or not answer[0]:
+                raise TypeError(f"a rule must return (status, result, comment), not {answer!r}")
+            return answer
         except Exception as error:  # isolated per item by contract
             return N.INTERNAL_UNMET, "", f"{type(error).__name__}: {error}"
 

@@ -282,8 +282,8 @@ _interval_rule("EVENT_DATE_YEAR_INCOMPLETE", lambda v, i: ~has_leap_day(i) & (du
                "eventDate has no leap day and lasts at most one calendar year.",
                "eventDate has a leap day or lasts longer than one calendar year.")
 _interval_rule("VALIDATION_EVENTDATE_INRANGE",
-               lambda v, i: (i["start"] >= v.param("earliestValidDate").cast("date")) & (
-                   i["end"] <= F.coalesce(v.param("latestValidDate").cast("date"),
+               lambda v, i: (i["start"] >= v.param("earliestValidDate").try_cast("date")) & (
+                   i["end"] <= F.coalesce(v.param("latestValidDate").try_cast("date"),
                                           F.make_date(F.year(F.current_date()), F.lit(12), F.lit(31)))),
                "eventDate lies within the valid range.", "eventDate lies outside the valid range.",
                params={"earliestValidDate": "1582-11-15", "latestValidDate": None})

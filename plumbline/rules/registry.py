@@ -73,7 +73,11 @@ class Inputs:
     def param(self, name: str, default: Any = None) -> Column:
         """A parameter as a Column; a request's own value wins over the default."""
         value = F.lit(self._params.get(name, default)).cast("string")
-        return value if self._param_map is None else F.coalesce(self._param_map[name], value)
+        if self._param_map is None:
+            return value
+        # a request may write the name with a namespace
+        spelled = F.try_element_at(F.filter(F.map_entries(self._param_map), lambda e: F.substring_index(e["key"], ":", -1) == name), F.lit(1))
+        return F.coalesce(self._param_map[name], spelled["value"], value)
 
 
 def answer_column(name: str) -> str:

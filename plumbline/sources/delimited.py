@@ -81,6 +81,14 @@ def _overflow(df: DataFrame) -> bool:
     return not df.filter(col(_EXTRA).isNotNull()).select(F.lit(1)).isEmpty()
 
 
+def _quote_state(lines: DataFrame) -> tuple[bool, bool]:
+    """(a line holds an odd number of quotes, a file does)."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    per_file = lines.groupBy(F.input_file_name().alias("file")).agg(F.max(quotes % 2).alias("line"), (F.sum(quotes) % 2).alias("file_odd"))
+    row = per_file.agg(F.max("line").alias("line"), F.max("file_odd").alias("file_odd")).first()
+    return row["line"] == 1, row["file_odd"] == 1
+
+
 def _split_lines(lines: DataFrame, header: str, sep: str) -> DataFrame:
     """Lines split at ``sep`` without quote handling; the header line and blank lines are left out."""
     names = unique_names(clean_names(header.split(sep)))
@@ -112,7 +120,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strat
     A strategy fits when no row has more fields than the header (short rows are filled with nulls); the
     last one skips such rows. Only the header line reaches the driver. Each try is one scan that stops at
     the first bad row; name a single strategy and ``validate=False`` to read without any check. Files stay
-    splittable unless some line holds an odd number of quotes, that is, a quoted line break. Missing-value
+    splittable unless some line holds an odd number of quotes, that is, a quoted line break; a file with an odd number of
+    quotes has one that is never closed, and is read without quote handling. Where the header has several names, a
+    strategy that finds one column does not fit. Missing-value
     tokens become null; ``keep_na_literals`` keeps texts such as ``NA``.
     """
     lines = spark.read.text(path)
@@ -121,14 +131,16 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strat
         raise UnreadableTable(f"{path} is empty")
     header = first[0]["value"]
     delimiter = sep or sniff_delimiter(header)
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        multi_line = "standard" in strategies and not lines.filter(quotes % 2 == 1).select(F.lit(1)).isEmpty()
+    unclosed = False
+    if multi_line is None and "standard" in strategies:
+        multi_line, unclosed = _quote_state(lines)
     tokens = [""] if keep_na_literals else list(na_tokens)
     repaired_header = repair_quotes(spark.range(1).select(F.lit(header).alias("value"))) if "repaired" in strategies else None
 
     for name in strategies:
         if name == "standard":
+            if validate and unclosed:  # it would swallow the rows up to the next quote
+                continue
             df = _standard(spark, path, header, delimiter, multi_line)
         elif name == "quote_none":
             df = _split_lines(lines, header, delimiter)
@@ -136,6 +148,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strat
             df = _split_lines(repair_quotes(lines), repaired_header.first()["value"], "\t")
         else:
             df = _split_lines(lines, header, "\t")
+        if validate and name != "skip_bad" and len(df.columns) == 2 and len(header.split(delimiter)) > 1:
+            continue  # one column where the header has more is no reading of the table
         if name == "skip_bad":
             df = df.filter(col(_EXTRA).isNull())
         elif validate and _overflow(df):

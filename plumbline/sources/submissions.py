@@ -81,9 +81,11 @@ def extract_attachments(submissions: DataFrame) -> DataFrame:
 
 
 _NA = frozenset(NA_TOKENS)
+csv.field_size_limit(1 << 30)  # a field may be as long as a message
 
 
-def _table_rows(content: str) -> Iterator[tuple[int, dict[str, str]]]:
+def _table_rows(content: str) -> Iterator[tuple[int, dict[str, str] | None, str | None]]:
+    """(line, values, problem): a row with more cells than the header has no values but its own text as problem."""
     text = content.lstrip("﻿")
     head = text.split("\n", 1)[0].rstrip("\r")
     reader = csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(head))
@@ -92,13 +94,27 @@ def _table_rows(content: str) -> Iterator[tuple[int, dict[str, str]]]:
         return
     names = [n if n.startswith(CORE_PREFIX) else CORE_PREFIX + n for n in unique_names(clean_names(header))]
     for i, row in enumerate(r for r in reader if any(cell.strip() for cell in r)):
+        if len(row) > len(names):
+            yield i, None, f"{len(row)} cells under {len(names)} names: {row!r}"
+            continue
         cells = [*row, *[""] * (len(names) - len(row))]
-        yield i, {n: ("" if v in _NA else v) for n, v in zip(names, cells)}
+        yield i, {n: ("" if v in _NA else v) for n, v in zip(names, cells, strict=True)}, None
 
 
-def submission_rows(messages: DataFrame, id_column: str = "messageId", content: str = "content") -> DataFrame:
+def _isolated_rows(content: str) -> Iterator[tuple[int, dict[str, str] | None, str | None]]:
+    """:func:`_table_rows`; an error ends this table only and is its last problem."""
+    try:
+        yield from _table_rows(content)
+    except Exception as error:  # one message must not stop the others
+        yield -1, None, f"{type(error).__name__}: {error}"
+
+
+def submission_rows(messages: DataFrame, id_column: str = "messageId", content: str = "content", problems: bool = False) -> DataFrame:
     """(id, line, values): the rows of each message's table as a map from prefixed column to text.
 
+    ``problems`` adds what could not be taken, as rows without values: column ``problem`` holds a row with more cells than
+    the header, or the error that ended the reading of a table.
+
     Tables with different headers stay in one DataFrame. A message is bounded by the mail size limit, so
     one task parses it whole. Messages are spread over tasks by id first, because parsing costs more than
     moving them and they tend to arrive packed into few files.
@@ -106,26 +122,29 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
     ship_package(messages.sparkSession)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, lines, values = [], [], []
+        ids, lines, values, faults = [], [], [], []
 
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame({"id": ids.copy(), "line": lines.copy(), "values": values.copy()})
-            for part in (ids, lines, values):
+            out = pd.DataFrame({"id": ids.copy(), "line": lines.copy(), "values": values.copy(), "problem": faults.copy()})
+            for part in (ids, lines, values, faults):
                 part.clear()
             return out
 
         for batch in batches:
             for key, text in zip(batch["id"], batch["content"]):
-                for line, cells in _table_rows(text):
+                for line, cells, fault in _isolated_rows(text):
                     ids.append(key)
                     lines.append(line)
                     values.append(cells)
+                    faults.append(fault)
                     if len(ids) >= OUTPUT_ROWS:
                         yield frame()
         if ids:
             yield frame()
 
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", T.LongType()),
-                           T.StructField("values", T.MapType(T.StringType(), T.StringType()))])
+                           T.StructField("values", T.MapType(T.StringType(), T.StringType())),
+                           T.StructField("problem", T.StringType())])
     chosen = messages.select(F.col(id_column).alias("id"), F.col(content).alias("content")).filter(F.col("content").isNotNull())
-    return chosen.repartition("id").mapInPandas(parse, schema)
+    rows = chosen.repartition("id").mapInPandas(parse, schema)
+    return rows if problems else rows.where("problem IS NULL").drop("problem")

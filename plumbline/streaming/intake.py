@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,11 +26,30 @@ def stream_submissions(spark: SparkSession, path: str, max_files: int = MAX_PER_
 
 
 def dedupe_submissions(stream: DataFrame, delay: str = "7 days", key: str = "messageId", at: str = "receivedAt") -> DataFrame:
-    """One row per message id. State is kept for ``delay`` past the latest arrival time and then dropped."""
+    """One row per message id for feeds whose arrival times are bounded: state is kept for ``delay`` past the latest
+    arrival time, and a message older than that is late. The intake does not use it; see :func:`unseen`."""
     timed = stream.withColumn("received", F.col(at).try_cast("timestamp"))
     return timed.withWatermark("received", delay).dropDuplicatesWithinWatermark([key])
 
 
+def unseen(batch: DataFrame, seen: DataFrame | None, key: str = "messageId", at: str = "receivedAt") -> DataFrame:
+    """The rows of a batch whose id neither an earlier batch (``seen``) nor an earlier row of this batch has, whatever their age.
+
+    Rows without an id (unreadable texts among them) cannot repeat one and all stay.
+    """
+    known = batch.where(col_has(key))
+    place = F.struct(F.col(at), F.xxhash64(F.to_json(F.struct(*batch.columns))))
+    first = known.groupBy(key).agg(F.min(place).alias("__first"))
+    kept = known.withColumn("__place", place).join(first, key).where("__place = __first").dropDuplicates([key]).select(*batch.columns)
+    if seen is not None:
+        kept = kept.join(seen.select(key).distinct(), key, "left_anti").select(*batch.columns)
+    return kept.unionByName(batch.where(~col_has(key)))
+
+
+def col_has(name: str) -> Column:
+    return ~blank(F.col(name))
+
+
 def is_top_level() -> Column:
     """No reply headers."""
     return blank(F.col("headers.inReplyTo")) & blank(F.col("headers.references"))
@@ -53,38 +74,77 @@ def route(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # Columns of the parts of a batch that are set aside.
 _REASON = ["messageId", "threadId", "receivedAt", "reason"]
+PROCESSED = "processed"
 
 
 def process_batch(out: str, rules: Iterable[Rule]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that runs the rules over all tables of a micro-batch together.
 
-    Writes ``results`` (run_id = message id), ``no_attachment`` and ``dead_letter`` below ``out``, each in the
-    folder of its batch. A repeated batch replaces its own folders, so results appear once.
+    Writes below ``out``, each in the folder of its batch: ``results`` (run_id = message id), ``no_attachment``, ``dead_letter``,
+    ``rejected`` (rows of tables that could not be taken), ``left_out`` (rules that need reference tables and are not run here) and
+    ``outcome`` with one row for every message: processed, reply, no attachment, unreadable, no identifier, no rule that
+    applies, or failed. A message id is handled once, whatever the message's age; a repeated batch replaces its own folders.
     """
     chosen = list(rules)
+    runnable = [r for r in chosen if not r.needs and r.type != "Measure" and r.columns]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"batch_id={batch_id}"
         staged = f"{out}/intake/{folder}"
-        extract_attachments(batch).write.mode("overwrite").parquet(staged)
+        extract_attachments(unseen(batch, _earlier(spark, f"{out}/intake", batch_id))).write.mode("overwrite").parquet(staged)
         messages = spark.read.parquet(staged)
         bad = F.col(CORRUPT).isNotNull()
+        # a message without an id is told apart by its content
+        messages = messages.withColumn("run_id", F.when(col_has("messageId"), F.col("messageId")).otherwise(
+            F.concat(F.lit("no id "), F.sha2(F.to_json(F.struct(*messages.columns)), 256))))
         fine, empty = route(messages.filter(~bad & is_top_level()))
         empty.select(*_REASON[:3], F.lit("no attachment").alias("reason")).write.mode("overwrite").parquet(f"{out}/no_attachment/{folder}")
-        unreadable = fine.filter(F.col("content").isNull()).select(*_REASON[:3], F.lit("no readable table").alias("reason"))
-        broken = messages.filter(bad).select(F.lit(None).cast("string").alias("messageId"), F.lit(None).cast("string").alias("threadId"),
-                                             F.lit(None).cast("string").alias("receivedAt"), F.concat(F.lit("invalid JSON: "), F.col(CORRUPT)).alias("reason"))
-        unreadable.unionByName(broken).write.mode("overwrite").parquet(f"{out}/dead_letter/{folder}")
+
         # The parsed rows are read once per key set, so they are stored and each message is parsed once.
-        submission_rows(fine).withColumnRenamed("id", "run_id").write.mode("overwrite").parquet(f"{out}/rows/{folder}")
-        rows = spark.read.parquet(f"{out}/rows/{folder}")
-        run_map_tests(rows, chosen, ["run_id"]).write.mode("overwrite").parquet(f"{out}/results/{folder}")
+        submission_rows(fine, "run_id", problems=True).withColumnRenamed("id", "run_id").write.mode("overwrite").parquet(f"{out}/parsed/{folder}")
+        parsed = spark.read.parquet(f"{out}/parsed/{folder}")
+        parsed.where("problem IS NOT NULL").select("run_id", "line", "problem").write.mode("overwrite").parquet(f"{out}/rejected/{folder}")
+        rows = parsed.where("problem IS NULL").drop("problem")
+        run_map_tests(rows, runnable, ["run_id"]).write.mode("overwrite").parquet(f"{out}/results/{folder}")
+        spark.createDataFrame([(r.id, ",".join(r.needs)) for r in chosen if r.needs], "test_id string, needs string").write.mode(
+            "overwrite").parquet(f"{out}/left_out/{folder}")
+
+        has = [F.map_contains_key("values", F.lit(c)) for c in ("dwc:occurrenceID", "dwc:taxonID")]
+        applies = F.lit(False)
+        for keys in {r.columns for r in runnable}:
+            applies = applies | reduce(lambda a, b: a & b, [F.map_contains_key("values", F.lit(k)) for k in keys])
+        per_run = parsed.groupBy("run_id").agg(
+            F.count("values").alias("n"), F.bool_or(F.coalesce(has[0] | has[1], F.lit(False))).alias("core"),
+            F.bool_or(F.coalesce(applies, F.lit(False))).alias("applies"), F.max(F.when(F.col("line") < 0, F.col("problem"))).alias("error"))
+        reason = (
+            F.when(bad, F.concat(F.lit("invalid JSON: "), F.col(CORRUPT)))
+            .when(~is_top_level(), "reply")
+            .when(~F.coalesce(F.size("attachments") > 0, F.lit(False)), "no attachment")
+            .when(F.col("content").isNull(), "no readable table")
+            .when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), F.col("error")))
+            .when(F.coalesce("n", F.lit(0)) == 0, "no rows")
+            .when(~F.col("applies"), F.when(F.col("core"), "no rule applies").otherwise("no identifier column"))
+            .otherwise(PROCESSED)
+        )
+        outcome = messages.join(per_run, "run_id", "left").withColumn("reason", reason)
+        outcome.select("run_id", *_REASON).write.mode("overwrite").parquet(f"{out}/outcome/{folder}")
+        dead = spark.read.parquet(f"{out}/outcome/{folder}").where(~F.col("reason").isin(PROCESSED, "reply", "no attachment"))
+        dead.select(*_REASON).write.mode("overwrite").parquet(f"{out}/dead_letter/{folder}")
 
     return run
 
 
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Ids that other batches have stored; None when there are none yet."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        return None
+    return stored.where(F.col("batch_id") != batch_id).select("messageId") if "batch_id" in stored.columns else None
+
+
 def start_intake(stream: DataFrame, out: str, checkpoint: str, rules: Iterable[Rule], once: bool = False) -> StreamingQuery:
-    """Run the intake: de-duplicate, then process each micro-batch. ``once`` handles what is there and stops."""
-    writer = dedupe_submissions(stream).writeStream.foreachBatch(process_batch(out, rules)).option("checkpointLocation", checkpoint)
+    """Run the intake over each micro-batch. ``once`` handles what is there and stops."""
+    writer = stream.writeStream.foreachBatch(process_batch(out, rules)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start()

@@ -135,3 +135,14 @@ def test_large_tables_with_hot_keys(spark, refs, monkeypatch, hot_rows):
     monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     again = [sorted(map(str, L.taxon_exact(df, "n", refs.backbone).collect())), sorted(map(str, geo.point_country(df, refs.boundaries).collect()))]
     assert again == expected and len(expected[0]) == 60 and sum("FR" in r for r in expected[1]) >= 40
+
+
+def test_null_keys_are_spread(spark):
+    from plumbline.operators.skew import hot_keys, left_join_hot
+    df = spark.createDataFrame([(None if i % 2 else f"k{i % 7}", i) for i in range(2000)], "k string, i int")
+    side = spark.createDataFrame([(f"k{i}", i) for i in range(5)], "k string, v int")
+    joined = left_join_hot(df, side, ["k"], hot_keys(df, ["k"]))
+    assert sorted((r["k"] or "", r["i"], r["v"] if r["v"] is not None else -1) for r in joined.collect()) == sorted(
+        (r["k"] or "", r["i"], r["v"] if r["v"] is not None else -1) for r in df.join(side, "k", "left").collect())
+    plan = joined.where("k IS NULL").select("i")
+    assert plan.count() == 1000

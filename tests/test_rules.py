@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluate import evaluate, evaluate_requests, run_tests
@@ -161,7 +162,7 @@ def test_single_cases(spark, refs):
 
 def test_options(spark, refs):
     assert answer(spark, refs, "", REGISTRY["AMENDMENT_EVENTDATE_STANDARDIZED"].with_params(day_first=True),
-                  eventDate="01/02/03") == ("AMENDED", "dwc:eventDate=2003-02-01")
+                  eventDate="01/02/2003") == ("AMENDED", "dwc:eventDate=2003-02-01")
     assert answer(spark, refs, "", REGISTRY["VALIDATION_COUNTRYCODE_STANDARD"].with_params(user_assigned=False), countryCode="ZZ") == BAD
     assert answer(spark, refs, "", REGISTRY["VALIDATION_EVENTDATE_INRANGE"].with_params(latestValidDate="2020-12-31"), eventDate="2021") == BAD
     # Ten metres of latitude are about 0.00009 degrees: just outside the box, inside the buffer.
@@ -208,10 +209,36 @@ def test_user_rule_in_batches(spark):
     assert out["a=boom|b=y"][0] == "INTERNAL_PREREQUISITES_NOT_MET" and "no good" in out["a=boom|b=y"][3]
 
 
-def test_modes_agree(occurrences, refs):
-    rules = REGISTRY.select("VALIDATION_COUNTRY_NOTEMPTY", "VALIDATION_COUNTRY_FOUND", "VALIDATION_DECIMALLATITUDE_INRANGE",
-                            "AMENDMENT_BASISOFRECORD_STANDARDIZED", "VALIDATION_COORDINATES_NOTZERO")
+@pytest.mark.parametrize("single_pass", [False, True])
+def test_modes_agree(occurrences, refs, single_pass):
     key = ["test_id", "status", "result", "actedUpon", "consulted", "count"]
-    a = run_tests(occurrences, rules, refs, single_pass=True).results.select(*key)
-    b = run_tests(occurrences.repartition(3), rules, refs).results.select(*key)
-    assert sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
+    a = run_tests(occurrences, REGISTRY, refs, single_pass=single_pass).results.select(*key).collect()
+    b = run_tests(occurrences.repartition(3), REGISTRY, refs).results.select(*key).collect()
+    assert sorted(a) == sorted(b) and a
+
+
+def test_parameters_of_a_request(spark):
+    from plumbline.operators.evaluate import batch_summary
+    rows = [(0, "VALIDATION_EVENTDATE_INRANGE", {"dwc:eventDate": "2000-01-01", "bdq:latestValidDate": "1990-12-31"}),
+            (1, "VALIDATION_EVENTDATE_INRANGE", {"dwc:eventDate": "2000-01-01", "latestValidDate": "junk"}),
+            (2, "VALIDATION_EVENTDATE_INRANGE", {"dwc:eventDate": "2000-01-01"}), (3, None, {})]
+    out = evaluate_requests(spark.createDataFrame(rows, "seq int, id string, params map<string,string>"), REGISTRY)
+    assert {r["seq"]: r["result"] for r in out.collect()} == {0: "NOT_COMPLIANT", 1: "COMPLIANT", 2: "COMPLIANT", 3: ""}
+    ids = spark.createDataFrame([(None, "x"), ("A", "x")], "id string, status string")
+    assert not batch_summary(ids).first()["homogeneous"]
+
+
+def test_two_digit_years_are_ambiguous(spark):
+    df = spark.createDataFrame([("31/12/98",), ("31/12/1998",)], "d string")
+    from plumbline.functions.dates import ambiguous_date, standard_date
+    out = df.select("d", standard_date(F.col("d")).alias("s"), ambiguous_date(F.col("d")).alias("a")).collect()
+    assert {r["d"]: (r["s"], r["a"]) for r in out} == {"31/12/98": (None, True), "31/12/1998": ("1998-12-31", False)}
+
+
+def test_user_rule_answers_are_checked(spark):
+    from plumbline.rules.adapters import pandas_rule
+    from plumbline.rules.registry import Inputs, column_source
+    for answer in (None, ("COMPLIANT",), ("a", "b", "c", "d"), "abc", ("", "", "")):
+        bound = pandas_rule(lambda v, answer=answer: answer, ["a"])(Inputs(column_source(), {}))
+        got = spark.createDataFrame([("x",)], "a string").select(bound.alias("r")).first()["r"]
+        assert got["status"] == "INTERNAL_PREREQUISITES_NOT_MET" and "must return" in got["comment"]

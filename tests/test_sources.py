@@ -102,10 +102,12 @@ def test_attachments(spark, tmp_path):
 
 
 def test_tables_inside_messages(spark):
-    df = spark.createDataFrame([("m1", 'occurrenceID;dwc:x\n1;"a;b"\n2;NA\n\n3\n'), ("m2", "taxonID\tx\n7\tlong\ttoo\n"), ("m3", None), ("m4", "")], "messageId string, content string")
+    df = spark.createDataFrame([("m1", 'occurrenceID;dwc:x\n1;"a;b"\n2;NA\n\n3\n'), ("m2", "taxonID\tx\n7\tlong\ttoo\n8\tfits\n"), ("m3", None), ("m4", "")], "messageId string, content string")
     got = {(r["id"], r["line"]): r["values"] for r in submissions.submission_rows(df).collect()}
     assert got == {("m1", 0): {"dwc:occurrenceID": "1", "dwc:x": "a;b"}, ("m1", 1): {"dwc:occurrenceID": "2", "dwc:x": ""},
-                   ("m1", 2): {"dwc:occurrenceID": "3", "dwc:x": ""}, ("m2", 0): {"dwc:taxonID": "7", "dwc:x": "long"}}
+                   ("m1", 2): {"dwc:occurrenceID": "3", "dwc:x": ""}, ("m2", 1): {"dwc:taxonID": "8", "dwc:x": "fits"}}
+    problems = submissions.submission_rows(df, problems=True).where("problem IS NOT NULL").collect()
+    assert [(r["id"], r["line"], "too" in r["problem"], r["values"]) for r in problems] == [("m2", 0, True, None)]
 
 
 # --- reference files ------------------------------------------------------------------------------------------------
@@ -157,3 +159,11 @@ def test_integrity(spark, tmp_path):
 def test_freshness(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00")], "k int, t string").select("k", F.col("t").cast("timestamp").alias("fetched_at"))
     assert [r["k"] for r in L.fresh(df, "12 hours", now=F.lit("2024-01-02 06:00:00").cast("timestamp")).collect()] == [2]
+
+
+def test_unclosed_quote_and_ragged_rows_lose_nothing(spark, tmp_path):
+    path = write(tmp_path, 'id,name\n1,a\n2,"Smith b\n3,c\n4,d\n5,e\n', "r.csv")
+    assert sorted(r["id"] for r in D.read_delimited(spark, path).collect()) == ["1", "2", "3", "4", "5"]
+    path = write(tmp_path, "occurrenceID,country\n1,a\n2,b,c\n", "s.csv")
+    with pytest.raises(D.UnreadableTable):
+        D.read_delimited(spark, path, strategies=["standard", "quote_none", "tab_quote_none"])

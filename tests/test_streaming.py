@@ -82,3 +82,39 @@ def test_running_counts_and_late_rows(spark, tmp_path):
     pump()
     add([("a", "2024-01-01 00:10:00")])  # far behind the watermark by now
     assert running.late_rows(pump()) == 1
+
+
+def test_intake_loses_no_message(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+
+    def drop(name, m):
+        (inbox / f"{name}.json").write_text(m if isinstance(m, str) else json.dumps(m, indent=1))
+
+    def run():
+        intake.start_intake(intake.stream_submissions(spark, str(inbox)), out, str(tmp_path / "state"), RULES, once=True).awaitTermination()
+
+    good = [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,France,FR\n"))]
+    drop("a", message(1, good))
+    drop("b", "{broken")
+    drop("c", "{broken too")
+    for name in "de":
+        nameless = message(9, good)
+        nameless["messageId"] = None if name == "d" else ""
+        drop(name, nameless)
+    drop("f", message(2, [attachment("t.csv", "", encode("foo,bar\n1,2\n"))]))
+    drop("g", message(3, [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,a,b,LOST\n2,France,FR\n"))]))
+    drop("h", message(4, [attachment("t.csv", "", encode("occurrenceID,x\n1,2\n"))]))
+    drop("i", message(5, [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1," + "x" * 200_000 + ",FR\n"))]))
+    run()
+    old = message(6, good)
+    old["receivedAt"] = "2001-01-01T00:00:00Z"
+    drop("j", old)
+    drop("k", message(1, good))  # a repeat
+    run()
+    outcome = spark.read.parquet(f"{out}/outcome").collect()
+    assert sorted((r.messageId or "", r.reason) for r in outcome) == [
+        ("", "invalid JSON: {broken"), ("", "invalid JSON: {broken too"), ("", "processed"), ("", "processed"), ("m1", "processed"),
+        ("m2", "no identifier column"), ("m3", "processed"), ("m4", "no rule applies"), ("m5", "processed"), ("m6", "processed")]
+    assert ["LOST" in r.problem for r in spark.read.parquet(f"{out}/rejected").collect()] == [True]
+    assert spark.read.parquet(f"{out}/results").select("run_id").distinct().count() == 6

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.keeping import keep_rows
 from plumbline.session import cut
 
 PREFIX = 256
@@ -65,11 +66,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeated with one id, one stays."""
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    kept = (exact_groups(docs, id_col, text_col, digest=True)
-            .groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-            .agg(F.max("kept").alias("__kept"), F.count("*").alias("__times")).where("__kept").drop("__kept"))
-    rows = docs.withColumn("__own", sha)
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__sha"]))
-    again = rows.where("__times > 1").dropDuplicates(["__id", "__sha"])
-    return rows.where("__times = 1").unionByName(again).select(*[rows[c] for c in docs.columns])
+    verdict = exact_groups(docs, id_col, text_col, digest=True).groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("tag")).agg(
+        F.max("kept").alias("keep"), F.count("*").alias("times"))
+    return keep_rows(docs, cut(verdict), id_col, F.sha2(normalised(docs[text_col]), 256))

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.keeping import keep_rows
 from plumbline.session import cut, ship_package
 
 WORDS = 4
@@ -175,10 +176,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row of each component, all columns: that with the smallest id (null ids last), of equal ids one."""
-    kept = _grouped(docs, id_col, text_col, words)
-    kept = kept.where(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("tag") == F.col("keeper.tag")))
-    kept = kept.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.count("*").alias("__times"))
-    rows = docs.withColumn("__own", _tag(text_col))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__tag"]))
-    again = rows.where("__times > 1").dropDuplicates(["__id", "__tag"])
-    return rows.where("__times = 1").unionByName(again).select(*[rows[c] for c in docs.columns])
+    own = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("tag") == F.col("keeper.tag"))
+    verdict = _grouped(docs, id_col, text_col, words).groupBy("id", "tag").agg(F.bool_or(own).alias("keep"), F.count("*").alias("times"))
+    return keep_rows(docs, cut(verdict), id_col, _tag(text_col))

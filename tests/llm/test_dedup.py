@@ -113,3 +113,17 @@ def test_components_of_paths_and_stars(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("slots", [1, 3, 1 << 19])
+def test_keep_rows(spark, slots):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.keeping import keep_rows
+    rows = [(1, "a", 0), (1, "b", 1), (2, "a", 2), (3, "c", 3), (3, "c", 4), (None, "d", 5), (None, "d", 6), (None, "e", 7), (4, "f", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    verdict = spark.createDataFrame([(1, "a", True, 1), (1, "b", False, 1), (2, "a", False, 1), (3, "c", True, 2), (None, "d", True, 2), (None, "e", False, 1),
+                                     (4, "f", True, 1)], "id long, tag string, keep boolean, times long")
+    left = keep_rows(docs, verdict, "doc_id", F.col("text"), slots)
+    assert left.columns == docs.columns
+    assert plain(left, "doc_id", "text") == [(None, "d"), (1, "a"), (3, "c"), (4, "f")]

@@ -36,6 +36,7 @@ BITS = 16
 SHARE = 0.5
 SHARD = 8192
 QUERY_BLOCK = 1024
+MOST_PARTITIONS = 100_000
 SLACK = 1e-9  # rounding of the fast product; what lies within is ranked by the exact one
 
 
@@ -135,7 +136,10 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         return _answer(group, k, share, trees, bits, seed)
 
-    found = a.union(b).groupBy("dim", "shard", "block").applyInPandas(answer, "query_id long, id long, score double")
+    # small rows, dear groups: as many partitions as groups, which adaptive execution leaves as they are
+    groups = plan.agg(F.sum(F.col("shards").cast("long") * F.col("blocks"))).first()[0] or 1
+    dealt = a.union(b).repartition(min(groups, MOST_PARTITIONS), "dim", "shard", "block")
+    found = dealt.groupBy("dim", "shard", "block").applyInPandas(answer, "query_id long, id long, score double")
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut
 
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 MANY_LEAVES = 100_000
 TOP = 1 << 60  # positions are 60-bit numbers
 

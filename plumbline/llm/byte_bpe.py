@@ -7,7 +7,7 @@ pre-token and is encoded by itself; a pre-token that is a token as a whole is th
 Decoding maps ids back to bytes.
 
 The model is a few MB, bounded by the vocabulary, and is broadcast. Pre-tokens already met are remembered in each
-Python worker, up to ``MEMORY`` of them; that changes the time only. No shuffle, and no text leaves its row.
+Python worker until its task ends, up to ``MEMORY`` of them; that changes the time only. No shuffle, and no text leaves its row.
 
 Edge cases: a null or empty text has no tokens, and its digests are those of the empty string. Long texts are
 encoded whole. Repeated rows give repeated results.
@@ -27,9 +27,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.session import ship_package
 
-MEMORY = 200_000
+MEMORY = 1 << 16
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -85,15 +86,15 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.whole = dict(zip(tokens, ranks, strict=True))
         self.bytes_of = dict(zip(ranks, tokens, strict=True))
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str) -> Codec:
         order = sorted(ranks.items(), key=lambda x: x[1])
         return cls(model_of(ranks), [r for _, r in order], [t for t, _ in order], pattern)
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids of each pre-token in order, as numbers and as text."""
+    def pieces(self, text: str) -> list[tuple[int, ...]]:
+        """Ids of each pre-token in order."""
         parts = self.split.findall(text)
         known = self.known
         new = [p for p in dict.fromkeys(parts) if p not in known]
@@ -106,15 +107,17 @@ class Codec:
                 if rank is None:
                     rest.append(p)
                 else:
-                    known[p] = ((rank,), str(rank))
+                    known[p] = (rank,)
             mapped = [_mapped(p.encode("utf-8", "replace")) for p in rest]
             for p, ids in zip(rest, self.sp.encode(mapped, out_type=int, num_threads=1) if rest else [], strict=True):
-                own = tuple(self.ranks[i] for i in ids)
-                known[p] = (own, ",".join(map(str, own)))
+                known[p] = tuple(self.ranks[i] for i in ids)
         return [known[p] for p in parts]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return list(chain.from_iterable(self.pieces(text)))
+
+    def forget(self) -> None:
+        self.known = {}
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -145,9 +148,10 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for b in batches:
+        for b in slices(batches):
             ids = [codec.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+        codec.forget()
 
     rows = docs.select(id_col, F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>")
@@ -159,7 +163,7 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for b in batches:
+        for b in slices(batches):
             raw = [codec.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], [id_col, "decoded"])
 
@@ -174,17 +178,17 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(1).to_pylist():
-                pieces = codec.pieces(text or "")
-                ids = list(chain.from_iterable([p[0] for p in pieces]))
-                digest = hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest()
+                ids = codec.encode(text or "")
+                digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
                 out.append((len(ids), digest, hashlib.sha256(codec.decode(ids)).hexdigest()))
             n, a, d = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     rows = docs.select(id_col, F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, {SCHEMA}")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.session import ship_package
 
 BUCKETS = 1 << 16
@@ -29,7 +30,7 @@ ORDERS = (1, 2, 3)
 ROWS_PER_LANG = 2000
 MAX_LANGS = 500
 SMOOTHING = 0.5
-BLOCK = 1 << 19  # characters scored at once
+BLOCK = 1 << 21  # n-grams times languages scored at once
 UNKNOWN = "und"
 
 
@@ -84,7 +85,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 totals[lang] += np.bincount(buckets(text), minlength=BUCKETS)
@@ -120,18 +121,18 @@ def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
             out[i] = (model.langs[k], float(s))
         waiting.clear()
 
-    pending = 0
+    pending, block = 0, max(1, BLOCK // max(1, len(model.langs)))
     for i, text in enumerate(texts):
         grams = buckets(text) if text and model.langs else ()
         if not len(grams):
             continue
-        if len(grams) > BLOCK:  # a long text is summed in slices
-            logs = sum(model.log_prob[grams[a:a + BLOCK]].astype(np.float64).sum(axis=0) for a in range(0, len(grams), BLOCK)) + model.log_prior
+        if len(grams) > block:  # a long text is summed in slices
+            logs = sum(model.log_prob[grams[a:a + block]].astype(np.float64).sum(axis=0) for a in range(0, len(grams), block)) + model.log_prior
             out[i] = (model.langs[int(logs.argmax())], float(1 / np.exp(logs - logs.max()).sum()))
             continue
         waiting.append((i, grams))
         pending += len(grams)
-        if pending > BLOCK:
+        if pending > block:
             settle()
             pending = 0
     settle()
@@ -144,7 +145,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = score(shared.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                              [id_col, "lang_pred", "score"])
@@ -160,7 +161,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             yield b.filter(pa.array([x[0] != UNKNOWN for x in score(shared.value, texts)], pa.bool_()))
 

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.llm.components import components
 from plumbline.llm.keeping import keep_rows
 from plumbline.session import cut, ship_package
@@ -53,12 +54,12 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     starts = [0] + ends[:-1]
     last = max(0, len(parts) - words)
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[starts[i]:ends[min(i + words, len(parts)) - 1] - 1], SEED) for i in range(last + 1)]
     votes = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(hashes), 1 << 14):
-        some = np.array(hashes[a:a + (1 << 14)], dtype="<u8")
+    for a in range(0, last + 1, 1 << 14):
+        own = range(a, min(a + (1 << 14), last + 1))
+        some = np.array([digest(joined[starts[i]:ends[min(i + words, len(parts)) - 1] - 1], SEED) for i in own], dtype="<u8")
         votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > len(hashes)).astype(np.uint8)
+    bits = (2 * votes > last + 1).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             prints = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], ["id", "tag", "fp"])
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, mixing, pii, simhash, substring_dedup
+from plumbline.llm import (
+    ann_forest, byte_bpe, exact_dedup, html_text, language_id, license_scan, mixing, phrases, pii, quality_cascade, ranked_search, simhash,
+    substring_dedup,
+)
 from plumbline.plans.inputs import Book, table
 
 BOOK = Book()
@@ -119,3 +122,68 @@ FROM t WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0"""
 def op5(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"), source_tree(), WEIGHTS, SHARE, EPOCHS, SEED)
     return mixed.select("doc_id", source_tree()[0].alias("domain"), "lang", "source", F.col("__copies").alias("copies"))
+
+
+@BOOK.query("op11_quality_cascade", r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS (SELECT i, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+             len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters,
+             len(list_filter(words, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_letter_words,
+             len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(-|\*|•)'))) AS n_list_lines FROM w),
+p AS (SELECT i, words, unnest(range(1, len(words) - 3)) AS pos FROM w),
+g AS (SELECT i, pos, array_to_string(words[pos:pos + 4], ' ') AS gram FROM p),
+t AS (SELECT i, pos, count(*) OVER (PARTITION BY i, gram) AS times FROM g),
+r AS (SELECT i, count(DISTINCT k) AS n FROM (SELECT i, unnest(range(pos, pos + 5)) AS k FROM t WHERE times > 1) GROUP BY i)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       coalesce(r.n, 0)::BIGINT AS n_repeat_words, n_words < 10 OR 100 * coalesce(r.n, 0) > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * coalesce(r.n, 0) > 20 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 2 * n_capitals > n_letters OR 10 * n_letter_words < 7 * n_words
+            OR 10 * n_cut_lines > 3 * n_lines OR 10 * n_list_lines > 9 * n_lines) AS kept
+FROM m LEFT JOIN r USING (i)""")
+def op11(spark, sf_dir):
+    report = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    found = quality_cascade.judge(table(spark, sf_dir, "documents"), report=report)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select("doc_id", *report, failed.alias("base_failed"), "kept")
+
+
+@BOOK.query("op12_phrase_mining", r"""
+WITH p AS (SELECT lang, unnest(list_transform(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS words
+           FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+s AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS pos FROM p, range(1, 6) AS ks(k) WHERE len(words) >= k),
+f AS (SELECT lang, k, array_to_string(words[pos:pos + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, a FROM c WHERE k > 2),
+over_ AS (SELECT lang, phrase, max(a) AS around FROM inner_ GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN over_ o USING (lang, phrase) WHERE o.around IS NULL OR 100 * o.around < 100 * c.a),
+cut AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS pos FROM kept),
+scored AS (SELECT cut.lang, cut.phrase, a, pos, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:pos], ' ')
+           JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[pos + 1:cut.k], ' ') JOIN n ON n.lang = cut.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) AS place FROM scored),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best WHERE place = 1)
+SELECT * FROM ranked WHERE rank <= 2000""")
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@BOOK.query("op13_ranked_search", r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*) AS nn, sum(len(terms))::BIGINT AS ll FROM d WHERE len(terms) > 0),
+m AS (SELECT i, doc_id, 100 - 90 + ((90 * len(terms) * nn) // ll) AS m FROM d, c WHERE len(terms) > 0),
+tf AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+s AS (SELECT q.item_id, m.i, m.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (i) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def op13(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

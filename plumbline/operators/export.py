@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import parse_pairs
@@ -12,12 +12,21 @@ from plumbline.operators.filters import flagged
 
 
 def export_fields(results: DataFrame, test_id: str) -> list[str]:
-    """Sorted names of the columns a test reads, from its flagged rows; value texts are not looked at, so the list is as short as
-    the rule's declaration, whatever the data hold."""
+    """Sorted names of the fields in the pairs of a test's flagged rows.
+
+    Where the table has the columns that the rule declares, only those count: a value text that looks like a pair is no field, and the
+    list is as short as the declaration, whatever the data hold.
+    """
     rows = flagged(results).filter(F.col("test_id") == test_id)
-    packed = rows.select(F.concat_ws("|", "actedUpon_cols", "consulted_cols").alias("packed")).distinct()
-    found = packed.select(F.explode(F.split("packed", r"\|")).alias("f")).filter("f <> ''").distinct()
-    return sorted(r["f"] for r in found.collect())
+
+    def distinct(names: Column) -> list[str]:
+        found = rows.select(F.explode(names).alias("f")).filter("f <> ''").distinct()
+        return sorted(r["f"] for r in found.collect())
+
+    if {"actedUpon_cols", "consulted_cols"} <= set(results.columns):
+        return distinct(F.split(F.concat_ws("|", "actedUpon_cols", "consulted_cols"), r"\|"))
+    pairs = F.concat(*[parse_pairs(F.col(c), keep_bare=True) for c in ("actedUpon", "consulted")])
+    return distinct(F.transform(pairs, lambda p: p["field"]))
 
 
 def flagged_wide(results: DataFrame, test_id: str, fields: Sequence[str] | None = None) -> DataFrame:

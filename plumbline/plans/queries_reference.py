@@ -318,6 +318,61 @@ def _(spark, d):
     return df.toDF(*[c.replace(":", "_") for c in df.columns])
 
 
+def _put_lines(df: DataFrame, header: str, line, path: str) -> None:
+    """Text files whose first line is ``header``, with lines as they are (the writer would quote a text with a line break)."""
+    df.select(F.explode(F.split(line, "\n")).alias(header)).write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def _mixed_folder(spark, d):
+    """Parts in files of three kinds: quoted cells with line breaks; tabs and quotes that stand for inches; semicolons, other names, stray quotes."""
+    p, path = table(spark, d, "part"), _folder(spark, "mixed")
+    kind = F.col("p_partkey") % 3
+    quoted = F.format_string('%d,"%s, ""%s""\n%s"', "p_partkey", "p_name", "p_brand", "p_type")
+    _put_lines(p.where(kind == 0), "key,text", quoted, f"{path}/a")
+    _put_lines(p.where(kind == 1), "key\ttext", F.format_string('%d\t%d" %s', "p_partkey", "p_size", "p_name"), f"{path}/b")
+    _put_lines(p.where(kind == 2), "key;text;brand", F.format_string('%d;"%s" by;%s', "p_partkey", "p_name", "p_brand"), f"{path}/c")
+    return [f"{path}/{x}" for x in "abc"]
+
+
+@query("read_mixed_folder", """
+SELECT CAST(p_partkey AS VARCHAR) AS key, CASE p_partkey % 3 WHEN 0 THEN p_name || ', "' || p_brand || '"' || chr(10) || p_type
+       WHEN 1 THEN p_size || '" ' || p_name ELSE p_name || ' by' END AS text, CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS brand FROM part""")
+def _(spark, d):
+    return delimited.read_folder(spark, _mixed_folder(spark, d)).rows
+
+
+@query("read_mixed_routes", """
+SELECT 'standard' AS strategy, x.sep AS sep, sum(n)::BIGINT AS records, sum(n * x.per)::BIGINT AS lines, sum(n * x.breaks)::BIGINT AS spans
+FROM (SELECT p_partkey % 3 AS kind, count(*) AS n FROM part GROUP BY 1) JOIN (VALUES (0, ',', 2, 1), (1, chr(9), 1, 0), (2, ';', 1, 0)) AS x(kind, sep, per, breaks) USING (kind)
+GROUP BY x.sep""")
+def _(spark, d):
+    found = delimited.read_folder(spark, _mixed_folder(spark, d)).routes
+    return found.where("records > 0").groupBy("strategy", "sep").agg(F.sum("records").alias("records"), F.sum("lines").alias("lines"), F.sum("spans").alias("spans"))
+
+
+def _unclosed(spark, d):
+    """Suppliers as lines; some open a quote that no line closes, some hold more cells than the header names."""
+    s, path = table(spark, d, "supplier"), _folder(spark, "unclosed")
+    line = (F.when(F.col("s_suppkey") % 10 == 3, F.format_string('%d,"%s', "s_suppkey", "s_name"))
+            .when(F.col("s_suppkey") % 10 == 6, F.format_string("%d,%s,%d", "s_suppkey", "s_name", "s_nationkey"))
+            .otherwise(F.format_string('%d,"%s, %d"', "s_suppkey", "s_name", "s_nationkey")))
+    _put_lines(s.select("s_suppkey", "s_name", "s_nationkey", line.alias("line")), "key,name", F.col("line"), path)
+    return path
+
+
+@query("read_unclosed_quote", """
+SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 10 = 3 THEN '"' || s_name ELSE s_name || ', ' || s_nationkey END AS name
+FROM supplier WHERE s_suppkey % 10 <> 6""")
+def _(spark, d):
+    return delimited.read_folder(spark, _unclosed(spark, d)).rows
+
+
+@query("read_rejects", "SELECT s_suppkey || ',' || s_name || ',' || s_nationkey AS text, 1 AS lines, '3 cells under 2 names' AS reason FROM supplier WHERE s_suppkey % 10 = 6")
+def _(spark, d):
+    return delimited.read_folder(spark, _unclosed(spark, d)).rejects.drop("file")
+
+
 @query("repair_quotes", "SELECT doc_id, '\"' || lang || '\"' || chr(9) || source || ' \"a\" b' AS value FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents")

@@ -46,6 +46,8 @@ def test_count_defaults(spark):
     assert summary.ranked_tests(rows).first()["total"] == 1
     assert summary.top_combos(rows).first()["combo"] == "a=1"
     assert export.flagged_wide(rows, "V_X").first().asDict() == {"a": "1", "Records flagged": 1}
+    declared = rows.withColumns({"actedUpon": F.lit("a=1|b=2"), "actedUpon_cols": F.lit("a"), "consulted_cols": F.lit("c")})
+    assert export.flagged_wide(declared, "V_X").first().asDict() == {"a": "1", "c": "", "Records flagged": 1}
 
 
 def test_texts_with_separators(spark):

@@ -4,32 +4,38 @@ Words are what stands between ASCII white space, A-Z lower-cased.
 
 1. **Seeds**: shingles of ``WORDS`` = 5 words are hashed; of each ``WINDOW`` neighbouring shingles the one with the smallest hash is
    a seed. Any run of WINDOW + WORDS - 1 = 16 equal words shares a seed, whatever surrounds it.
-2. **Join**: a seed's representative is its first place in the document with the smallest id. Every other document with
+2. **Stretches**: the seeds of a document that other documents hold too are cut into stretches where more than ``APART`` words have none; so many
+   words without a common seed hold more unequal words than any passage bridges. Only the words of stretches are fetched, once.
+3. **Join**: a seed's representative is its first place in the document with the smallest id. Every other document with
    the seed is matched with the representative only, so a passage in a third of all documents gives one match for each
    document and seed, never all pairs. Seeds of one document only are dropped by their aggregate.
-3. **Chaining**: the matches of a (document, representative) pair, ordered by place, are chained where both places
+4. **Chaining**: the matches of a pair of stretches, ordered by place, are chained where both places
    increase. A chain scores its words less ``GAP`` for each word skipped on either side; the best predecessor comes from a
    Fenwick tree of prefix maxima over the other document's places.
-4. **Alignment**: for each chain the words of both sides are fetched (as 16-bit hashes, cut out where the document is read), gaps
-   between seeds are aligned, the ends are extended, and passages of at least ``LEAST`` words with similarity (equal words over the
+5. **Alignment**: along a chain, words are compared forwards and backwards from its seeds until the texts run apart: up to ``BREAK`` words of either
+   side may be skipped where ``WORDS`` equal ones follow, up to ``SHORT_RUN`` where as many do. Passages of at least ``LEAST`` words with similarity (equal words over the
    longer side) of at least ``SIMILAR`` = 0.8 remain.
+6. **What representatives miss**: the representatives of a passage's seeds may be documents that hold too little of it. So the runs of ``LEAST`` words
+   of a stretch that no passage so far covers with equal words are hashed and joined as a whole, again with the first document that has
+   them, and chained and aligned in the same way. A run that is covered is held by a document with a smaller id as well, so all documents with a run
+   of ``LEAST`` equal words are linked, directly or through others that hold the same run.
 
-A document's seeds bound what one task holds; hot seeds are rows of plain equi-joins of stored tables.
+A document's seeds bound what one task holds; hot seeds and runs are rows of plain equi-joins of stored tables.
 
-Edge cases: null ids take no part, null and empty texts have no words. Rows repeated with one id count as one document. Repeats
-within one document are not reported. An empty table gives an empty result. Long texts are read whole.
+Edge cases: null ids take no part, null and empty texts have no words. Of rows with one id the text with the smallest hash counts. Repeats
+within one document are not reported. An empty table gives an empty result. Long texts are read whole, a few rows at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.session import cut, ship_package
 
 WORDS = 5
@@ -38,8 +44,12 @@ LEAST = 50
 SIMILAR = 0.8
 SEEDS = 2  # a chain has this many at least
 GAP = 0.05
-BREAK = 15  # words in a gap without an equal one that end a passage
-MARGIN = WORDS + WINDOW + 3  # words fetched around a chain
+BREAK = 15  # words of either side that may be skipped between equal ones
+SHORT_RUN = 3  # equal words that are enough after so few skipped ones
+REACH = WORDS + WINDOW + 3  # a passage of equal words ends within so many words of its outermost seed
+MARGIN = 4 * REACH  # words fetched around a stretch
+APART = (BREAK + 1) * (WORDS + WINDOW - 1)  # words without a shared seed that part stretches
+SLICE = 64  # rows worked on at once
 
 _P = 0x9E3779B97F4A7C15  # odd
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -128,63 +138,80 @@ def chains(x: list[int], y: list[int], k: int = WORDS, gap: float = GAP) -> list
     return out
 
 
-def _extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far two sequences run alike from their starts: words of each and equal words; ends on an equal word."""
-    best = (0, 0, 0)
-    total = equal = 0
-    for m in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks():
-        if not m.size:
-            break
-        equal += m.size
-        total = max(m.a, m.b) + m.size
-        if equal >= SIMILAR * total:
-            best = (m.a + m.size, m.b + m.size, equal)
-    return best
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two sequences have in common from their starts on."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        end = min(n, at + step)
+        other = np.flatnonzero(a[at:end] != b[at:end])
+        if len(other):
+            return at + int(other[0])
+        at, step = end, step * 4
+    return n
+
+
+def _bridge(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int] | None:
+    """The fewest words to skip on both sides so that ``k`` equal ones follow, or ``SHORT_RUN`` after as many words at most."""
+    p, q = a[:BREAK + k].tolist(), b[:BREAK + k].tolist()
+    for need, most in ((k, BREAK), (SHORT_RUN, SHORT_RUN)):
+        for longer in range(1, most + 1):
+            for shorter in range(longer, -1, -1):
+                for x, y in ((longer, shorter), (shorter, longer)):
+                    if x + need <= len(p) and y + need <= len(q) and p[x:x + need] == q[y:y + need]:
+                        return x, y
+    return None
+
+
+def extended(a: np.ndarray, b: np.ndarray, k: int = WORDS, similar: float = SIMILAR) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """How far two sequences run alike from their starts: words of each, equal words, and the runs (start and end in a) of equal ones.
+
+    The end is the last equal word up to which the share of equal words is high enough.
+    """
+    i = j = equal = 0
+    best, runs, kept = (0, 0, 0), [], 0
+    while True:
+        n = _alike(a[i:], b[j:])
+        if n:
+            runs.append((i, i + n))
+            i, j, equal = i + n, j + n, equal + n
+            if equal >= similar * max(i, j):
+                best, kept = (i, j, equal), len(runs)
+        step = _bridge(a[i:], b[j:], k)
+        if step is None:
+            return *best, runs[:kept]
+        i, j = i + step[0], j + step[1]
 
 
 def passages(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int], k: int = WORDS, least: int = LEAST,
-             similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start and end in a, start and end in b, similarity) along a chain of seeds at xs in a and ys in b."""
-    runs: list[list] = []  # start a, start b, end a, end b, equal words
+             similar: float = SIMILAR) -> list[tuple[int, int, int, int, float, list[tuple[int, int]]]]:
+    """Passages along a chain of seeds at xs in a and ys in b: start and end in a, start and end in b, similarity, runs of ``least`` equal
+    words or more (start and end in a)."""
+    out = []
+    end_a = end_b = 0  # of the passage before
     for x, y in zip(xs, ys, strict=True):
-        if not np.array_equal(a[x:x + k], b[y:y + k]):
+        if x < end_a or y < end_b or not np.array_equal(a[x:x + k], b[y:y + k]):
             continue
-        if runs:
-            sa, sb, ea, eb, equal = runs[-1]
-            if x <= ea or y <= eb:
-                step = min(x + k - ea, y + k - eb)
-                if x - ea == y - eb and step > 0:
-                    runs[-1] = [sa, sb, x + k, y + k, equal + step]
-                continue
-            left, right = a[ea:x], b[eb:y]
-            if len(left) == len(right) and np.array_equal(left, right):
-                same = len(left)
-            elif len(left) + len(right) > 400:
-                same = 0
-            else:
-                same = sum(m.size for m in SequenceMatcher(None, left.tolist(), right.tolist(), autojunk=False).get_matching_blocks())
-            if max(len(left), len(right)) - same <= BREAK:
-                runs[-1] = [sa, sb, x + k, y + k, equal + same + k]
-                continue
-        runs.append([x, y, x + k, y + k, k])
-    out = []
-    for i, (sa, sb, ea, eb, equal) in enumerate(runs):
-        low_a, low_b = (runs[i - 1][2], runs[i - 1][3]) if i else (0, 0)
-        high_a, high_b = (runs[i + 1][0], runs[i + 1][1]) if i + 1 < len(runs) else (len(a), len(b))
-        da, db, same = _extended(a[max(low_a, sa - 2 * MARGIN):sa][::-1], b[max(low_b, sb - 2 * MARGIN):sb][::-1])
-        sa, sb, equal = sa - da, sb - db, equal + same
-        da, db, same = _extended(a[ea:min(high_a, ea + 2 * MARGIN)], b[eb:min(high_b, eb + 2 * MARGIN)])
-        ea, eb, equal = ea + da, eb + db, equal + same
+        da, db, before, left = extended(a[:x][::-1], b[:y][::-1], k, similar)
+        fa, fb, after, right = extended(a[x:], b[y:], k, similar)
+        sa, sb, ea, eb, equal = x - da, y - db, x + fa, y + fb, before + after
+        end_a, end_b = ea, eb
         share = equal / max(ea - sa, eb - sb)
         if min(ea - sa, eb - sb) >= least and share >= similar:
-            out.append((sa, ea, sb, eb, share))
+            runs = [(x - q, x - p) for p, q in left[::-1]] + [(x + p, x + q) for p, q in right]
+            joined: list[tuple[int, int]] = []
+            for p, q in runs:
+                if joined and joined[-1][1] == p == x:  # one run through the seed
+                    joined[-1] = (joined[-1][0], q)
+                else:
+                    joined.append((p, q))
+            out.append((sa, ea, sb, eb, share, [r for r in joined if r[1] - r[0] >= least]))
     return out
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
     """``seed, id, at`` of the documents ``docs(id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, SLICE):
             found = [seeds_of(word_hashes(t)) for t in b.column(1).to_pylist()]
             if found:
                 counts = [len(f[0]) for f in found]
@@ -198,19 +225,47 @@ def _seeds(docs: DataFrame) -> DataFrame:
 def _packed_words(docs: DataFrame) -> DataFrame:
     """``id, words``: 16 bits of each word's hash, two bytes a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, SLICE):
             packed = [(word_hashes(t) >> np.uint64(48)).astype("<u2").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "words"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, words binary")
 
 
+def stretches_of(places: np.ndarray) -> np.ndarray:
+    """For each of the sorted places, the first of its stretch."""
+    first = np.concatenate(([True], np.diff(places) > APART))
+    return places[np.flatnonzero(first)][np.cumsum(first) - 1]
+
+
+def _in_stretches(shared: DataFrame) -> DataFrame:
+    """``seed, id, at, first``: shared seeds with the first seed of their stretch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            if not b.num_rows:
+                continue
+            seeds, firsts, places, counts = [], [], [], []
+            for at, own in zip(b.column(1), b.column(2), strict=True):
+                place, seed = at.values.to_numpy(zero_copy_only=False), own.values.to_numpy(zero_copy_only=False)
+                order = np.argsort(place, kind="stable")
+                places.append(place[order])
+                seeds.append(seed[order])
+                firsts.append(stretches_of(place[order]))
+                counts.append(len(order))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(places)), pa.array(np.concatenate(firsts))],
+                                             ["seed", "id", "at", "first"])
+
+    per_document = shared.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("seed").alias("seed"))
+    return per_document.mapInArrow(run, f"seed long, id {dict(shared.dtypes)['id']}, at int, first int")
+
+
 def _chained(matches: DataFrame, seeds: int) -> DataFrame:
-    """Chains of the pairs ``matches(id, other, xs, ys)``."""
+    """Chains of the pairs ``matches(id, first, other, other_first, xs, ys)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             place, xs, ys = [], [], []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 pairs = sorted({(p, q) for p, q in zip(x, y, strict=True)})
                 x, y = [p for p, _ in pairs], [q for _, q in pairs]
                 for chain in chains(x, y):
@@ -219,32 +274,90 @@ def _chained(matches: DataFrame, seeds: int) -> DataFrame:
                         xs.append([x[c] for c in chain])
                         ys.append([y[c] for c in chain])
             at = pa.array(place, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32()))],
-                                             ["id", "other", "xs", "ys"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(4)], pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32()))],
+                                             ["id", "first", "other", "other_first", "xs", "ys"])
 
     kind = dict(matches.dtypes)["id"]
-    return matches.select("id", "other", "xs", "ys").mapInArrow(run, f"id {kind}, other {kind}, xs array<int>, ys array<int>")
+    return matches.select("id", "first", "other", "other_first", "xs", "ys").mapInArrow(
+        run, f"id {kind}, first int, other {kind}, other_first int, xs array<int>, ys array<int>")
+
+
+_FOUND = "start long, end long, other_start long, other_end long, similarity double, runs array<int>"
 
 
 def _aligned(fetched: DataFrame, least: int, similar: float) -> DataFrame:
-    """Passages of ``fetched(id, other, xs, ys, a, b, a_from, b_from)``."""
+    """Passages of ``fetched(id, first, other, xs, ys, a, b, a_from, b_from)``; ``runs`` has starts and ends of equal runs in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             place, rows = [], []
-            cols = [batch.column(i).to_pylist() for i in range(2, 8)]
+            cols = [batch.column(i).to_pylist() for i in range(3, 9)]
             for i, (xs, ys, a, b, a_from, b_from) in enumerate(zip(*cols, strict=True)):
                 left, right = np.frombuffer(a, dtype="<u2"), np.frombuffer(b, dtype="<u2")
-                for sa, ea, sb, eb, share in passages(left, right, [x - a_from for x in xs], [y - b_from for y in ys], least=least, similar=similar):
+                for sa, ea, sb, eb, share, runs in passages(left, right, [x - a_from for x in xs], [y - b_from for y in ys], least=least, similar=similar):
                     place.append(i)
-                    rows.append((sa + a_from, ea + a_from, sb + b_from, eb + b_from, share))
+                    rows.append((sa + a_from, ea + a_from, sb + b_from, eb + b_from, share, [p + a_from for r in runs for p in r]))
             at = pa.array(place, pa.int64())
-            parts = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(p, pa.int64()) for p in parts[:4]],
-                                              pa.array(parts[4], pa.float64())], ["id", "other", "start", "end", "other_start", "other_end", "similarity"])
+            parts = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(3)], *[pa.array(p, pa.int64()) for p in parts[:4]],
+                                              pa.array(parts[4], pa.float64()), pa.array(parts[5], pa.list_(pa.int32()))],
+                                             ["id", "first", "other", "start", "end", "other_start", "other_end", "similarity", "runs"])
 
     kind = dict(fetched.dtypes)["id"]
-    return fetched.select("id", "other", "xs", "ys", "a", "b", "a_from", "b_from").mapInArrow(
-        run, f"id {kind}, other {kind}, start long, end long, other_start long, other_end long, similarity double")
+    return fetched.select("id", "first", "other", "xs", "ys", "a", "b", "a_from", "b_from").mapInArrow(run, f"id {kind}, first int, other {kind}, {_FOUND}")
+
+
+def run_hashes(words: np.ndarray, least: int) -> np.ndarray:
+    """A hash of every run of ``least`` words."""
+    n = len(words) - least + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
+    mixed = _mixed(words.astype(np.uint64) + np.uint64(1))
+    prefix = np.concatenate(([np.uint64(0)], np.cumsum(mixed * _powers(_P, len(words)))))
+    return _mixed((prefix[least:] - prefix[:-least]) * _powers(_P_INVERSE, len(words))[:n])
+
+
+def _open_runs(pieces: DataFrame, least: int) -> DataFrame:
+    """``seed, id, at, first`` of the runs of ``pieces(id, first, from, piece, runs)`` that no run of equal words covers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE):
+            place, seeds, ats = [], [], []
+            for i, (start, piece, covered) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                hashes = run_hashes(np.frombuffer(piece, dtype="<u2"), least)
+                change = np.zeros(len(hashes) + 1, dtype=np.int64)
+                for own in covered or []:
+                    for p, q in zip(own[::2], own[1::2], strict=True):
+                        change[max(0, p - start)] += 1
+                        change[min(len(hashes), max(0, q - start - least + 1))] -= 1
+                at = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+                place.append(np.full(len(at), i))
+                seeds.append(hashes[at].view(np.int64))
+                ats.append((at + start).astype(np.int32))
+            if place:
+                rows = pa.array(np.concatenate(place))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds), pa.int64()), b.column(0).take(rows), pa.array(np.concatenate(ats), pa.int32()),
+                                                  b.column(1).take(rows)], ["seed", "id", "at", "first"])
+
+    return pieces.select("id", "first", "from", "piece", "runs").mapInArrow(run, f"seed long, id {dict(pieces.dtypes)['id']}, at int, first int")
+
+
+def _pairs(found: DataFrame, homes: DataFrame, seeds: int) -> DataFrame:
+    """Matches of ``found(seed, id, at, first)`` with the first place of each seed in ``homes(seed, other)``, by pair of stretches."""
+    home = found.join(homes.withColumnRenamed("other", "id"), ["seed", "id"]).groupBy("seed", "id").agg(F.min(F.struct("at", "first")).alias("home"))
+    home = cut(home.select("seed", F.col("id").alias("other"), "home"))
+    matches = found.join(home, "seed").where("id <> other").select("id", "first", "other", F.col("home.first").alias("other_first"), "at", F.col("home.at").alias("other_at"))
+    pairs = matches.groupBy("id", "first", "other", "other_first").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys"))
+    return pairs.where(F.size("xs") >= seeds)
+
+
+def _homes(found: DataFrame) -> DataFrame:
+    """``seed, other``: the smallest document of each seed that several hold."""
+    return found.groupBy("seed").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other <> last").select("seed", "other")
+
+
+def _passages(chained: DataFrame, pieces: DataFrame, least: int, similar: float) -> DataFrame:
+    a = pieces.select("id", "first", F.col("from").alias("a_from"), F.col("piece").alias("a"))
+    b = pieces.select(F.col("id").alias("other"), F.col("first").alias("other_first"), F.col("from").alias("b_from"), F.col("piece").alias("b"))
+    return _aligned(chained.join(a, ["id", "first"]).join(b, ["other", "other_first"]), least, similar)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, similar: float = SIMILAR,
@@ -253,25 +366,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     earlier document (smaller id) holds too. A passage of many documents is reported for all but the first."""
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    if _repeats(texts):
+        one = texts.groupBy("id").agg(F.min(F.xxhash64("text")).alias("one"))
+        texts = texts.join(one, "id").where(F.xxhash64("text") == F.col("one")).drop("one").dropDuplicates(["id"])
     found = _seeds(texts)
-    first = cut(found.groupBy("seed").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other <> last").select("seed", "other"))
-    shared = cut(found.join(first, "seed"))
-    home = cut(shared.where("id = other").groupBy("seed").agg(F.min("at").alias("other_at")))
-    matches = shared.where("id <> other").join(home, "seed")
-    pairs = matches.groupBy("id", "other").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.size("xs") >= seeds)
-
-    span = _chained(pairs, seeds)
-    for side, places in (("a", "xs"), ("b", "ys")):
-        span = span.withColumn(f"{side}_from", F.greatest(F.lit(0), F.array_min(places) - MARGIN)).withColumn(f"{side}_to", F.array_max(places) + WORDS + MARGIN)
-    span = cut(span)
-    wanted = span.select("id", F.col("a_from").alias("from"), F.col("a_to").alias("to")).union(span.select("other", "b_from", "b_to")).distinct()
-    words = _packed_words(texts.dropDuplicates(["id"]) if _repeats(texts) else texts)
-    pieces = cut(words.join(cut(wanted), "id").select("id", "from", "to", F.expr("substring(words, `from` * 2 + 1, (`to` - `from`) * 2)").alias("piece")))
-    a = pieces.select("id", F.col("from").alias("a_from"), F.col("to").alias("a_to"), F.col("piece").alias("a"))
-    b = pieces.select(F.col("id").alias("other"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("piece").alias("b"))
-    fetched = span.join(a, ["id", "a_from", "a_to"]).join(b, ["other", "b_from", "b_to"])
-    return _aligned(fetched, least, similar).select(F.col("id").alias(id_col), "start", "end", F.col("other").alias("other_id"), "other_start", "other_end",
-                                                    "similarity")
+    first = cut(_homes(found))
+    shared = cut(_in_stretches(found.join(first, "seed").select("seed", "id", "at")))
+    wanted = shared.groupBy("id", "first").agg((F.max("at") + WORDS + MARGIN).alias("to")).withColumn("from", F.greatest(F.lit(0), F.col("first") - MARGIN))
+    wanted = wanted.where(F.col("to") - F.col("first") >= least - REACH + MARGIN - REACH)  # shorter ones hold no passage
+    pieces = cut(_packed_words(texts).join(cut(wanted), "id").select(
+        "id", "first", "from", F.expr("substring(words, `from` * 2 + 1, (`to` - `from`) * 2)").alias("piece")))
+
+    near = cut(_passages(_chained(_pairs(shared, first, seeds), seeds), pieces, least, similar))
+    covered = near.groupBy("id", "first").agg(F.collect_list("runs").alias("runs"))
+    open_ = cut(_open_runs(pieces.join(covered, ["id", "first"], "left"), least))
+    rest = _passages(_chained(_pairs(open_, _homes(open_), 1), 1), pieces, least, similar)
+    columns = ["id", "start", "end", "other", "other_start", "other_end", "similarity"]
+    # chains of one pair may meet in a passage
+    out = near.select(*columns).union(rest.select(*columns)).distinct()
+    return out.select(F.col("id").alias(id_col), "start", "end", F.col("other").alias("other_id"), "other_start", "other_end", "similarity")
 
 
 def _repeats(texts: DataFrame) -> bool:

@@ -87,12 +87,96 @@ def test_alignment_counts_equal_words():
     a = np.arange(100, dtype=np.uint16)
     b = a.copy()
     b[[20, 50]] = 999
-    assert S.passages(a, b, [0, 60], [0, 60]) == [(0, 100, 0, 100, 0.98)]
+    assert S.passages(a, b, [0, 60], [0, 60]) == [(0, 100, 0, 100, 0.98, [])]
+    assert S.passages(a, a, [30], [30]) == [(0, 100, 0, 100, 1.0, [(0, 100)])]
+    b[20] = a[20]
+    assert S.passages(a, b, [60], [60]) == [(0, 100, 0, 100, 0.99, [(0, 50)])]
     b = np.concatenate([a[:40], np.full(30, 888, np.uint16), a[40:]])  # a long insertion parts the passage
-    assert S.passages(a, b, [0, 30, 60, 80], [0, 30, 90, 110], least=30) == [(0, 40, 0, 40, 1.0), (40, 100, 70, 130, 1.0)]
+    assert S.passages(a, b, [0, 30, 60, 80], [0, 30, 90, 110], least=30) == [(0, 40, 0, 40, 1.0, [(0, 40)]), (40, 100, 70, 130, 1.0, [(40, 100)])]
 
 
 def test_odd_rows(spark):
     found = S.repeated_passages(odd(spark)).collect()
     assert {(r.doc_id, r.other_id) for r in found} == {(6, 5), (7, 5), (9, 8)}
     assert S.repeated_passages(empty(spark)).count() == 0
+
+
+def test_run_hashes():
+    words = np.random.default_rng(1).integers(0, 4, 300).astype("<u2")
+    found, seen = S.run_hashes(words, 7), {}
+    for i, h in enumerate(found.tolist()):
+        assert seen.setdefault(tuple(words[i:i + 7].tolist()), h) == h
+    assert len(found) == 294 and len(set(found.tolist())) == len(seen) and not len(S.run_hashes(words[:6], 7))
+
+
+def linked(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return find
+
+
+def test_parts_of_a_passage_hide_no_link(spark):
+    """Two documents share 100 words of which earlier ones hold overlapping parts, too short to be reported."""
+    rnd = random.Random(11)
+    fresh = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+    whole = fresh(100)
+    docs = {i: fresh(5) + whole[20 * (i - 1):20 * (i - 1) + 40] + fresh(5) for i in range(1, 5)}
+    docs[8], docs[9] = fresh(9) + whole + fresh(3), fresh(2) + whole + fresh(40)
+    docs[7] = fresh(30) + whole[5:95] + fresh(3)
+    found = S.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other_id): (r.start, r.end, r.other_start, r.other_end) for r in found}
+    # 7 holds 90 of the words, which 8 and 9 share with it; the runs that begin or end outside those are joined on their own
+    assert got == {(8, 7): (14, 104, 30, 120), (9, 7): (7, 97, 30, 120), (9, 8): (2, 102, 9, 109)}
+
+
+def test_every_equal_run_is_linked(spark):
+    """Nested and overlapping passages in 60 documents against comparing all runs of 50 words."""
+    rnd = random.Random(12)
+    sources = [[f"s{k}w{i}" for i in range(160)] for k in range(3)]
+    docs = {}
+    for i in range(60):
+        words = []
+        for _ in range(rnd.randint(1, 3)):
+            source, a = rnd.choice(sources), rnd.randrange(120)
+            part = list(source[a:a + rnd.randint(20, 110)])
+            if rnd.random() < 0.3:
+                part[rnd.randrange(len(part))] = f"odd{i}"
+            words += [f"own{rnd.randrange(10**9)}" for _ in range(rnd.randint(0, 30))] + part
+        docs[i] = words
+    holders = {}
+    for i, words in docs.items():
+        for at in range(len(words) - 49):
+            holders.setdefault(tuple(words[at:at + 50]), set()).add(i)
+    found = S.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(4)).collect()
+    by_run = {}
+    for r in found:
+        a, b = docs[r.doc_id][r.start:r.end], docs[r.other_id][r.other_start:r.other_end]
+        assert r.other_id < r.doc_id and min(len(a), len(b)) >= 50 and r.similarity >= S.SIMILAR
+        if r.similarity == 1:  # ends are exact: neither side goes on alike
+            assert a == b
+            assert r.start == 0 or r.other_start == 0 or docs[r.doc_id][r.start - 1] != docs[r.other_id][r.other_start - 1]
+            assert r.end == len(docs[r.doc_id]) or r.other_end == len(docs[r.other_id]) or docs[r.doc_id][r.end] != docs[r.other_id][r.other_end]
+        for run in {tuple(a[i:i + 50]) for i in range(len(a) - 49)} & {tuple(b[i:i + 50]) for i in range(len(b) - 49)}:
+            by_run.setdefault(run, []).append((r.doc_id, r.other_id))
+    for run, own in holders.items():  # all holders of a run are linked through passages that hold that run
+        find = linked(by_run.get(run, []))
+        assert len({find(x) for x in own}) == 1, (run[0], own)
+
+
+def test_long_gaps_and_rows_with_one_id(spark):
+    rnd = random.Random(13)
+    fresh = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+    core = fresh(900)
+    other = list(core)
+    for at in range(7, 900, 12):  # no seed in common anywhere but at the ends
+        other[at] = f"z{at}"
+    other[:60], other[-60:] = core[:60], core[-60:]
+    docs = [(1, " ".join(core)), (2, " ".join(other)), (3, "a b"), (3, " ".join(core)), (3, " ".join(core))]
+    found = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert (2, 1, 0, 900) in {(r.doc_id, r.other_id, r.start, r.end) for r in found}

@@ -24,10 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.session import ship_package
 
 # Phrases of the base scan and their labels.
@@ -192,10 +194,20 @@ def detect(words: bytes) -> list[tuple[int, int, Rule]]:
             tried |= {x[0]: x for x in own if all(any(k in padded for k in group) for group in x[3])}
     found = [(m.start(), m.end(), rule) for _, rule, pattern, _ in tried.values() for m in pattern.finditer(words)]
     found.sort(key=lambda d: (d[2].priority, d[0] - d[1], d[0]))
-    kept: list[tuple[int, int, Rule]] = []
+    # the furthest end of what was kept with a start up to here: prefix maxima in a Fenwick tree over the starts
+    rank = {start: r for r, start in enumerate(sorted({d[0] for d in found}), 1)}
+    tree, kept = [0] * (len(rank) + 1), []
     for start, end, rule in found:
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        reach, r = 0, rank[start]
+        while r:
+            reach, r = max(reach, tree[r]), r & r - 1
+        if reach >= end:  # it lies within one
+            continue
+        kept.append((start, end, rule))
+        r = rank[start]
+        while r < len(tree):
+            tree[r] = max(tree[r], end)
+            r += r & -r
     return sorted(kept, key=lambda d: d[:2])
 
 
@@ -203,10 +215,15 @@ def scan_text(text: str | None) -> dict:
     """Everything that is reported of one text."""
     parts = (text or "").encode("utf-8", "replace").lower().translate(_TO_WORDS).split()
     words = b" ".join(parts)
+    starts = np.cumsum([0] + [len(p) + 1 for p in parts])  # of each word
+
+    def word(at: int) -> int:
+        return int(np.searchsorted(starts, at, "right")) - 1
+
     places, base = [], set()
     for label, phrase, pattern in _BASE:
         if phrase in words:
-            own = [words.count(b" ", 0, m.start()) for m in pattern.finditer(words)]
+            own = [word(m.start()) for m in pattern.finditer(words)]
             if own:
                 base.add(label)
                 places += own
@@ -215,7 +232,7 @@ def scan_text(text: str | None) -> dict:
     weight = max([r.weight for _, _, r in kept] + [0.5] * bool(base), default=0.0)
     return {"n_words": len(parts), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": weight,
-            "spans": [(words.count(b" ", 0, a), words.count(b" ", 0, b) + 1, r.label, r.priority) for a, b, r in kept]}
+            "spans": [(word(a), word(b - 1) + 1, r.label, r.priority) for a, b, r in kept]}
 
 
 FIELDS = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(),
@@ -229,7 +246,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in FIELDS["spans"].value_type]
-        for b in batches:
+        for b in slices(batches):
             rows = [scan_text(t) for t in b.column(1).to_pylist()]
             for r in rows:
                 r["spans"] = [dict(zip(names, s, strict=True)) for s in r["spans"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 from llm_fixtures import DDL, empty, odd, odd_rows, plain
@@ -82,6 +83,40 @@ def test_main_text():
     assert len(html_text.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>")) == 20_000 * 10 - 1
 
 
+def test_classes_strike_parts_and_not_wrappers():
+    def page(body):
+        return html_text.main_text(f"<body>{body}</body>")
+    want = " ".join([LONG_P[3:-4].strip()])
+    assert page(f'<div class="content with-sidebar">{LONG_P}<div class="sidebar">no</div></div>') == want
+    assert page(f'<div class="site has-sidebar"><div id="side-bar">no</div>{LONG_P}</div>') == want
+    assert page(f'<div class="page-header">no</div><article><div class="entry-header"><h1>Head</h1></div>{LONG_P}</article>') == "Head " + want
+    assert page(f'<div class="comments-enabled"><article>{LONG_P}</article><div class="comments">{LONG_P}</div></div>') == want
+    assert page(f'<main>{LONG_P}<div class="more-stories"><p>Other things to read</p></div><div class="newsletterBox">no</div></main>') == want
+    assert page(f'<article>{LONG_P}<div class="notice">no</div><button>no</button></article>') == want
+
+
+def test_the_cluster_decides_inside_the_region():
+    links = "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(30))
+    for region in ("article", "main"):
+        text = html_text.main_text(f"<{region}>{LONG_P}<p>Is.</p><p><a href=y>One link.</a></p>{LONG_P}<ul>{links}</ul>{LONG_P}</{region}>")
+        assert "Link number" not in text and text.count("A long text") == 15 and "Is. One link." in text
+
+
+def test_work_grows_with_the_length_alone():
+    for page in ["<b>" * 200_000, "<div>" * 200_000, "<p><i>" + "<b>" * 100_000 + "</i>" * 100_000, "<li><p>" * 100_000, "<a>" * 1000 + "</p>" * 100_000,
+                 "<table><tr><td>" * 50_000]:
+        start = time.perf_counter()
+        assert html_text.main_text(page + "word") == "word"
+        assert time.perf_counter() - start < 15
+
+
+def test_long_texts_are_scanned_in_step():
+    text = "Licensed under the MIT license, and the GNU General Public License. CC BY 4.0, all rights reserved. "
+    start = time.perf_counter()
+    found = license_scan.scan_text(text * 10_000)
+    assert time.perf_counter() - start < 30 and found["n_base"] == 30_000 and len(found["spans"]) >= 20_000
+
+
 def test_smoothing_is_gaussian():
     x = np.array([0.0, 0, 1, 0, 0, 0, 5])
     kernel = {d: np.exp(-d * d / 2) for d in range(-3, 4)}

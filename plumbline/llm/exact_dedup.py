@@ -3,11 +3,10 @@
 Two texts are equal when they are identical after each run of ASCII white space has become one space; a null
 text counts as empty.
 
-1. One pass over the texts counts the rows of each (length, hash of the first characters). A row that is alone
-   there has no copy.
-2. The pairs that hold two rows or more mark slots of a table of at most ``SLOTS`` rows, which is broadcast. The
-   second pass computes the full hash only where a row's slot is marked. A row that shares a slot by chance is
-   hashed in vain; nothing is lost.
+1. One pass over the texts stores id, length and a hash of the first characters of each row, all of them narrow. Lengths that
+   one row has are done with; of the others, so are (length, prefix) pairs that one row has.
+2. The pairs that are left mark slots of a table sized by their number (see ``keeping``). The second pass reads the whole text
+   and computes the full hash only where a row's slot is marked. A row that shares a slot by chance is hashed in vain; nothing is lost.
 3. The full hash makes the groups. A group with a third of all rows leaves every task as one row, and the join
    that brings its answer back is a plain equi-join of two stored tables, which adaptive execution splits.
 
@@ -21,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.keeping import keep_rows
+from plumbline.llm.keeping import MOST_MARKED, Marks, keep_rows
 from plumbline.session import cut
 
 PREFIX = 256
-SLOTS = 1 << 18  # rows of the broadcast table at most
 
 
 def normalised(text: Column) -> Column:
@@ -33,20 +31,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
-                 prefix: int = PREFIX, slots: int = SLOTS) -> DataFrame:
-    """One row per input row: ``id_col, keep_id, group_size, kept``.
-
-    ``digest=True`` adds ``text_sha256`` (lowercase hex of the normalised text) of every row, which is then
-    computed for rows without a copy as well.
-    """
+def _refined(docs: DataFrame, id_col: str, text_col: str, digest: bool, prefix: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(``id, key, sha, times`` of every row, ``key, keep_id, group_size`` of the keys that several rows have), both stored."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("len", F.length("norm")).withColumn("pre", F.xxhash64(F.substring("norm", 1, prefix)))
-    slot = F.pmod(F.xxhash64("len", "pre"), F.lit(slots)).cast("int").alias("slot")
 
-    shared = rows.groupBy("len", "pre").count().where("count > 1").select(slot).distinct()
+    measured = cut(rows.groupBy("len", "pre").agg(F.count("*").alias("n")))  # the narrow table, alike rows summed
+    lengths = measured.groupBy("len").agg(F.sum("n").alias("n")).where("n > 1").select("len")
+    shared = measured.where("n > 1").join(lengths, "len", "left_semi").select("len", "pre")
     full = F.sha2("norm", 256)
-    hashed = rows.withColumn("slot", slot).join(F.broadcast(shared.withColumn("marked", F.lit(True))), "slot", "left").select(
+    hashed = Marks(shared, "len", "pre", most=most).told(rows, "marked").select(
         "id",
         # a row alone in its slot is alone in (length, prefix), which then names it
         F.when(F.col("marked"), full).otherwise(F.concat_ws(":", F.lit("alone"), "len", "pre")).alias("key"),
@@ -54,7 +48,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     hashed = cut(hashed.groupBy("id", "key", "sha").agg(F.count("*").alias("times")))
     groups = cut(hashed.groupBy("key").agg(F.min("id").alias("keep_id"), F.sum("times").alias("group_size")).where("group_size > 1"))
+    return hashed, groups
+
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
+                 prefix: int = PREFIX, most: int = MOST_MARKED) -> DataFrame:
+    """One row per input row: ``id_col, keep_id, group_size, kept``.
+
+    ``digest=True`` adds ``text_sha256`` (lowercase hex of the normalised text) of every row, which is then
+    computed for rows without a copy as well.
+    """
+    hashed, groups = _refined(docs, id_col, text_col, digest, prefix, most)
     copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
     joined = hashed.join(groups, "key", "left").select(
         "id", F.coalesce("keep_id", F.when(F.col("group_size").isNull(), F.col("id"))).alias("keep_id"),
@@ -64,8 +68,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.select(*out, *([F.col("sha").alias("text_sha256")] if digest else []))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeated with one id, one stays."""
-    verdict = exact_groups(docs, id_col, text_col, digest=True).groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("tag")).agg(
-        F.max("kept").alias("keep"), F.count("*").alias("times"))
-    return keep_rows(docs, cut(verdict), id_col, F.sha2(normalised(docs[text_col]), 256))
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_MARKED) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated with one id, one stays. Only texts that may have a copy are
+    hashed as a whole, and only those that are dropped (and a few by chance) are moved."""
+    hashed, groups = _refined(docs, id_col, text_col, False, PREFIX, most)
+    verdict = hashed.join(groups, "key").select("id", F.col("key").alias("tag"), F.col("id").eqNullSafe(F.col("keep_id")).alias("keep"), "times")
+    return keep_rows(docs, cut(verdict), id_col, F.sha2(normalised(docs[text_col]), 256), most)

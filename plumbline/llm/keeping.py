@@ -1,8 +1,9 @@
 """Takes the rows that a narrow verdict keeps, without shuffling the texts of rows that are not in question.
 
-The ids with a row that goes, or with several equal rows, mark slots of a table of at most ``SLOTS`` rows, which is broadcast. A row
-whose slot is not marked stays and passes where it is read. The others (those in question and a few that share a slot) meet
-the verdict in an equi-join. If most slots are marked, most rows take the second way; the result is the same.
+The keys in question mark slots of a table that is ``SPREAD`` times as wide as their number, so that whatever the size of the input one row in
+``SPREAD`` shares a marked slot by chance. The marked slots (one number each) are broadcast while there are ``MOST_MARKED`` or fewer; rows whose slot
+is not marked pass where they are read, the others meet the verdict in an equi-join. Beyond that number all rows take the join; the result is
+the same.
 """
 
 from __future__ import annotations
@@ -10,24 +11,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 19  # rows of the broadcast table at most
+SPREAD = 32
+MOST_MARKED = 1 << 22  # numbers that are broadcast at most
 
 
-def _slot(id_: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(slots)).cast("int")
+class Marks:
+    """The marked slots of some keys; ``of`` tells whether a row's slot is marked."""
 
+    def __init__(self, keys: DataFrame, *columns: str, most: int = MOST_MARKED) -> None:
+        self._columns = columns
+        hashed = keys.select(F.xxhash64(*columns).alias("key")).distinct()
+        n = hashed.count()
+        self.slots = SPREAD * max(1, n)
+        self.none, self.many = n == 0, n > most
+        self._table = hashed.select(self._slot(F.col("key")).alias("__slot")).distinct()
 
-def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, tag: Column, slots: int = SLOTS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``verdict(id, tag, keep, times)`` keeps.
+    def _slot(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.slots))
+
+    def split(self, rows: DataFrame, *columns: Column) -> tuple[DataFrame | None, DataFrame]:
+        """(rows that are not in question, rows that may be)."""
+        if self.many:
+            return None, rows
+        slotted = rows.withColumn("__slot", self._slot(F.xxhash64(*columns)))
+        return (slotted.join(F.broadcast(self._table), "__slot", "left_anti").drop("__slot"),
+                slotted.join(F.broadcast(self._table), "__slot", "left_semi").drop("__slot"))
+
+    def told(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with a column ``name``: whether a row may be in question."""
+        if self.many or self.none:
+            return rows.withColumn(name, F.lit(self.many))
+        slotted = rows.withColumn("__slot", self._slot(F.xxhash64(*self._columns)))
+        table = F.broadcast(self._table.withColumn("__marked", F.lit(True)))
+        return slotted.join(table, "__slot", "left").withColumn(name, F.coalesce("__marked", F.lit(False))).drop("__slot", "__marked")
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, tag: Column, most: int = MOST_MARKED) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that ``verdict(id, tag, keep, times)`` drops.
 
     Rows are told apart by id and ``tag`` (a hash of the text); of ``times`` rows that are alike in both, one is kept. ``verdict``
-    has one row for each (id, tag) of ``docs`` and is read twice, so it should be stored.
+    has one row at most for each (id, tag) of ``docs``; rows it does not mention stay. It is read several times, so it should be stored.
     """
-    marked = verdict.where("NOT keep OR times > 1").select(_slot(F.col("id"), slots).alias("__slot")).distinct()
-    rows = docs.withColumn("__slot", _slot(docs[id_col], slots))
-    clear = rows.join(F.broadcast(marked), "__slot", "left_anti").select(*docs.columns)
-    asked = rows.join(F.broadcast(marked), "__slot", "left_semi").withColumn("__tag", tag)
-    kept = verdict.where("keep").select(F.col("id").alias("__id"), F.col("tag").alias("__own"), F.col("times").alias("__times"))
-    found = asked.join(kept, asked[id_col].eqNullSafe(kept["__id"]) & (asked["__tag"] == kept["__own"]))
-    again = found.where("__times > 1").dropDuplicates(["__id", "__own"])
-    return clear.unionByName(found.where("__times = 1").select(*docs.columns)).unionByName(again.select(*docs.columns))
+    changes = verdict.where("NOT keep OR times > 1")
+    marks = Marks(changes, "id", most=most)
+    if marks.none:
+        return docs
+    clear, asked = marks.split(docs, docs[id_col])
+    said = changes.select(F.col("id").alias("__id"), F.col("tag").alias("__own"), F.col("keep").alias("__keep"))
+    asked = asked.withColumn("__tag", tag)
+    found = asked.join(said, asked[id_col].eqNullSafe(said["__id"]) & (asked["__tag"] == said["__own"]), "left")
+    once = found.where("__keep").dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    out = found.where("__keep IS NULL").select(*docs.columns).unionByName(once)
+    return out if clear is None else clear.unionByName(out)

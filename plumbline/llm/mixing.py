@@ -14,8 +14,8 @@ The sources form a tree, by default domain, language, source. Each node's supply
 
 The table of leaves is broadcast while it has ``MANY_LEAVES`` rows or fewer, else joined by key.
 
-Edge cases: a null in a path column is a node of its own; a null text has no tokens; null ids share one position and are taken
-together, as are rows repeated with one id. A child of weight zero gets nothing; a leaf without tokens gives nothing. A
+Edge cases: a null in a path column is a node of its own; a null text has no tokens; rows without an id are placed by a hash of their
+text. Rows at one position (repeated with one id, or equal texts without one) are taken together. A child of weight zero gets nothing; a leaf without tokens gives nothing. A
 budget over the supply gives the whole supply. An empty table gives an empty result.
 """
 
@@ -34,16 +34,22 @@ TOP = 1 << 60  # positions are 60-bit numbers
 
 
 def token_count(text: Column) -> Column:
-    """Words between ASCII white space."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
+    """Words between ASCII white space, counted without holding them: each becomes one letter, white space goes."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "w")
+    return F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def _node(path: Sequence[Column]) -> Column:
     return F.to_json(F.array(*[p.cast("string") for p in path]))
 
 
-def _position(seed: int, epoch: Column, id_: Column) -> Column:
-    text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("")))
+def _name(id_: Column, text: Column) -> Column:
+    """What places a row in its leaf: the id, or a hash of the text where there is none."""
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("no id "), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).cast("string")))
+
+
+def _position(seed: int, epoch: Column, name: Column) -> Column:
+    text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), name)
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -87,7 +93,7 @@ def mix(docs: DataFrame, path: Sequence[Column], weights: Mapping[tuple, float],
         id_col: str = "doc_id", text_col: str = "text", bin_rows: int = BIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, all columns, with ``__copies``: the epochs in which a row is taken."""
     depth, leaf = len(path), _node(path)
-    narrow = cut(docs.select(F.col(id_col).alias("id"), token_count(F.col(text_col).cast("string")).alias("tokens"),
+    narrow = cut(docs.select(_name(F.col(id_col), F.col(text_col)).alias("name"), token_count(F.col(text_col).cast("string")).alias("tokens"),
                              *[_node(path[:i]).alias(f"n{i}") for i in range(1, depth + 1)]))
     narrow = narrow.withColumn("leaf", F.col(f"n{depth}"))
     leaves = cut(narrow.groupBy("leaf", *[f"n{i}" for i in range(1, depth + 1)]).agg(F.sum("tokens").alias("supply"), F.count("*").alias("n")))
@@ -100,7 +106,7 @@ def mix(docs: DataFrame, path: Sequence[Column], weights: Mapping[tuple, float],
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
-    placed = narrow.join(small(plan), "leaf").select("leaf", "tokens", "rest", _position(seed, F.col("whole"), F.col("id")).alias("position"), "bins")
+    placed = narrow.join(small(plan), "leaf").select("leaf", "tokens", "rest", _position(seed, F.col("whole"), F.col("name")).alias("position"), "bins")
     placed = placed.withColumn("bin", _bin(F.col("position"), F.col("bins")))
     sums = placed.groupBy("leaf", "bin", "rest").agg(F.sum("tokens").alias("tokens"))
     running = F.sum("tokens").over(Window.partitionBy("leaf").orderBy("bin"))
@@ -117,7 +123,7 @@ def mix(docs: DataFrame, path: Sequence[Column], weights: Mapping[tuple, float],
 
     rows = docs.withColumn("__own", leaf)
     rows = rows.join(small(plan), rows["__own"] == plan["__leaf"])
-    position = _position(seed, F.col("__whole"), docs[id_col])
+    position = _position(seed, F.col("__whole"), _name(docs[id_col], docs[text_col]))
     at = _bin(position, F.col("__bins"))
     part = (at < F.col("__last")) | ((at == F.col("__last")) & (position <= F.col("__upto")))
     return rows.withColumn("__copies", F.col("__whole") + part.cast("long")).where("__copies > 0").select(*[docs[c] for c in docs.columns], "__copies")

@@ -24,9 +24,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,9 @@ from plumbline.llm.components import components
 from plumbline.llm.keeping import keep_rows
 from plumbline.session import cut, ship_package
 
+if TYPE_CHECKING:  # workers that make fingerprints need not load it
+    import pandas as pd
+
 WORDS = 4
 MAX_BITS = 4
 SHARED_BYTES = 8 - MAX_BITS
@@ -131,6 +134,8 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int,
 
 
 def _compare_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     left = np.sort(group.loc[group["block"] == i, "fp"].to_numpy(dtype=np.int64))
     right = left if i == j else np.sort(group.loc[group["block"] == j, "fp"].to_numpy(dtype=np.int64))

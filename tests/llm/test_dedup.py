@@ -33,13 +33,14 @@ def exact_expected():
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("slots", [1, 1 << 18])
-def test_exact_groups(spark, slots):
-    assert plain(exact_dedup.exact_groups(odd(spark), slots=slots)) == exact_expected()
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_exact_groups(spark, most):
+    assert plain(exact_dedup.exact_groups(odd(spark), most=most)) == exact_expected()
 
 
 def test_exact_prefix_is_not_the_whole(spark):
     docs = spark.createDataFrame([(1, "same start a"), (2, "same start b"), (3, "same start a")], "doc_id long, text string")
+    assert plain(exact_dedup.drop_copies(docs), "doc_id") == [(1,), (2,)]
     assert plain(exact_dedup.exact_groups(docs, prefix=5)) == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False)]
 
 
@@ -115,8 +116,8 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("slots", [1, 3, 1 << 19])
-def test_keep_rows(spark, slots):
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_keep_rows(spark, most):
     from pyspark.sql import functions as F
 
     from plumbline.llm.keeping import keep_rows
@@ -124,6 +125,22 @@ def test_keep_rows(spark, slots):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     verdict = spark.createDataFrame([(1, "a", True, 1), (1, "b", False, 1), (2, "a", False, 1), (3, "c", True, 2), (None, "d", True, 2), (None, "e", False, 1),
                                      (4, "f", True, 1)], "id long, tag string, keep boolean, times long")
-    left = keep_rows(docs, verdict, "doc_id", F.col("text"), slots)
-    assert left.columns == docs.columns
-    assert plain(left, "doc_id", "text") == [(None, "d"), (1, "a"), (3, "c"), (4, "f")]
+    for said in (verdict, verdict.where("NOT keep OR times > 1")):  # rows that are not mentioned stay
+        left = keep_rows(docs, said, "doc_id", F.col("text"), most)
+        assert left.columns == docs.columns
+        assert plain(left, "doc_id", "text") == [(None, "d"), (1, "a"), (3, "c"), (4, "f")]
+    assert keep_rows(docs, verdict.where("keep AND times = 1"), "doc_id", F.col("text"), most).count() == 9
+
+
+def test_rows_not_in_question_are_not_moved(spark):
+    """However many verdicts there are, only rows in question and a few by chance take the join."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.keeping import SPREAD, Marks
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    for share in (2, 9):  # nine of ten ids carry a verdict
+        verdict = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < share).select(F.col("doc_id").alias("id"))
+        clear, asked = Marks(verdict, "id").split(docs, docs["doc_id"])
+        n = verdict.count()
+        assert clear.count() + asked.count() == 20_000 and asked.join(verdict, asked["doc_id"] == verdict["id"]).count() == n
+        assert asked.count() - n <= 2 * (20_000 - n) / SPREAD

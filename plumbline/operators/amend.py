@@ -163,6 +163,42 @@ def amend_inline(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return answered.select(*columns)
 
 
+def amend_maps(rows: DataFrame, results: DataFrame, rules: Iterable[Rule], keys: Sequence[str], values: str = "values") -> DataFrame:
+    """:func:`apply_amendments` for rows ``(*keys, line, values)`` that hold their values in a map, all runs (``keys``) together.
+
+    Every row is looked up once for each set of columns that some amendment reads, by run and values; adaptive execution splits a combination that
+    many rows share. Fields that a row has not got are skipped.
+    """
+    sets: dict[tuple[str, ...], list[str]] = {}
+    for r in rules:
+        if r.type == "Amendment":
+            sets.setdefault(tuple(sorted(r.columns)), []).append(r.id)
+    if not sets:
+        return rows
+
+    def packed(source: str, columns: Sequence[str]) -> Column:
+        return F.to_json(F.array(*[F.coalesce(F.col(source)[c], F.lit("")) for c in columns]))
+
+    asked = F.array_compact(F.array(*[
+        F.when(reduce(lambda a, b: a & b, [F.map_contains_key(values, F.lit(c)) for c in columns]), F.struct(F.lit(i).alias("set"), packed(values, columns).alias("key")))
+        for i, columns in enumerate(sets)]))
+    answered, place = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, (columns, ids) in enumerate(sets.items()):
+        mine = F.col("test_id").isin(*ids)
+        answered, place = F.when(mine, packed("values", columns)).otherwise(answered), F.when(mine, F.lit(i)).otherwise(place)
+    writes = actionable(results).where(F.col("changes").isNotNull()).select(*keys, place.alias("set"), answered.alias("key"), "test_id", "changes")
+    writes = writes.where("set is not null").groupBy(*keys, "set", "key").agg(F.collect_list(F.struct("test_id", "changes")).alias("writes"))
+    found = rows.select(*keys, "line", F.inline(asked)).join(writes, [*keys, "set", "key"])
+    per_row = found.groupBy(*keys, "line").agg(F.array_sort(F.flatten(F.collect_list(F.transform("writes", lambda w: F.struct(
+        w["test_id"].alias("test_id"), F.map_entries(w["changes"]).alias("changes")))))).alias("writes"))
+    out = rows.join(per_row, [*keys, "line"], "left")
+    # the last write of a field, by test id, else the original
+    pairs = F.flatten(F.transform(F.coalesce("writes", F.array().cast("array<struct<test_id:string,changes:array<struct<key:string,value:string>>>>")),
+                                  lambda w: w["changes"]))
+    new = F.transform_values(values, lambda k, v: F.coalesce(F.try_element_at(F.filter(F.col("__pairs"), lambda p: (p["key"] == k) & p["value"].isNotNull()), F.lit(-1))["value"], v))
+    return out.withColumn("__pairs", pairs).withColumn(values, new).select(*rows.columns)
+
+
 def amend_metrics(df: DataFrame, results: DataFrame) -> DataFrame:
     """One row: field updates applied, rows touched (summed over results) and target fields not found.
 

@@ -93,7 +93,7 @@ def with_default_params(requests: DataFrame, params: str = "params", parameters:
                         class_name: str = "class_name") -> DataFrame:
     """Add the default of every parameter a test declares and the request does not give.
 
-    Parameters are matched by their local name, whatever the namespace before ``:``.
+    Parameters are matched by their local name, whatever the namespace before ``:``; a blank value is none.
     """
     defaults = F.create_map(*[F.lit(x) for kv in PARAMETER_DEFAULTS.items() for x in kv])
     authority = F.lit(None).cast("string")
@@ -105,8 +105,11 @@ def with_default_params(requests: DataFrame, params: str = "params", parameters:
         return F.when(local == "sourceAuthority", authority).otherwise(defaults[local])
 
     given = F.coalesce(F.col(params), F.create_map().cast("map<string,string>"))
-    missing = F.filter(F.array_distinct(F.col(parameters)),
-                       lambda p: (F.coalesce(p, F.lit("")) != "") & ~F.map_contains_key(given, p) & default_of(p).isNotNull())
+    filled = F.map_filter(given, lambda k, v: F.btrim(F.coalesce(v, F.lit(""))) != "")
+    named = F.transform(F.map_keys(filled), lambda k: F.substring_index(k, ":", -1))
+    missing = F.filter(F.array_distinct(F.coalesce(F.col(parameters), F.array().cast("array<string>"))), lambda p: (
+        (F.coalesce(p, F.lit("")) != "") & ~F.array_contains(named, F.substring_index(p, ":", -1)) & default_of(p).isNotNull()))
+    given = F.map_filter(given, lambda k, v: ~F.array_contains(missing, k))
     added = F.map_from_arrays(missing, F.transform(missing, default_of))
     return requests.withColumn(params, F.map_concat(given, F.coalesce(added, F.create_map().cast("map<string,string>"))))
 

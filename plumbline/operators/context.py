@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ CONTEXT_DEFAULTS = {
     "ie_acted_upon": "", "ie_consulted": "", "type": "", "usecases": "",
 }
 
+BLANK_PARTS = 16  # parts over which tests with a blank value are dealt
+
 # Columns of the curated table, in order.
 CURATED_COLUMNS = [
     "test_id", "test_type", "status", "result", "actedUpon", "consulted", "count", "actedUpon_cols",
@@ -38,14 +42,17 @@ def join_context(results: DataFrame, catalogue: DataFrame) -> DataFrame:
     return joined.withColumns(fills).drop("__known")
 
 
-def curated(results: DataFrame, catalogue: DataFrame, n: int | None = 500) -> DataFrame:
+def curated(results: DataFrame, catalogue: DataFrame, n: int | None = 500, keys: Sequence[str] = ()) -> DataFrame:
     """Actionable and needs-attention results with their test's texts, in a fixed order. The report keeps the
-    first ``n`` rows; None keeps all."""
+    first ``n`` rows, or the first of each value of ``keys`` (such as a run id); None keeps all."""
     joined = _context(curated_mask(results), catalogue)
-    out = joined.select(*[c for c in CURATED_COLUMNS if c in joined.columns])
+    out = joined.select(*keys, *[c for c in CURATED_COLUMNS if c in joined.columns])
     if n is None:
         return out
     order = [F.col("count").desc(), "test_id", *[c for c in ("actedUpon", "consulted", "status", "result") if c in out.columns]]
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return out.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
     return out.orderBy(*order).limit(n)
 
 
@@ -106,7 +113,12 @@ def fixes_for_combos(results: DataFrame, seq: str | None = None) -> DataFrame:
         F.explode(F.array_distinct(parse_pairs(F.col("actedUpon"), keep_bare=True))).alias("pair"),
     ).withColumn("writes", writes).filter(F.array_contains("writes", F.col("pair.field"))).select(
         F.col("pair.field").alias("field"), F.col("pair.value").alias("value"), "test_id", "result", "actedUpon", "count")
-    return bad.join(fixes, ["field", "value"]).select(
+    # a blank value is the one key that very many tests share: it is told apart by test as well, on both sides
+    blank = F.col("value") == ""
+    bad = bad.withColumn("__part", F.when(blank, F.pmod(F.xxhash64("validation_id"), F.lit(BLANK_PARTS))).otherwise(0).cast("int"))
+    parts = F.when(blank, F.sequence(F.lit(0), F.lit(BLANK_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    fixes = fixes.withColumn("__part", F.explode(parts))
+    return bad.join(fixes, ["field", "value", "__part"]).select(
         "validation_id", "field", "value", "flagged", "test_id", "result", "actedUpon", "count")
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from plumbline import names as N
 from plumbline.functions.text import pack_cols, pairs_text
-from plumbline.operators.catalogue import applicable_rules
+from plumbline.operators.catalogue import applicable_rules, with_default_params
 from plumbline.operators.combos import distinct_key_sets, unique_combos, unique_combos_all
-from plumbline.operators.lookups import MissingReference, References, attach_answers
+from plumbline.operators.lookups import MissingReference, References, attach_answers, missing_tables
 from plumbline.rules.base import unmet
 from plumbline.rules.registry import Rule, Source, bind, column_source, columns_source, map_source
 
@@ -142,19 +142,23 @@ def _evaluate_single_pass(df: DataFrame, rules: Sequence[Rule], carry: Sequence[
 
 
 def run_map_tests(rows: DataFrame, rules: Iterable[Rule], carry: Sequence[str], values: str = "values",
-                  columns: Sequence[str] | None = None) -> DataFrame:
+                  columns: Sequence[str] | None = None, refs: References | None = None) -> DataFrame:
     """:func:`run_tests` for rows that hold their values in a map, with a group such as a run id in ``carry``.
 
     A rule applies to a row when the map has all its columns, so tables with different headers run
-    together. ``columns`` narrows the rules beforehand. Rules that need reference tables are not run here.
+    together. ``columns`` narrows the rules beforehand. Rules whose reference tables are not in ``refs`` are not run here.
     """
-    chosen = [r for r in rules if not r.needs and r.type != "Measure" and r.columns
+    refs = refs or References()
+    chosen = [r for r in rules if r.type != "Measure" and r.columns and not missing_tables(r, refs)
               and (columns is None or set(r.columns) <= set(columns))]
     parts = []
     for keys, family in _families(chosen):
         have = reduce(lambda a, b: a & b, [F.map_contains_key(F.col(values), F.lit(k)) for k in keys])
         combos = unique_combos(rows.filter(have), keys, carry, map_source(F.col(values)))
-        parts.append(evaluate(combos, family, carry=carry))
+        parts.append(evaluate(combos, family, refs, carry))
+    if not parts:
+        none = rows.limit(0).select(*[N.col(c) for c in carry])
+        return none.unionByName(rows.sparkSession.createDataFrame([], RESULT_SCHEMA), allowMissingColumns=True)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -162,8 +166,9 @@ def evaluate_requests(requests: DataFrame, rules: Iterable[Rule], refs: Referenc
                       ordered: bool = False) -> DataFrame:
     """Answer requests (seq, id, params): seq, id, test_id, status, result, comment.
 
-    An id is a label or a guid. Blank and unknown ids answer with an error of their own and do not stop the
-    others. Rules without reference needs are answered in one projection; each rule with needs is a
+    An id is a label or a guid. Blank and unknown ids, and parameters of the wrong type, answer with an error of their own and do not
+    stop the others. A parameter that a test has and a request does not give takes its published default
+    (``with_default_params``), else the rule's own. Rules without reference needs are answered in one projection; each rule with needs is a
     branch over its own requests. Rows carry ``seq``, so order is restored by sorting (``ordered``).
     """
     refs = refs or References()
@@ -172,8 +177,9 @@ def evaluate_requests(requests: DataFrame, rules: Iterable[Rule], refs: Referenc
     keyed_requests = requests.withColumn("__id", F.coalesce("id", F.lit("")))
     spark = requests.sparkSession
     source = map_source(F.col("params"))
-    names = spark.createDataFrame([(k, r.id) for k, r in by_name.items()], "__id string, test_id string")
-    known = keyed_requests.join(F.broadcast(names), "__id", "left")  # one row per registered name
+    names = spark.createDataFrame([(k, r.id, sorted(r.params), r.class_name) for k, r in by_name.items()],
+                                  "__id string, test_id string, __parameters array<string>, __class string")
+    known = with_default_params(keyed_requests.join(F.broadcast(names), "__id", "left"), parameters="__parameters", class_name="__class")  # one row per registered name
 
     pure = [r for r in rules if not r.needs]
     answer = (
@@ -188,7 +194,7 @@ def evaluate_requests(requests: DataFrame, rules: Iterable[Rule], refs: Referenc
     for r in with_needs:
         mine = known.filter(F.col("test_id") == r.id)
         try:
-            out = attach_answers(mine, r, source, refs).withColumn("response", bind(r, source, F.col("params")))
+            out = attach_answers(mine, r, source, refs, F.col("params")).withColumn("response", bind(r, source, F.col("params")))
         except MissingReference as error:
             out = mine.withColumn("response", unmet(str(error), external=True))
         parts.append(out)

@@ -76,9 +76,11 @@ def _nearest_m(x: Column, y: Column, edges: Column) -> Column:
 
 
 def point_hits(points: DataFrame, boundaries: DataFrame, lat: str = "lat", lon: str = "lon", cell: float = 1.0,
-               shell_only: bool = False, buffer_m: float = 0.0) -> DataFrame:
+               shell_only: bool = False, buffer_m: float = 0.0, radius: str | None = None) -> DataFrame:
     """(lat, lon, poly_id, iso_a2) for every distinct point and polygon that contains or covers it.
 
+    ``radius`` names a column of ``points`` with a distance in metres for each row, which is then part of the answer: see :func:`_hits_within`.
+
     Points are made distinct first, so a location that holds most of the rows is tested once. The first
     join is on the cell and carries no geometry; the second fetches one band of one polygon part.
     """
@@ -95,6 +97,8 @@ def point_hits(points: DataFrame, boundaries: DataFrame, lat: str = "lat", lon:
         points.select(F.col(lat).cast("double").alias("__y"), F.col(lon).cast("double").alias("__x"))
         .filter(y.between(-90, 90) & x.between(-180, 180)).distinct()
     )
+    if radius is not None:
+        return _hits_within(points, strips, lat, lon, radius, cell)
     found = (
         distinct.withColumn("cx", _cell(x, cell)).withColumn("band", _cell(y, cell))
         .join(cells, ["cx", "band"])
@@ -106,11 +110,37 @@ def point_hits(points: DataFrame, boundaries: DataFrame, lat: str = "lat", lon:
     return found.filter(hit).select(y.alias(lat), x.alias(lon), "poly_id", "iso_a2").distinct()
 
 
+def _hits_within(points: DataFrame, strips: DataFrame, lat: str, lon: str, radius: str, cell: float) -> DataFrame:
+    """(lat, lon, radius, poly_id, iso_a2) of every distinct point and polygon part within the point's own distance.
+
+    Each point is dealt to the ring of cells that its own distance reaches, so a point without a buffer meets one cell and one with a
+    wide buffer many, and the polygons' cells are the same for all. In its own band a point is inside or near; in the others it can only be near.
+    """
+    x, y, r = F.col("__x"), F.col("__y"), F.col("__r")
+    distinct = (
+        points.select(F.col(lat).cast("double").alias("__y"), F.col(lon).cast("double").alias("__x"), F.col(radius).cast("double").alias("__r"))
+        .filter(y.between(-90, 90) & x.between(-180, 180) & (r >= 0)).distinct()
+    )
+    pad = F.least(r / METRES_PER_DEGREE, F.lit(180.0))
+    # distances are measured on a plane scaled at the point's own latitude, and so is the ring
+    pad_x = F.least(pad / F.greatest(F.cos(F.radians(y)), F.lit(1e-3)), F.lit(360.0))
+    ring = (
+        distinct.withColumn("band", F.explode(F.sequence(_cell(y - pad, cell), _cell(y + pad, cell))))
+        .withColumn("cx", F.explode(F.sequence(_cell(x - pad_x, cell), _cell(x + pad_x, cell))))
+    )
+    cells = strips.select("poly_id", "part", "band", F.explode(F.sequence(_cell(F.col("min_x"), cell), _cell(F.col("max_x"), cell))).alias("cx"))
+    met = ring.join(cells, ["band", "cx"]).select("__x", "__y", "__r", "poly_id", "part", "band").distinct()
+    found = met.join(strips.select("poly_id", "part", "band", "iso_a2", "edges"), ["poly_id", "part", "band"])
+    inside = (F.col("band") == _cell(y, cell)) & _inside(x, y, F.col("edges"))
+    near = (r > 0) & (_nearest_m(x, y, F.col("edges")) <= r)
+    return found.filter(inside | near).select(y.alias(lat), x.alias(lon), r.alias(radius), "poly_id", "iso_a2").distinct()
+
+
 def point_countries(points: DataFrame, boundaries: DataFrame, lat: str = "lat", lon: str = "lon", **how) -> DataFrame:
-    """(lat, lon, codes): the country codes a distinct point lies in, in polygon order."""
+    """(lat, lon, codes): the country codes a distinct point lies in, in polygon order; with a ``radius`` column, per point and distance."""
     hits = point_hits(points, boundaries, lat, lon, **how)
     ordered = F.array_sort(F.collect_set(F.struct("poly_id", "iso_a2")))
-    return hits.groupBy(lat, lon).agg(F.array_distinct(F.transform(ordered, lambda h: h["iso_a2"])).alias("codes"))
+    return hits.groupBy(lat, lon, *([how["radius"]] if how.get("radius") else [])).agg(F.array_distinct(F.transform(ordered, lambda h: h["iso_a2"])).alias("codes"))
 
 
 def point_country(df: DataFrame, boundaries: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "iso_a2",

@@ -12,8 +12,9 @@ from plumbline.functions.coords import number
 from plumbline.functions.sizing import is_small, small
 from plumbline.functions.text import strip
 from plumbline.operators.geo import point_countries
+from plumbline.operators.names import NameIndex, build_index, search_index
 from plumbline.operators.skew import hot_keys, left_join_hot
-from plumbline.rules.registry import Rule, Source, answer_column
+from plumbline.rules.registry import Inputs, Rule, Source, answer_column
 
 
 def keyed(table: DataFrame, key: Column, order: str | None = None, name: str = "answer") -> DataFrame:
@@ -92,56 +93,23 @@ def taxon_key(name: Column) -> Column:
     return F.abs(signed) + 1000
 
 
-def _grams(c: Column, length: Column | int) -> Column:
-    n = F.lit(length) if isinstance(length, int) else length
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n))))
+def backbone_index(backbone: DataFrame, path: str | None = None) -> NameIndex:
+    """The stored index for :func:`taxon_search` and :func:`taxon_query`; build it once for a backbone and pass it on."""
+    pos = _pos(backbone)
+    key = F.lower(collapse(F.coalesce(F.col("canonical_name"), F.lit(""))))
+    return build_index(backbone, key, F.col(pos) if pos else F.to_json(F.struct(*backbone.columns)), path)
 
 
-def taxon_search(names: DataFrame, c: str, backbone: DataFrame, limit: int = 100) -> DataFrame:
+def taxon_search(names: DataFrame, c: str, backbone: DataFrame | NameIndex, limit: int = 100) -> DataFrame:
     """(query, rank, exact, backbone columns): entries whose canonical name equals the query, else those that
     contain it, at most ``limit`` per query, by name.
 
-    Containment is an equi-join on letter triples: only entries that hold the query's rarest triple are
-    compared. Queries of up to three letters are their own gram, so an index list cut at ``limit`` answers
-    them exactly.
+    Containment looks at the shortest posting lists of the query's letter triples only (see ``names``). A backbone that
+    is no index yet is indexed first.
     """
-    pos = _pos(backbone)
-    entries = backbone.withColumn("__key", F.lower(collapse(F.col("canonical_name")))).filter("__key <> ''")
-    entry = F.struct(*[F.col(x) for x in backbone.columns])
-    order = F.struct("__key", F.col(pos) if pos else F.to_json(entry))
-    entries = entries.select("__key", entry.alias("entry"), order.alias("ord"))
-
-    queries = names.select(F.lower(collapse(F.col(c))).alias("query")).filter("query <> ''").distinct()
-    exact = queries.join(entries, F.col("query") == F.col("__key")).select("query", "entry", "ord", F.lit(True).alias("exact"))
-    rest = queries.join(entries.select("__key").distinct(), F.col("query") == F.col("__key"), "left_anti")
-
-    keys = entries.select("__key").distinct()
-    short = rest.filter(F.length("query") <= 3)
-    lists = []
-    for n in (1, 2, 3):
-        lists.append(entries.select(F.explode(_grams(F.col("__key"), n)).alias("gram"), "entry", "ord"))
-    listed = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    listed = listed.join(short.select(F.col("query").alias("gram")), "gram", "left_semi")
-    listed = _top(listed, ["gram"], limit).drop("rank")
-    by_short = short.join(listed, F.col("query") == F.col("gram")).select("query", "entry", "ord", F.lit(False).alias("exact"))
-
-    triples = keys.select("__key", F.explode(_grams(F.col("__key"), 3)).alias("gram"))
-    frequency = triples.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    long = rest.filter(F.length("query") > 3).select("query", F.explode(_grams(F.col("query"), 3)).alias("gram"))
-    counted = long.join(frequency, "gram", "left").select("query", "gram", F.coalesce("df", F.lit(0)).alias("df"))
-    rarest = counted.groupBy("query").agg(F.min(F.struct("df", "gram")).alias("g")).filter("g.df > 0").select(
-        "query", F.col("g.gram").alias("gram"))
-    matching = rarest.join(triples, "gram").filter(F.col("__key").contains(F.col("query"))).select("query", "__key")
-    by_long = matching.join(entries, "__key").select("query", "entry", "ord", F.lit(False).alias("exact"))
-
-    found = _top(exact.unionByName(by_short).unionByName(by_long), ["query"], limit)
-    return found.select("query", "rank", "exact", "entry.*")
-
-
-def _top(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ord")
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    index = backbone if isinstance(backbone, NameIndex) else backbone_index(backbone)
+    queries = names.select(F.lower(collapse(F.col(c))).alias("query"))
+    return search_index(queries, index, limit).select("query", "rank", "exact", "entry.*")
 
 
 def genus_search(names: DataFrame, c: str, backbone: DataFrame) -> DataFrame:
@@ -162,6 +130,9 @@ def taxon_by_key(df: DataFrame, c: str, backbone: DataFrame) -> DataFrame:
     return df.join(small(table), F.col(c).cast("bigint") == F.col("__key"), "left").drop("__key")
 
 
+EPOCH = "1970-01-01T00:00:00Z"  # fixed value: the date of creation in usage records
+
+
 def taxon_usage(df: DataFrame, genus: bool = False, dataset: str = "backbone") -> DataFrame:
     """Usage records of backbone rows: key, names, status, rank and the ranks with blanks for missing ones."""
     name = F.col("genus") if genus else F.col("canonical_name")
@@ -176,13 +147,14 @@ def taxon_usage(df: DataFrame, genus: bool = False, dataset: str = "backbone") -
         rank_text("kingdom").alias("kingdom"), rank_text("phylum").alias("phylum"),
         F.col("clazz").alias("class"), F.col("clazz"),
         rank_text("order").alias("order"), rank_text("family").alias("family"), rank_text("genus").alias("genus"),
-        F.lit(0).alias("numDescendants"), F.lit(False).alias("synonym"),
+        *([] if genus else [F.lit("").alias("authorship")]), F.lit(0).alias("numDescendants"), F.lit(False).alias("synonym"),
         F.concat(F.lit("local-genus:" if genus else "local:"), text if genus else key.cast("string")).alias("taxonID"),
+        F.lit(EPOCH).alias("created"),
     )
     return df.withColumn("usage", usage).withColumn("usage_json", F.to_json("usage"))
 
 
-def taxon_query(requests: DataFrame, backbone: DataFrame, dataset: str = "backbone") -> DataFrame:
+def taxon_query(requests: DataFrame, backbone: DataFrame, dataset: str = "backbone", index: NameIndex | None = None) -> DataFrame:
     """Answer search requests (request_id, name, q, rank, dataset_key, max_rows).
 
     The name falls back to ``q``; another dataset finds nothing; rank GENUS searches genera, any other rank
@@ -196,9 +168,12 @@ def taxon_query(requests: DataFrame, backbone: DataFrame, dataset: str = "backbo
                           F.lower(strip(F.col("__name"))) == F.col("__q")).select(
         "request_id", F.lit(1).alias("rank_no"), F.lit("GENUS").alias("found_rank"), F.col("genus").alias("found_name"))
     species_in = wanted.filter("__rank <> 'GENUS'")
-    # The longest list any request may ask for: results per name are ranked once and then cut per request.
+    # the longest list that any request asks for bounds the search; lists are then cut per request
+    most = species_in.agg(F.max("__max")).first()[0]
+    if most is None or most < 1:
+        return genus
     species = species_in.join(
-        taxon_search(species_in, "__name", backbone, limit=2**31 - 2).select(
+        taxon_search(species_in, "__name", index or backbone, limit=most).select(
             F.col("query").alias("__q"), F.col("rank").alias("rank_no"), F.col("canonical_name").alias("found_name")),
         F.lower(collapse(F.col("__name"))) == F.col("__q")).filter("rank_no <= __max").select(
         "request_id", "rank_no", F.lit("SPECIES").alias("found_rank"), "found_name")
@@ -237,7 +212,7 @@ def _table(refs: References, name: str) -> DataFrame:
 
 
 def _by_key(table: str, key: Callable[[Source], Column], build: Callable[[DataFrame], DataFrame]):
-    def attach(df: DataFrame, source: Source, refs: References, out: str, rule: Rule) -> DataFrame:
+    def attach(df: DataFrame, source: Source, refs: References, out: str, rule: Rule, param_map: Column | None = None) -> DataFrame:
         return with_answer(df, key(source), build(_table(refs, table)), out)
     return attach
 
@@ -256,7 +231,7 @@ def _variants(lat: Column, lon: Column) -> Column:
     return F.array(*out)
 
 
-def _geo_points(df: DataFrame, source: Source, refs: References, out: str, rule: Rule) -> DataFrame:
+def _geo_points(df: DataFrame, source: Source, refs: References, out: str, rule: Rule, param_map: Column | None = None) -> DataFrame:
     """Array over the point variants: the country codes each lies in (empty for none)."""
     boundaries = _table(refs, "boundaries")
     lat, lon = number(source(_LAT)), number(source(_LON))
@@ -275,16 +250,16 @@ def _geo_points(df: DataFrame, source: Source, refs: References, out: str, rule:
         "__lat", "__lon", "__y", "__x", "__m")
 
 
-def _geo_near(df: DataFrame, source: Source, refs: References, out: str, rule: Rule) -> DataFrame:
-    """The country codes the point lies in, within the rule's buffer."""
+def _geo_near(df: DataFrame, source: Source, refs: References, out: str, rule: Rule, param_map: Column | None = None) -> DataFrame:
+    """The country codes the point lies in, within the buffer of the row's own request or else the rule's."""
     lat, lon = number(source(_LAT)), number(source(_LON))
-    points = df.select(lat.alias("__y"), lon.alias("__x")).distinct()
-    codes = point_countries(points, _table(refs, "boundaries"), "__y", "__x",
-                            buffer_m=float(rule.params.get("spatialBufferInMeters", 0.0)))
-    joined = df.withColumn("__lat", lat).withColumn("__lon", lon).join(
-        codes, (F.col("__lat") == F.col("__y")) & (F.col("__lon") == F.col("__x")), "left")
+    metres = F.greatest(F.coalesce(Inputs(source, rule.params, param_map).param("spatialBufferInMeters", 0.0).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    points = df.select(lat.alias("__y"), lon.alias("__x"), metres.alias("__r")).distinct()
+    codes = point_countries(points, _table(refs, "boundaries"), "__y", "__x", radius="__r")
+    joined = df.withColumns({"__lat": lat, "__lon": lon, "__m": metres}).join(
+        codes, (F.col("__lat") == F.col("__y")) & (F.col("__lon") == F.col("__x")) & (F.col("__m") == F.col("__r")), "left")
     return joined.withColumn(out, F.coalesce("codes", F.array().cast("array<string>"))).drop(
-        "__lat", "__lon", "__y", "__x", "codes")
+        "__lat", "__lon", "__m", "__y", "__x", "__r", "codes")
 
 
 ANSWERS = {
@@ -304,8 +279,20 @@ ANSWERS = {
 }
 
 
-def attach_answers(df: DataFrame, rule: Rule, source: Source, refs: References) -> DataFrame:
-    """Join what ``rule`` needs from the reference tables, one answer column per need."""
+# The reference tables behind each answer.
+ANSWER_TABLES = {
+    "iso_alpha2": "iso", "iso_alpha3": "iso", "iso_code_name": "iso", "iso_name": "iso", "taxon_name": "backbone", "phylum": "backbone",
+    "habitat": "habitat", "geo_points": "boundaries", "geo_near": "boundaries",
+}
+
+
+def missing_tables(rule: Rule, refs: References) -> list[str]:
+    """The reference tables that ``rule`` needs and ``refs`` has not got."""
+    return sorted({ANSWER_TABLES[n] for n in rule.needs if getattr(refs, ANSWER_TABLES[n]) is None})
+
+
+def attach_answers(df: DataFrame, rule: Rule, source: Source, refs: References, param_map: Column | None = None) -> DataFrame:
+    """Join what ``rule`` needs from the reference tables, one answer column per need. ``param_map`` holds each row's own parameters."""
     for name in rule.needs:
-        df = ANSWERS[name](df, source, refs, answer_column(name), rule)
+        df = ANSWERS[name](df, source, refs, answer_column(name), rule, param_map)
     return df

@@ -34,31 +34,38 @@ def tested_columns(results: DataFrame) -> DataFrame:
     return results.select(fields.alias("fields")).distinct().select(F.explode("fields").alias("column")).distinct()
 
 
-def run_summary(results: DataFrame, n_records: int | None = None,
-                issue_results: Sequence[str] = (N.POTENTIAL_ISSUE,)) -> DataFrame:
-    """One row of run totals. Without ``n_records`` the record count is the largest sum over a test.
+def run_summary(results: DataFrame, n_records: int | None = None, issue_results: Sequence[str] = (N.POTENTIAL_ISSUE,),
+                keys: Sequence[str] = (), records: DataFrame | None = None) -> DataFrame:
+    """One row of run totals, or one for each value of ``keys`` (such as a run id). Without ``n_records`` the record count is the largest sum over
+    a test; ``records(keys, n)`` gives it for each key, and a row of zeros to a key that has no results.
 
     Results are first reduced per (test, field list), a few rows per test, and totals are taken from those.
     """
     classes = _class_of(issue_results)
     fields = F.array_sort(F.array_distinct(F.concat(pair_fields(F.col("actedUpon")), pair_fields(F.col("consulted")))))
-    per_test = results.groupBy("test_id", fields.alias("fields")).agg(
+    per_test = results.groupBy(*keys, "test_id", fields.alias("fields")).agg(
         F.sum(counted()).alias("all"),
         *[F.sum(F.when(cond, counted()).otherwise(0)).alias(f"sum_{n}") for n, cond in classes.items()],
         *[F.count_if(cond).alias(f"rows_{n}") for n, cond in classes.items()])
-    by_test = per_test.groupBy("test_id").agg(
+    by_test = per_test.groupBy(*keys, "test_id").agg(
         F.sum("all").alias("all"), F.collect_list("fields").alias("fields"),
         *[F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in classes for p in ("sum", "rows")])
     zero = F.lit(0).cast("bigint")
-    records = F.coalesce(F.max("all"), zero) if n_records is None else F.lit(n_records).cast("bigint")
-    return by_test.agg(
-        records.alias("number_of_records_in_dataset"),
+    size = F.coalesce(F.max("all"), zero) if n_records is None else F.lit(n_records).cast("bigint")
+    out = by_test.groupBy(*keys).agg(
+        size.alias("number_of_records_in_dataset"),
         F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("fields"))))).alias("list_of_all_columns_tested"),
         F.coalesce(F.sum("all"), zero).alias("no_of_tests_results"),
         F.count_if(F.col("test_id").isNotNull()).alias("no_of_tests_run"),
         *[F.coalesce(F.sum(f"sum_{n}"), zero).alias(f"no_of_{n}") for n in classes],
         *[F.coalesce(F.sum(f"rows_{n}"), zero).alias(f"no_of_unique_{n}") for n in classes],
     )
+    if records is None:
+        return out
+    own = "number_of_records_in_dataset"
+    known = records.select(*keys, F.col("n").alias(own)).join(out.drop(own), [*keys], "left")
+    return known.select(*keys, own, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "list_of_all_columns_tested" else F.coalesce(c, zero).alias(c)
+                                      for c in out.columns if c not in (*keys, own)])
 
 
 def top_results(results: DataFrame, n: int = 15) -> DataFrame:
@@ -185,6 +192,28 @@ def page(df: DataFrame, number: int, size: int, order: Sequence) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def store_pages(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
+    """Store rows sorted by ranges of ``order``, so that a page after a key reads only the row groups that hold it."""
+    keys = [N.col(c) for c in order]
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def page_after(df: DataFrame, order: Sequence[str], size: int, after: Sequence | None = None) -> DataFrame:
+    """The ``size`` rows that follow the key ``after`` (values of ``order``, which must tell rows apart and hold no nulls), or the first ones.
+
+    The next page starts after the last row of this one, so each task keeps ``size`` rows whatever the number of the page, where
+    :func:`page` keeps those of all pages before as well. The first column is compared on its own too, which reaches the scan.
+    """
+    if after is not None:
+        beyond = F.lit(False)
+        for i in range(len(order) - 1, -1, -1):
+            c, v = N.col(order[i]), F.lit(after[i])
+            beyond = (c > v) | ((c == v) & beyond)
+        df = df.where((N.col(order[0]) >= F.lit(after[0])) & beyond)
+    return df.orderBy(*[N.col(c) for c in order]).limit(size)
+
+
 def total_pages(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias("pages"))
 

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.coords import grid_key
-from plumbline.operators import evaluate, geo
+from plumbline.operators import evaluate, geo, summary
 from plumbline.operators import lookups as L
 from plumbline.plans import inputs as I
 from plumbline.plans.inputs import Book, table
 from plumbline.plans.queries_results import _SUMMARY, _summary_columns
 from plumbline.plans.run import run_dataset
+from plumbline.rules.dwc import REGISTRY as DWC
 from plumbline.session import checkpoint_dir
 from plumbline.sources import delimited, reference, sinks, submissions
 from plumbline.streaming import intake, running
@@ -139,10 +140,10 @@ def _(spark, d):
     return L.taxon_by_key(p, "k", _backbone(spark, d)).select("p_partkey", F.col("taxon.canonical_name").alias("name"))
 
 
-@query("taxon_usage", f"""SELECT p_partkey, {_key_sql('p_name')} AS key, 'local:' || {_key_sql('p_name')} AS "taxonID", 'SPECIES' AS rank, p_brand AS "order", '' AS family FROM part""")
+@query("taxon_usage", f"""SELECT p_partkey, {_key_sql('p_name')} AS key, 'local:' || {_key_sql('p_name')} AS "taxonID", 'SPECIES' AS rank, p_brand AS "order", '' AS family, '' AS authorship, '1970-01-01T00:00:00Z' AS created FROM part""")
 def _(spark, d):
     u = L.taxon_usage(_backbone(spark, d))
-    return u.select(F.col("pos").alias("p_partkey"), "usage.key", "usage.taxonID", "usage.rank", "usage.order", "usage.family")
+    return u.select(F.col("pos").alias("p_partkey"), "usage.key", "usage.taxonID", "usage.rank", "usage.order", "usage.family", "usage.authorship", "usage.created")
 
 
 @query("taxon_query", f"""WITH {_SEARCH}, req AS (SELECT p_partkey AS request_id, CASE WHEN p_size % 2 = 0 THEN p_name END AS name, split_part(p_name, ' ', 1) AS q,
@@ -467,8 +468,162 @@ def _(spark, d):
 def _(spark, d):
     stream = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("messageId"), F.col("ts").cast("string").alias("receivedAt"))
     out = _folder(spark, "once")
-    intake.dedupe_submissions(stream, "3650 days").select("messageId").writeStream.format("parquet").option(
+    intake.dedupe_submissions(stream).select("messageId").writeStream.format("parquet").option(
         "checkpointLocation", _folder(spark, "state")).option("path", out).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
+
+
+# --- whole intakes, counts in a base and deltas, pages ----------------------------------------------------------------------
+
+_REPORT_RULES = ["VALIDATION_COUNTRY_NOTEMPTY", "VALIDATION_BASISOFRECORD_STANDARD", "AMENDMENT_COUNTRYCODE_FROM_COUNTRY"]
+
+
+def _submitted(spark, d) -> DataFrame:
+    """Orders as submissions of a table with two rows; some are replies, some have no attachment, some are no JSON."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    country = F.when(F.col("o_custkey") % 4 == 0, "NA").otherwise(F.concat(F.lit("Land_"), F.col("o_custkey") % 9))
+    row = F.concat_ws(",", k, country, F.when(k % 3 == 0, "").otherwise("Q"), "o_orderpriority")
+    content = F.concat_ws("\n", F.lit("occurrenceID,country,countryCode,basisOfRecord"), row, row)
+    attached = F.array(F.struct(F.lit("t.csv").alias("filename"), F.lit("text/csv").alias("mimeType"), F.lit(1).cast("bigint").alias("size"),
+                                F.base64(F.encode(content, "UTF-8")).alias("contentBase64")))
+    message = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("receivedAt"), k.cast("string").alias("messageId"), F.concat(F.lit("t"), k).alias("threadId"),
+                       F.struct(F.when(k % 7 == 0, "<x>").alias("inReplyTo")).alias("headers"),
+                       F.when(k % 11 != 0, attached).otherwise(F.array().cast(parts_type())).alias("attachments"))
+    return o.select(F.when(k % 13 == 0, F.concat(F.lit("{broken "), k)).otherwise(F.to_json(message)).alias("value"))
+
+
+_SUBMITTED_SQL = """sub AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'unreadable' WHEN o_orderkey % 7 = 0 THEN 'reply' WHEN o_orderkey % 11 = 0 THEN 'no attachment' ELSE 'processed' END AS reason,
+  CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'Land_' || (o_custkey % 9) END AS country, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Q' END AS code, o_orderpriority AS basis FROM orders),
+land AS (SELECT DISTINCT 'Land_' || (n_nationkey % 5) AS name FROM nation)"""
+
+
+@query("submission_reports", f"""WITH {_SUBMITTED_SQL},
+one AS (SELECT reason, CASE WHEN reason = 'processed' THEN 2 END AS records, CASE WHEN reason = 'processed' THEN
+    2 * CAST(country = '' AS INT) + 2 * CAST(basis NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS INT) + 2 * CAST(country <> '' AND country NOT IN (SELECT name FROM land) AS INT) END AS bad,
+  CASE WHEN reason = 'processed' THEN 2 * CAST(code = '' AND country <> '' AS INT) END AS filled,
+  CASE WHEN reason = 'processed' THEN CASE WHEN code = '' AND country <> '' THEN 'X' || split_part(country, '_', 2) ELSE code END END AS code,
+  CASE WHEN reason = 'processed' THEN CAST(country = '' AS INT) + CAST(basis NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS INT) + CAST(country <> '' AND country NOT IN (SELECT name FROM land) AS INT)
+    + CAST(code = '' AND country <> '' AS INT) ELSE 0 END AS curated FROM sub)
+SELECT reason, records::BIGINT AS records, bad::BIGINT AS bad, filled::BIGINT AS filled, code, curated::BIGINT AS curated, count(*) AS runs FROM one GROUP BY ALL""")
+def _(spark, d):
+    rules = [*I.OCC_RULES.select(*_REPORT_RULES), DWC["VALIDATION_COUNTRY_FOUND"]]
+    n = table(spark, d, "nation")
+    iso = n.select(F.concat(F.lit("Land_"), F.col("n_nationkey") % 5).alias("name"), F.concat(F.lit("N"), "n_nationkey").alias("alpha2"), F.lit("").alias("alpha3")).dropDuplicates(["name"])
+    out = _folder(spark, "intake")
+    intake.process_batch(out, rules, L.References(iso=iso))(submissions.parse_messages(_submitted(spark, d)), 0)
+
+    def part(name: str) -> DataFrame:
+        return intake.committed(spark, out, name)
+
+    reason = F.when(F.col("reason").startswith("invalid"), "unreadable").otherwise(F.col("reason")).alias("reason")
+    summary = part("summary").select("run_id", F.col("number_of_records_in_dataset").alias("records"), F.col("no_of_non_compliant_validations").alias("bad"),
+                                     F.col("no_of_filled_in").alias("filled"))
+    amended = part("amended").where("line = 0").select("run_id", F.col("values")["dwc:countryCode"].alias("code"))
+    curated = part("curated").groupBy("run_id").agg(F.count("*").alias("curated"))
+    joined = part("outcome").select("run_id", reason).join(summary, "run_id", "left").join(amended, "run_id", "left").join(curated, "run_id", "left")
+    return joined.withColumn("curated", F.coalesce("curated", F.lit(0)).cast("bigint")).groupBy("reason", "records", "bad", "filled", "code", "curated").agg(F.count("*").alias("runs"))
+
+
+def _inbox(spark, d) -> str:
+    """Suppliers as message files, each twice; some are no JSON."""
+    s, k, path = table(spark, d, "supplier"), F.col("s_suppkey"), _folder(spark, "inbox")
+    table_text = F.concat(F.lit("taxonID,country,countryCode\n"), k, F.lit(",Land_"), k % 3, F.lit(",\n"))
+    attached = F.array(F.struct(F.lit("t.csv").alias("filename"), F.base64(F.encode(table_text, "UTF-8")).alias("contentBase64")))
+    message = F.struct(F.lit("2024-01-01").alias("receivedAt"), F.concat(F.lit("m"), k).alias("messageId"), F.struct(F.col("s_name").alias("subject"),
+                       F.when(k % 7 == 3, "<x>").alias("inReplyTo")).alias("headers"), F.when(k % 5 != 1, attached).alias("attachments"))
+    text = F.when(k % 10 == 0, F.lit("{broken")).otherwise(F.to_json(message))
+    files = s.select(text.alias("value"), k.alias("file"))
+    files.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).write.partitionBy("file", "copy").text(path)
+    return path
+
+
+@query("read_submissions", """SELECT CASE WHEN s_suppkey % 10 <> 0 THEN 'm' || s_suppkey END AS "messageId", CASE WHEN s_suppkey % 10 <> 0 THEN s_name END AS subject,
+  CASE WHEN s_suppkey % 10 = 0 THEN '{broken' || chr(10) END AS corrupt, count(*) AS copies FROM supplier JOIN (SELECT unnest([0, 1])) ON TRUE GROUP BY ALL""")
+def _(spark, d):
+    found = submissions.read_submissions(spark, _inbox(spark, d))
+    return found.groupBy("messageId", F.col("headers.subject").alias("subject"), F.col(submissions.CORRUPT).alias("corrupt")).agg(F.count("*").alias("copies"))
+
+
+@query("submission_stream", """SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'unreadable' WHEN s_suppkey % 7 = 3 THEN 'reply' WHEN s_suppkey % 5 = 1 THEN 'no attachment' ELSE 'processed' END AS reason,
+  CAST(sum(CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS messages, CAST(sum(CASE WHEN s_suppkey % 10 <> 0 AND s_suppkey % 7 <> 3 AND s_suppkey % 5 <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS filled
+FROM supplier GROUP BY 1""")
+def _(spark, d):
+    stream = intake.stream_submissions(spark, f"{_inbox(spark, d)}/*/*", max_files=1000)
+    out = _folder(spark, "stream")
+    intake.start_intake(stream, out, _folder(spark, "state"), I.OCC_RULES.select(*_REPORT_RULES), once=True).awaitTermination()
+    reason = F.when(F.col("reason").startswith("invalid"), "unreadable").otherwise(F.col("reason")).alias("reason")
+    filled = intake.committed(spark, out, "summary").select("run_id", F.col("no_of_filled_in").alias("filled"))
+    joined = intake.committed(spark, out, "outcome").select("run_id", reason).join(filled, "run_id", "left")
+    return joined.groupBy("reason").agg(F.count("*").alias("messages"), F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"))
+
+
+def _event_files(spark, d, path: str, files: int, cond: str = "true") -> None:
+    """Events as ``files`` files, so that a stream takes as many batches."""
+    e = table(spark, d, "events").where(cond)
+    e.select("event_type", (F.col("user_id") % 10).cast("string").alias("grp"), F.col("ts").cast("timestamp").alias("at")).repartition(files).write.mode("append").parquet(path)
+
+
+def _files_stream(spark, path: str) -> DataFrame:
+    return spark.readStream.schema("event_type string, grp string, at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("merged_counts", "SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS grp, count(*) AS count FROM events GROUP BY 1, 2")
+def _(spark, d):
+    files, out, cols = _folder(spark, "events"), _folder(spark, "counts"), ["event_type", "grp"]
+    _event_files(spark, d, files, 7)
+    running.start_counts(_files_stream(spark, files), cols, out, _folder(spark, "state"), merge_every=3).awaitTermination()
+    return running.current_counts(spark, out, cols, running.last_batch(spark, out))
+
+
+_NOON = "2024-01-15 12:00:00"
+
+
+@query("late_events", f"""WITH e AS (SELECT event_type, CAST(ts AS TIMESTAMP) AS t FROM events), m AS (SELECT max(t) AS newest FROM e WHERE t >= TIMESTAMP '{_NOON}')
+SELECT event_type, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS count FROM (SELECT event_type, coalesce(t < TIMESTAMP '{_NOON}' AND t < newest - INTERVAL 10 DAYS, FALSE) AS late FROM e, m)
+GROUP BY 1""")
+def _(spark, d):
+    files, out, state, cols = _folder(spark, "events"), _folder(spark, "counts"), _folder(spark, "state"), ["event_type"]
+    for cond in (f"ts >= timestamp '{_NOON}'", f"ts < timestamp '{_NOON}'"):  # the earlier ones come last
+        _event_files(spark, d, files, 1, cond)
+        running.start_counts(_files_stream(spark, files), cols, out, state, at="at", delay="10 days").awaitTermination()
+    counts = running.current_counts(spark, out, cols, running.last_batch(spark, out))
+    late = spark.read.schema("event_type string").parquet(f"{out}/late").groupBy("event_type").agg(F.count("*").alias("late"))
+    return counts.join(late, "event_type", "full").select("event_type", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
+@query("page_after", """WITH k AS (SELECT o_totalprice AS p, o_orderkey AS o FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))
+SELECT o_orderkey, o_totalprice FROM orders, k WHERE o_totalprice > p OR (o_totalprice = p AND o_orderkey > o) ORDER BY o_totalprice, o_orderkey LIMIT 20""")
+def _(spark, d):
+    order = ["o_totalprice", "o_orderkey"]
+    stored = summary.store_pages(table(spark, d, "orders").select(*order), _folder(spark, "pages"), order)
+    key = stored.orderBy("o_orderkey").first()
+    return summary.page_after(stored, order, 20, [key[c] for c in order]).select("o_orderkey", "o_totalprice")
+
+
+@query("head_n", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def _(spark, d):
+    return summary.head_n(table(spark, d, "customer"), 25, [F.desc("c_acctbal"), "c_custkey"]).select("c_custkey", "c_acctbal")
+
+
+@query("unique_columns", 'SELECT p_partkey AS a, p_name AS "a_2", p_brand AS b, p_type AS "a_3" FROM part')
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type").toDF("a", "a", "b", "a")
+    return delimited.unique_columns(p).toDF(*[c.replace(" (", "_").replace(")", "") for c in delimited.unique_names(p.columns)])
+
+
+@query("detect_core", "SELECT 'taxon' AS core, p_name AS dwc_scientificName, CAST(p_partkey AS VARCHAR) AS \"dwc_taxonID\" FROM part")
+def _(spark, d):
+    path = _folder(spark, "taxa")
+    sinks.write_csv(table(spark, d, "part").select(F.col("p_name").alias("scientificName"), F.col("p_partkey").alias("taxonID")), path)
+    df, core = delimited.read_dataset(spark, path)
+    return df.toDF(*[c.replace(":", "_") for c in df.columns]).withColumn("core", F.lit(core))
+
+
+@query("batch_figures", I.with_results("SELECT count(*) AS rows, count(*) FILTER (status = 'INTERNAL_PREREQUISITES_NOT_MET') AS unmet, "
+                                       "count(*) FILTER (status IN ('AMENDED', 'FILLED_IN')) AS actionable FROM results"))
+def _(spark, d):
+    watched, seen = evaluate.observe_run(I.results(spark, d))
+    watched.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "rows bigint, unmet bigint, actionable bigint")

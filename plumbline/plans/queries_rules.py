@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import evaluate, isolate
 from plumbline.operators.evaluate import run_tests
 from plumbline.operators.lookups import References
 from plumbline.plans import inputs as I
 from plumbline.plans.inputs import Book, table
 from plumbline.plans.queries_reference import _backbone, _in_sql, _shapes
+from plumbline.rules import base as B
 from plumbline.rules.dwc import POINT_VARIANTS, REGISTRY
+from plumbline.rules.registry import Registry
+from plumbline.session import checkpoint_dir
 
 BOOK = Book()
 query = BOOK.query
@@ -253,3 +259,143 @@ def _(spark, d):
     return _outcomes(df, ["VALIDATION_MINDEPTH_LESSTHAN_MAXDEPTH", "VALIDATION_MINELEVATION_LESSTHAN_MAXELEVATION", "VALIDATION_MINELEVATION_INRANGE",
                           "VALIDATION_MAXELEVATION_INRANGE", "AMENDMENT_MINDEPTHMAXDEPTH_FROM_VERBATIM", "ISSUE_COORDINATES_WITHOUT_UNCERTAINTY",
                           "VALIDATION_LICENSE_NOTEMPTY", "VALIDATION_LICENSE_STANDARD", "VALIDATION_OCCURRENCEID_NOTEMPTY", "VALIDATION_OCCURRENCEID_STANDARD"])
+
+
+# --- records: presence, terms, ranges, degrees ---------------------------------------------------------------------
+
+_BASIS, _NAME = "dwc:basisOfRecord", "dwc:scientificName"
+_VERBATIM = ["dwc:verbatimLatitude", "dwc:verbatimLongitude", "dwc:verbatimSRS"]
+_RECORDS = f"""rec AS (SELECT (['HumanObservation', 'human observation', 'PRESERVED_SPECIMEN', 'nothing', ''])[c_custkey % 5 + 1] AS "{_BASIS}",
+  (['45.5', '95.5', '', 'x'])[c_custkey % 4 + 1] AS "{_LAT}", (['-120.5', '181', '  '])[c_custkey % 3 + 1] AS "{_LON}",
+  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS "{_NAME}" FROM customer)"""
+
+
+def _blank_sql(c: str) -> str:
+    return f"trim(\"{c}\") = ''"
+
+
+def _range_sql(c: str, limit: int) -> tuple[str, str]:
+    n = f'TRY_CAST(trim("{c}") AS DOUBLE)'
+    return _case((f"{n} IS NULL", _UNMET), (f"{n} BETWEEN -{limit} AND {limit}", _OK), default=_BAD)
+
+
+@query("rules_records", _sql(f"WITH {_RECORDS}\n", "rec", {
+    "VALIDATION_BASISOFRECORD_NOTEMPTY": ([_BASIS], _case((_blank_sql(_BASIS), _BAD), default=_OK)),
+    "VALIDATION_BASISOFRECORD_STANDARD": ([_BASIS], _case((_blank_sql(_BASIS), _UNMET), (f"\"{_BASIS}\" = 'HumanObservation'", _OK), default=_BAD)),
+    "AMENDMENT_BASISOFRECORD_STANDARDIZED": ([_BASIS], _case(
+        (_blank_sql(_BASIS), _UNMET), (f"\"{_BASIS}\" = 'human observation'", ("AMENDED", f"{_BASIS}=HumanObservation")),
+        (f"\"{_BASIS}\" = 'PRESERVED_SPECIMEN'", ("AMENDED", f"{_BASIS}=PreservedSpecimen")), default=_SAME)),
+    "VALIDATION_DECIMALLATITUDE_NOTEMPTY": ([_LAT], _case((_blank_sql(_LAT), _BAD), default=_OK)),
+    "VALIDATION_DECIMALLONGITUDE_NOTEMPTY": ([_LON], _case((_blank_sql(_LON), _BAD), default=_OK)),
+    "VALIDATION_DECIMALLATITUDE_VALID": ([_LAT], _range_sql(_LAT, 90)),
+    "VALIDATION_DECIMALLONGITUDE_VALID": ([_LON], _range_sql(_LON, 180)),
+    "VALIDATION_SCIENTIFICNAME_NOTEMPTY": ([_NAME], _case((_blank_sql(_NAME), _BAD), default=_OK)),
+}))
+def _(spark, d):
+    k = F.col("c_custkey")
+
+    def of(*texts: str):
+        return F.element_at(F.array(*[F.lit(t) for t in texts]), (k % len(texts) + 1).cast("int"))
+
+    rows = table(spark, d, "customer").select(
+        of("HumanObservation", "human observation", "PRESERVED_SPECIMEN", "nothing", "").alias(_BASIS), of("45.5", "95.5", "", "x").alias(_LAT),
+        of("-120.5", "181", "  ").alias(_LON), F.when(k % 7 != 0, F.col("c_mktsegment")).alias(_NAME))
+    return _outcomes(rows, ["VALIDATION_BASISOFRECORD_NOTEMPTY", "VALIDATION_BASISOFRECORD_STANDARD", "AMENDMENT_BASISOFRECORD_STANDARDIZED",
+                            "VALIDATION_DECIMALLATITUDE_NOTEMPTY", "VALIDATION_DECIMALLONGITUDE_NOTEMPTY", "VALIDATION_DECIMALLATITUDE_VALID",
+                            "VALIDATION_DECIMALLONGITUDE_VALID", "VALIDATION_SCIENTIFICNAME_NOTEMPTY"])
+
+
+_DEGREES = f"""deg AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '12.25' ELSE (c_custkey % 90) || '°30''0"N' END AS "{_LAT}",
+  CASE WHEN c_custkey % 4 = 1 THEN '7' ELSE (c_custkey % 170) || '°15''0"W' END AS "{_LON}", '' AS "dwc:geodeticDatum",
+  (c_custkey % 90) || '°30''0"S' AS "{_VERBATIM[0]}", CASE WHEN c_custkey % 5 = 0 THEN 'east' ELSE ' ' || (c_custkey % 170) || '.5' END AS "{_VERBATIM[1]}",
+  CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'EPSG:4326' END AS "{_VERBATIM[2]}" FROM customer)"""
+_WHOLE = """regexp_extract("{}", '^ ?([0-9]+)', 1)"""
+
+
+@query("rules_degrees", _sql(f"WITH {_DEGREES}\n", "deg", {
+    "AMENDMENT_COORDINATES_DECIMAL": ([_LAT, _LON], _case(
+        (f"\"{_LAT}\" = ''", _UNMET), (f"\"{_LAT}\" = '12.25'", _SAME),
+        default=("AMENDED", f"='{_LAT}=' || {_WHOLE.format(_LAT)} || '.5|{_LON}=-' || {_WHOLE.format(_LON)} || '.25'"))),
+}) + "\nUNION ALL " + _sql("", f"(SELECT '' AS \"{_LAT}\", '' AS \"{_LON}\", * EXCLUDE (\"{_LAT}\", \"{_LON}\") FROM deg)", {
+    "AMENDMENT_COORDINATES_FROM_VERBATIM": ([_LAT, _LON, "dwc:geodeticDatum", *_VERBATIM], _case(
+        (f"\"{_VERBATIM[2]}\" = ''", _UNMET), (f"\"{_VERBATIM[1]}\" = 'east'", _SAME),
+        default=("FILLED_IN", f"='{_LAT}=-' || {_WHOLE.format(_VERBATIM[0])} || '.5|{_LON}=' || trim(\"{_VERBATIM[1]}\") || '|dwc:geodeticDatum=EPSG:4326'"))),
+}))
+def _(spark, d):
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        F.when(k % 4 == 1, "12.25").when(k % 4 > 1, F.format_string("%d°30'0\"N", k % 90)).alias(_LAT),
+        F.when(k % 4 == 1, "7").otherwise(F.format_string("%d°15'0\"W", k % 170)).alias(_LON), F.lit("").alias("dwc:geodeticDatum"),
+        F.format_string("%d°30'0\"S", k % 90).alias(_VERBATIM[0]), F.when(k % 5 == 0, "east").otherwise(F.format_string(" %d.5", k % 170)).alias(_VERBATIM[1]),
+        F.when(k % 6 == 0, "").otherwise("EPSG:4326").alias(_VERBATIM[2]))
+    own = _outcomes(rows, ["AMENDMENT_COORDINATES_DECIMAL"])
+    return own.unionByName(_outcomes(rows.withColumns({_LAT: F.lit(""), _LON: F.lit("")}), ["AMENDMENT_COORDINATES_FROM_VERBATIM"]))
+
+
+# --- requests with parameters, rules that raise --------------------------------------------------------------------
+
+_BUFFERED = "VALIDATION_COORDINATES_IN_COUNTRY"
+_ASKED_SQL = """asked AS (SELECT o_orderkey AS seq, o_orderkey % 25 AS n, c_acctbal / 50 AS lat, o_totalprice / 1000 AS lon,
+  CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 2 THEN 200000 WHEN 3 THEN 1000 * (o_orderkey % 7) ELSE 3000 END AS buffer,
+  o_orderkey % 5 = 4 AS junk FROM orders JOIN customer ON o_custkey = c_custkey)"""
+_FAR_SQL = ("sqrt(pow(greatest(n * 7 - lon, 0, lon - n * 7 - 6) * cos(radians(lat)) * 111195.0, 2) + pow(greatest(-20 - lat, 0, lat - 60) * 111195.0, 2))")
+
+
+def _buffered(spark, d):
+    """Orders as requests about a point and a country: no buffer, the published default, wide ones, one by order, and junk."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    k = F.col("o_orderkey") % 5
+    buffer = F.when(k == 0, "0").when(k == 2, "200000").when(k == 3, (1000 * (F.col("o_orderkey") % 7)).cast("string")).when(k == 4, "near").otherwise(" ")
+    params = F.create_map(F.lit(_LAT), (F.col("c_acctbal") / 50).cast("string"), F.lit(_LON), (F.col("o_totalprice") / 1000).cast("string"),
+                          F.lit(_CODE), F.concat(F.lit("N"), F.col("o_orderkey") % 25), F.lit("bdq:spatialBufferInMeters"), buffer)
+    requests = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("seq"), F.lit(_BUFFERED).alias("id"), params.alias("params"))
+    n = table(spark, d, "nation")
+    iso = n.select(F.concat(F.lit("N"), "n_nationkey").alias("alpha2"), F.lit("").alias("alpha3"), F.col("n_name").alias("name"))
+    shapes = _shapes(spark, d, boxes=True).withColumn("iso_a2", F.concat(F.lit("N"), "poly_id"))
+    return evaluate.evaluate_requests(requests, REGISTRY.select(_BUFFERED), References(iso=iso, boundaries=shapes))
+
+
+@query("requests_with_buffer", f"""WITH {_ASKED_SQL} SELECT seq, CASE WHEN {_FAR_SQL} <= buffer THEN 'COMPLIANT' ELSE 'NOT_COMPLIANT' END AS result
+FROM asked WHERE NOT junk""")
+def _(spark, d):
+    return _buffered(spark, d).where("seq % 5 <> 4").select("seq", "result")
+
+
+@query("evaluate_requests_bad_params", f"""WITH {_ASKED_SQL} SELECT seq, '{_BUFFERED}' AS test_id, 'INTERNAL_PREREQUISITES_NOT_MET' AS status, '' AS result,
+  'Parameter spatialBufferInMeters is no number: near' AS comment FROM asked WHERE junk
+UNION ALL SELECT event_id, 'VALIDATION_EVENTDATE_INRANGE', CASE WHEN event_id % 3 = 2 THEN 'RUN_HAS_RESULT' ELSE 'INTERNAL_PREREQUISITES_NOT_MET' END,
+  CASE WHEN event_id % 3 = 2 THEN 'COMPLIANT' ELSE '' END,
+  CASE event_id % 3 WHEN 0 THEN 'Parameter earliestValidDate is no date: junk' WHEN 1 THEN 'Parameter latestValidDate is no date: 2024-13-45'
+    ELSE 'eventDate lies within the valid range.' END FROM events""")
+def _(spark, d):
+    k = F.col("event_id") % 3
+    params = F.create_map(F.lit("dwc:eventDate"), F.date_format("ts", "yyyy-MM-dd"), F.lit("earliestValidDate"), F.when(k == 0, "junk").otherwise(""),
+                          F.lit("bdq:latestValidDate"), F.when(k == 1, "2024-13-45"))
+    dated = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit("VALIDATION_EVENTDATE_INRANGE").alias("id"), params.alias("params"))
+    answers = evaluate.evaluate_requests(dated, REGISTRY.select("VALIDATION_EVENTDATE_INRANGE"))
+    columns = ["seq", "test_id", "status", "result", "comment"]
+    return _buffered(spark, d).where("seq % 5 = 4").select(*columns).unionByName(answers.select(*columns))
+
+
+def _with_raising():
+    """The rules of the occurrence view and three that raise in a task: on some values, on one value, on all."""
+    rules = Registry()
+    for r in I.OCC_RULES:
+        rules.add(r)
+    rules.rule("VALIDATION_COUNTRY_NUMBER", acted=["dwc:country"], consulted=["dwc:countryCode"])(
+        lambda v: B.verdict(v["dwc:country"].cast("int") > 0, "It is.", "It is not."))
+    rules.rule("VALIDATION_RANK_SHARE", acted=["dwc:taxonRank"])(
+        lambda v: B.verdict(F.lit(1) / F.when(v["dwc:taxonRank"] == "R", 0).otherwise(1) > 0, "It is.", "It is not."))
+    rules.rule("VALIDATION_BASIS_PART", acted=["dwc:basisOfRecord"])(
+        lambda v: B.verdict(F.element_at(F.split(v["dwc:basisOfRecord"], "-"), 5) == "x", "It is.", "It is not."))
+    return rules
+
+
+@query("failed_tests", I.with_results("""SELECT test_id, sum(count)::BIGINT AS records, '' AS reason FROM results GROUP BY test_id
+UNION ALL SELECT * FROM (VALUES ('VALIDATION_COUNTRY_NUMBER', 0::BIGINT, 'CAST_INVALID_INPUT'), ('VALIDATION_RANK_SHARE', 0::BIGINT, 'DIVIDE_BY_ZERO'),
+  ('VALIDATION_BASIS_PART', 0::BIGINT, 'INVALID_ARRAY_INDEX_IN_ELEMENT_AT')) AS f(test_id, records, reason)"""))
+def _(spark, d):
+    run = isolate.run_stored(I.occ(spark, d), _with_raising(), f"{checkpoint_dir(spark)}/failed-{uuid.uuid4().hex}", single_pass=True)
+    answered = run.results.groupBy("test_id").agg(F.sum("count").alias("records")).withColumn("reason", F.lit(""))
+    failed = run.failed.select("test_id", F.lit(0).cast("bigint").alias("records"), F.regexp_extract("reason", r"^\[([A-Z_]+)", 1).alias("reason"))
+    return answered.unionByName(failed)

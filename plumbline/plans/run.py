@@ -11,11 +11,12 @@ from plumbline.operators.amend import apply_amendments
 from plumbline.operators.catalogue import context_of
 from plumbline.operators.context import curated
 from plumbline.operators.evaluate import Run, run_tests
+from plumbline.operators.isolate import run_stored
 from plumbline.operators.lookups import References
 from plumbline.operators.summary import summary_with_top
 from plumbline.rules.registry import Rule, catalogue_of
 from plumbline.sources.delimited import detect_core
-from plumbline.sources.sinks import write_run
+from plumbline.sources.sinks import run_path, write_run
 
 
 class NoCore(ValueError):
@@ -36,7 +37,8 @@ class Report:
 
 
 def run_dataset(df: DataFrame, rules: Iterable[Rule], out: str, run_id: str, refs: References | None = None) -> Report:
-    """Store the table, run the tests on the stored columns, store the results, amend from them and summarise.
+    """Store the table, run the tests on the stored columns, store the results, amend from them and summarise. Tests that cannot be
+    planned or that raise while they run are listed in ``failed``; the others keep their results.
 
     Storing first turns text parsing into one pass; the tests then read only the columns each key set needs,
     and everything after the tests reads the small result table.
@@ -48,9 +50,8 @@ def run_dataset(df: DataFrame, rules: Iterable[Rule], out: str, run_id: str, ref
     chosen = list(rules)
     paths = write_run(out, run_id, original=df)
     original = spark.read.parquet(paths["original"])
-    run: Run = run_tests(original, chosen, refs)
-    paths.update(write_run(out, run_id, results=run.results))
-    results = spark.read.parquet(paths["results"])
+    run: Run = run_stored(original, chosen, run_path(out, run_id, "results"), refs)
+    results = run.results
     paths.update(write_run(out, run_id, amended=apply_amendments(original, results)))
     return Report(
         core, original, results, spark.read.parquet(paths["amended"]), run.failed,

@@ -143,7 +143,7 @@ def _in_country(v: Inputs) -> Column:
 
 for _id in ("VALIDATION_COORDINATESCOUNTRYCODE_CONSISTENT", "VALIDATION_COORDINATES_IN_COUNTRY"):
     rule(_id, acted=[LAT, LON, CODE], needs=("iso_alpha2", "geo_near"), ie_class=LOCATION, usecases=(SPACE,),
-         params={"spatialBufferInMeters": 0.0})(_in_country)
+         params={"spatialBufferInMeters": 0.0}, param_types={"spatialBufferInMeters": "number"})(_in_country)
 
 
 @rule("VALIDATION_COORDINATESTERRESTRIALMARINE_CONSISTENT", acted=[LAT, LON], consulted=[NAME],
@@ -286,7 +286,7 @@ _interval_rule("VALIDATION_EVENTDATE_INRANGE",
                    i["end"] <= F.coalesce(v.param("latestValidDate").try_cast("date"),
                                           F.make_date(F.year(F.current_date()), F.lit(12), F.lit(31)))),
                "eventDate lies within the valid range.", "eventDate lies outside the valid range.",
-               params={"earliestValidDate": "1582-11-15", "latestValidDate": None})
+               params={"earliestValidDate": "1582-11-15", "latestValidDate": None}, param_types={"earliestValidDate": "date", "latestValidDate": "date"})
 
 
 @rule("VALIDATION_EVENTDATE_STANDARD", acted=[DATE], ie_class=EVENT, usecases=(SPACE,))

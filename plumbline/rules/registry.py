@@ -45,6 +45,7 @@ class Rule:
     description: str = ""
     notes: str = ""
     usecases: tuple[str, ...] = ()
+    param_types: Mapping[str, str] = field(default_factory=dict)  # ``date`` or ``number`` (not negative), of parameters a request may get wrong
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -71,13 +72,17 @@ class Inputs:
         return self._params.get(name, default)
 
     def param(self, name: str, default: Any = None) -> Column:
-        """A parameter as a Column; a request's own value wins over the default."""
+        """A parameter as a Column; a request's own value wins over the default, unless it is blank."""
         value = F.lit(self._params.get(name, default)).cast("string")
         if self._param_map is None:
             return value
         # a request may write the name with a namespace
         spelled = F.try_element_at(F.filter(F.map_entries(self._param_map), lambda e: F.substring_index(e["key"], ":", -1) == name), F.lit(1))
-        return F.coalesce(self._param_map[name], spelled["value"], value)
+        return F.coalesce(F.nullif(F.btrim(self._param_map[name]), F.lit("")), F.nullif(F.btrim(spelled["value"]), F.lit("")), value)
+
+    def given(self, name: str) -> bool:
+        """Whether a parameter can have a value at all."""
+        return self._param_map is not None or self._params.get(name) is not None
 
 
 def answer_column(name: str) -> str:
@@ -119,8 +124,17 @@ def map_source(values: Column) -> Source:
 
 
 def bind(r: Rule, source: Source, param_map: Column | None = None) -> Column:
-    """The response of ``r`` over inputs found by name in ``source``."""
-    return r.fn(Inputs(source, r.params, param_map))
+    """The response of ``r`` over inputs found by name in ``source``; a parameter of the wrong type is an error of its own."""
+    from plumbline.rules.base import unmet
+
+    inputs = Inputs(source, r.params, param_map)
+    out = r.fn(inputs)
+    for name, kind in r.param_types.items():
+        if inputs.given(name):
+            text = inputs.param(name)
+            wrong = text.try_cast("date").isNull() if kind == "date" else ~F.coalesce(text.try_cast("double").between(0, 1e300), F.lit(False))
+            out = F.when(text.isNotNull() & wrong, unmet(F.concat(F.lit(f"Parameter {name} is no {kind}: "), text))).otherwise(out)
+    return out
 
 
 class Registry:

@@ -27,6 +27,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return out.select(*base, *[col(c) for c in out.columns if c not in base])
 
 
+def run_path(path: str, run_id: str, kind: str) -> str:
+    """The folder of one artifact of a run."""
+    return f"{path}/{kind}/run_id={run_id}"
+
+
 def write_run(path: str, run_id: str, original: DataFrame | None = None, results: DataFrame | None = None,
               amended: DataFrame | None = None) -> dict[str, str]:
     """Store the artifacts of a run as parquet below ``{path}/{kind}/run_id={run_id}``. Writing the same run again
@@ -34,6 +39,6 @@ def write_run(path: str, run_id: str, original: DataFrame | None = None, results
     written = {}
     for kind, df in (("original", original), ("results", results), ("amended", amended)):
         if df is not None:
-            written[kind] = f"{path}/{kind}/run_id={run_id}"
+            written[kind] = run_path(path, run_id, kind)
             df.write.mode("overwrite").parquet(written[kind])
     return written

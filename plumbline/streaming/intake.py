@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from plumbline.functions.text import blank
-from plumbline.operators.evaluate import run_map_tests
-from plumbline.rules.registry import Rule
+from plumbline.operators.amend import amend_maps
+from plumbline.operators.catalogue import context_of
+from plumbline.operators.context import curated
+from plumbline.operators.isolate import write_map_tests
+from plumbline.operators.lookups import References, missing_tables
+from plumbline.operators.summary import run_summary
+from plumbline.rules.registry import Rule, catalogue_of
+from plumbline.session import ship_package
 from plumbline.sources.submissions import CORRUPT, extract_attachments, parse_messages, submission_rows
 
 # Messages per poll and time between polls.
@@ -25,25 +32,57 @@ def stream_submissions(spark: SparkSession, path: str, max_files: int = MAX_PER_
     return parse_messages(spark.readStream.option("maxFilesPerTrigger", max_files).text(path, wholetext=True))
 
 
-def dedupe_submissions(stream: DataFrame, delay: str = "7 days", key: str = "messageId", at: str = "receivedAt") -> DataFrame:
-    """One row per message id for feeds whose arrival times are bounded: state is kept for ``delay`` past the latest
-    arrival time, and a message older than that is late. The intake does not use it; see :func:`unseen`."""
+def dedupe_submissions(stream: DataFrame, delay: str | None = None, key: str = "messageId", at: str = "receivedAt") -> DataFrame:
+    """One row per message id, whatever the message's age: the ids are kept in the state store, keyed, so a batch looks up only its own.
+
+    With ``delay``, for feeds whose arrival times are bounded, an id is forgotten that long after the latest arrival time, and a message older
+    than that is late. Of rows with one id in the same batch any may stay. Rows without an id are merged here; the intake passes them by.
+    """
+    if delay is None:
+        return stream.dropDuplicates([key])
     timed = stream.withColumn("received", F.col(at).try_cast("timestamp"))
     return timed.withWatermark("received", delay).dropDuplicatesWithinWatermark([key])
 
 
-def unseen(batch: DataFrame, seen: DataFrame | None, key: str = "messageId", at: str = "receivedAt") -> DataFrame:
-    """The rows of a batch whose id neither an earlier batch (``seen``) nor an earlier row of this batch has, whatever their age.
+class EarliestOfThread(StatefulProcessor):
+    """State of a thread: the earliest message seen. Rows come back with ``first``: whether a message is earlier than all others so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._earliest = handle.getValueState("earliest", "at string, id string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = pd.concat(list(rows), ignore_index=True)  # of one thread in one micro-batch
+        places = list(zip(found["at"].fillna(""), found["id"].fillna(""), strict=True))
+        best, known = min(places), self._earliest.get() if self._earliest.exists() else None
+        if known is None or best < tuple(known):
+            self._earliest.update(best)
+        found["first"] = [p == best and (known is None or p <= tuple(known)) for p in places]
+        yield found[["payload", "first"]]
+
+    def close(self) -> None:
+        pass
+
+
+# The state store of keyed state; ids and threads are kept on disk, so their number is not bounded by memory.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+FIRST = "first_of_thread"
+
 
-    Rows without an id (unreadable texts among them) cannot repeat one and all stay.
+def once_per_thread(stream: DataFrame) -> DataFrame:
+    """Messages by id once, with ``first_of_thread``: whether a message is the earliest of its thread so far.
+
+    Both are keyed state without a limit of age: the cost of a batch does not grow with what was taken before. Messages without an id (unreadable
+    texts among them) cannot repeat one and belong to no thread; they all pass.
     """
-    known = batch.where(col_has(key))
-    place = F.struct(F.col(at), F.xxhash64(F.to_json(F.struct(*batch.columns))))
-    first = known.groupBy(key).agg(F.min(place).alias("__first"))
-    kept = known.withColumn("__place", place).join(first, key).where("__place = __first").dropDuplicates([key]).select(*batch.columns)
-    if seen is not None:
-        kept = kept.join(seen.select(key).distinct(), key, "left_anti").select(*batch.columns)
-    return kept.unionByName(batch.where(~col_has(key)))
+    ship_package(stream.sparkSession)
+    schema = stream.schema
+    named = stream.where(col_has("messageId"))
+    once = dedupe_submissions(named).select(
+        F.when(col_has("threadId"), F.col("threadId")).otherwise(F.concat(F.lit("message "), F.col("messageId"))).alias("thread"),
+        F.col("receivedAt").alias("at"), F.col("messageId").alias("id"), F.to_json(F.struct(*stream.columns)).alias("payload"))
+    told = once.groupBy("thread").transformWithStateInPandas(EarliestOfThread(), "payload string, first boolean", "append", "none")
+    read = told.select(F.from_json("payload", schema).alias("m"), F.col("first").alias(FIRST)).select("m.*", FIRST)
+    return read.unionByName(stream.where(~col_has("messageId")).withColumn(FIRST, F.lit(True)))
 
 
 def col_has(name: str) -> Column:
@@ -75,40 +114,57 @@ def route(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # Columns of the parts of a batch that are set aside.
 _REASON = ["messageId", "threadId", "receivedAt", "reason"]
 PROCESSED = "processed"
+COMMIT = "batch_id int, tables array<string>, messages bigint, processed bigint"
+CURATED_ROWS = 500  # of each run, as in the report of a single run
 
 
-def process_batch(out: str, rules: Iterable[Rule]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that runs the rules over all tables of a micro-batch together.
+def process_batch(out: str, rules: Iterable[Rule], refs: References | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that does a whole run for every submission of a micro-batch, all together.
 
-    Writes below ``out``, each in the folder of its batch: ``results`` (run_id = message id), ``no_attachment``, ``dead_letter``,
-    ``rejected`` (rows of tables that could not be taken), ``left_out`` (rules that need reference tables and are not run here) and
-    ``outcome`` with one row for every message: processed, reply, no attachment, unreadable, no identifier, no rule that
-    applies, or failed. A message id is handled once, whatever the message's age; a repeated batch replaces its own folders.
+    Writes below ``out``, each in the folder of its batch and with ``run_id`` (the message id) as leading key: ``parsed`` (the original rows), ``results``,
+    ``amended`` (all rows after the amendments), ``summary`` (one row for each run), ``curated`` (first rows of each run with the texts of their
+    test), ``no_attachment``, ``dead_letter``, ``rejected`` (rows of tables that could not be taken), ``left_out`` (rules that were not run: their reference table
+    is not given, or they raised) and ``outcome`` with one row for every message: processed, reply, no attachment, unreadable, no identifier, no
+    rule that applies, or failed. ``commits`` is written last; :func:`committed` reads only batches that are there, so a batch is seen whole or not at
+    all. A batch that is committed is not run again; one that is not replaces its own folders.
     """
-    chosen = list(rules)
-    runnable = [r for r in chosen if not r.needs and r.type != "Measure" and r.columns]
+    chosen, refs = list(rules), refs or References()
+    runnable = [r for r in chosen if r.type != "Measure" and r.columns and not missing_tables(r, refs)]
+    waiting = [(r.id, "reference table not given: " + ",".join(missing_tables(r, refs))) for r in chosen if missing_tables(r, refs)]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"batch_id={batch_id}"
-        staged = f"{out}/intake/{folder}"
-        extract_attachments(unseen(batch, _earlier(spark, f"{out}/intake", batch_id))).write.mode("overwrite").parquet(staged)
-        messages = spark.read.parquet(staged)
+        if is_committed(spark, out, batch_id):
+            return
+        tables = []
+
+        def store(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{out}/{name}/{folder}")
+            tables.append(name)
+            return spark.read.schema(df.schema).parquet(f"{out}/{name}/{folder}")
+
+        first = batch if FIRST in batch.columns else batch.withColumn(FIRST, F.lit(True))
+        messages = store(extract_attachments(first), "intake")
         bad = F.col(CORRUPT).isNotNull()
+        top = is_top_level() & F.col(FIRST)
         # a message without an id is told apart by its content
         messages = messages.withColumn("run_id", F.when(col_has("messageId"), F.col("messageId")).otherwise(
             F.concat(F.lit("no id "), F.sha2(F.to_json(F.struct(*messages.columns)), 256))))
-        fine, empty = route(messages.filter(~bad & is_top_level()))
-        empty.select(*_REASON[:3], F.lit("no attachment").alias("reason")).write.mode("overwrite").parquet(f"{out}/no_attachment/{folder}")
+        fine, empty = route(messages.filter(~bad & top))
+        store(empty.select(*_REASON[:3], F.lit("no attachment").alias("reason")), "no_attachment")
 
         # The parsed rows are read once per key set, so they are stored and each message is parsed once.
-        submission_rows(fine, "run_id", problems=True).withColumnRenamed("id", "run_id").write.mode("overwrite").parquet(f"{out}/parsed/{folder}")
-        parsed = spark.read.parquet(f"{out}/parsed/{folder}")
-        parsed.where("problem IS NOT NULL").select("run_id", "line", "problem").write.mode("overwrite").parquet(f"{out}/rejected/{folder}")
+        parsed = store(submission_rows(fine, "run_id", problems=True).withColumnRenamed("id", "run_id"), "parsed")
+        store(parsed.where("problem IS NOT NULL").select("run_id", "line", "problem"), "rejected")
         rows = parsed.where("problem IS NULL").drop("problem")
-        run_map_tests(rows, runnable, ["run_id"]).write.mode("overwrite").parquet(f"{out}/results/{folder}")
-        spark.createDataFrame([(r.id, ",".join(r.needs)) for r in chosen if r.needs], "test_id string, needs string").write.mode(
-            "overwrite").parquet(f"{out}/left_out/{folder}")
+        raised = write_map_tests(rows, runnable, ["run_id"], f"{out}/results/{folder}", refs)
+        tables.append("results")
+        results = spark.read.parquet(f"{out}/results/{folder}")
+        store(spark.createDataFrame(waiting + raised, "test_id string, reason string"), "left_out")
+        store(amend_maps(rows, results, runnable, ["run_id"]), "amended")
+        store(run_summary(results, keys=["run_id"], records=rows.groupBy("run_id").agg(F.count("*").alias("n"))), "summary")
+        store(curated(results, context_of(catalogue_of(spark, chosen)), CURATED_ROWS, keys=["run_id"]), "curated")
 
         has = [F.map_contains_key("values", F.lit(c)) for c in ("dwc:occurrenceID", "dwc:taxonID")]
         applies = F.lit(False)
@@ -119,7 +175,7 @@ def process_batch(out: str, rules: Iterable[Rule]) -> Callable[[DataFrame, int],
             F.bool_or(F.coalesce(applies, F.lit(False))).alias("applies"), F.max(F.when(F.col("line") < 0, F.col("problem"))).alias("error"))
         reason = (
             F.when(bad, F.concat(F.lit("invalid JSON: "), F.col(CORRUPT)))
-            .when(~is_top_level(), "reply")
+            .when(~top, "reply")
             .when(~F.coalesce(F.size("attachments") > 0, F.lit(False)), "no attachment")
             .when(F.col("content").isNull(), "no readable table")
             .when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), F.col("error")))
@@ -127,24 +183,39 @@ def process_batch(out: str, rules: Iterable[Rule]) -> Callable[[DataFrame, int],
             .when(~F.col("applies"), F.when(F.col("core"), "no rule applies").otherwise("no identifier column"))
             .otherwise(PROCESSED)
         )
-        outcome = messages.join(per_run, "run_id", "left").withColumn("reason", reason)
-        outcome.select("run_id", *_REASON).write.mode("overwrite").parquet(f"{out}/outcome/{folder}")
-        dead = spark.read.parquet(f"{out}/outcome/{folder}").where(~F.col("reason").isin(PROCESSED, "reply", "no attachment"))
-        dead.select(*_REASON).write.mode("overwrite").parquet(f"{out}/dead_letter/{folder}")
+        outcome = store(messages.join(per_run, "run_id", "left").withColumn("reason", reason).select("run_id", *_REASON), "outcome")
+        store(outcome.where(~F.col("reason").isin(PROCESSED, "reply", "no attachment")).select(*_REASON), "dead_letter")
+        total = outcome.agg(F.count("*").alias("messages"), F.count_if(F.col("reason") == PROCESSED).alias("processed"))
+        commit = total.select(F.array(*[F.lit(t) for t in tables]).alias("tables"), "messages", "processed")
+        commit.write.mode("overwrite").parquet(f"{out}/commits/{folder}")
 
     return run
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Ids that other batches have stored; None when there are none yet."""
+def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path``; None if there is no such folder. Any other error is one."""
     try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:  # nothing is stored yet
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return stored.where(F.col("batch_id") != batch_id).select("messageId") if "batch_id" in stored.columns else None
 
 
-def start_intake(stream: DataFrame, out: str, checkpoint: str, rules: Iterable[Rule], once: bool = False) -> StreamingQuery:
+def is_committed(spark: SparkSession, out: str, batch_id: int) -> bool:
+    found = _read_if_there(spark, f"{out}/commits/batch_id={batch_id}", "messages bigint")
+    return found is not None and not found.isEmpty()
+
+
+def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of the intake with ``batch_id``, as far as its batches are whole."""
+    done = _read_if_there(spark, f"{out}/commits", COMMIT)
+    stored = spark.read.parquet(f"{out}/{name}")
+    return stored.where("false") if done is None else stored.join(F.broadcast(done.select("batch_id")), "batch_id", "left_semi")
+
+
+def start_intake(stream: DataFrame, out: str, checkpoint: str, rules: Iterable[Rule], once: bool = False, refs: References | None = None) -> StreamingQuery:
     """Run the intake over each micro-batch. ``once`` handles what is there and stops."""
-    writer = stream.writeStream.foreachBatch(process_batch(out, rules)).option("checkpointLocation", checkpoint)
+    stream.sparkSession.conf.set(*STATE_STORE)
+    writer = once_per_thread(stream).writeStream.foreachBatch(process_batch(out, rules, refs)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start()

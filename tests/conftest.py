@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from plumbline.operators.lookups import References
@@ -45,7 +47,7 @@ BOUNDARY_DDL = "poly_id int, part int, iso_a2 string, name string, rings array<a
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("plumbline-tests", 8, shuffle_partitions=4, driver_memory="6g")
+    session = get_session("plumbline-tests", os.environ.get("PLUMBLINE_TEST_CORES", "8"), shuffle_partitions=4, driver_memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -146,3 +146,39 @@ def test_null_keys_are_spread(spark):
         (r["k"] or "", r["i"], r["v"] if r["v"] is not None else -1) for r in df.join(side, "k", "left").collect())
     plan = joined.where("k IS NULL").select("i")
     assert plan.count() == 1000
+
+
+def test_name_index_is_stored_and_bounded(spark, refs, tmp_path):
+    from plumbline.operators import names
+    words = [f"{a}{b} {c}" for a in ("ab", "ba", "abc") for b in ("x", "yy") for c in ("", "ab", "zab", "é")]
+    backbone = spark.createDataFrame([(i, w.strip().upper() if i % 2 else w.strip()) for i, w in enumerate(words)] + [(99, None), (98, " ")], "pos int, canonical_name string")
+    index = L.backbone_index(backbone, str(tmp_path / "index"))
+    again = names.load_index(spark, str(tmp_path / "index"))
+    asked = ["ab", "a", "bx", "x zab", "yy", "abx", "cyy ab", "nothing", "é", "", None, "abx zab", "AB"]
+    queries = spark.createDataFrame([(q,) for q in asked], "n string")
+    known = sorted((" ".join(w.lower().split()), i) for i, w in enumerate(words))
+    for limit in (1, 3, 100):
+        got = {}
+        for r in L.taxon_search(queries, "n", again, limit).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r["pos"])
+        want = {}
+        for q in {q.lower() for q in asked if q}:
+            hits = [i for k, i in known if k == q] or [i for k, i in known if q in k]
+            if hits:
+                want[q] = hits[:limit]
+        assert got == want
+    plan = L.taxon_search(queries, "n", index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("FileScan") + plan.count("Scan ExistingRDD") <= 8
+
+
+def test_each_point_has_its_own_radius(spark, refs):
+    rnd = random.Random(9)
+    points = [(rnd.uniform(-60, 75), rnd.uniform(-180, 180), rnd.choice([0.0, 0.0, 3000.0, 250_000.0, 2_000_000.0])) for _ in range(150)] + [(49.0, -100.0, 0.0), (None, 1.0, 0.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(points, "lat double, lon double, r double")
+    got = {(p["lat"], p["lon"], p["r"]): p["codes"] for p in geo.point_countries(df, refs.boundaries, radius="r").collect()}
+    want = {}
+    for r in {p[2] for p in points if p[2] is not None}:
+        some = df.where(F.col("r") == r)
+        alike = geo.point_near(some, refs.boundaries, r) if r else geo.point_countries(some, refs.boundaries)
+        want |= {(p["lat"], p["lon"], r): p["codes"] for p in alike.collect()}
+    assert got == want and any(r > 0 for _, _, r in got)

@@ -124,3 +124,17 @@ def test_whole_run(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "results")).count() == 4
     with pytest.raises(NoCore):
         run_dataset(df.drop("dwc:taxonID"), rules, str(tmp_path), "r2")
+
+
+def test_pages_after_a_key(spark, tmp_path):
+    rows = [(i % 7, f"n{i:03d}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "`dwc:a` int, b string, v int")
+    stored = summary.store_pages(df, str(tmp_path / "pages"), ["dwc:a", "b"])
+    want, after, got = sorted(rows), None, []
+    for _ in range(7):
+        part = [tuple(r) for r in summary.page_after(stored, ["dwc:a", "b"], 10, after).collect()]
+        got += part
+        after = part[-1][:2] if part else after
+    assert got == want
+    plan = summary.page_after(stored, ["dwc:a", "b"], 10, (3, "n010"))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(`dwc:a`,3)" in plan

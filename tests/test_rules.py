@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluate import evaluate, evaluate_requests, run_tests
+from plumbline.rules import base as B
 from plumbline.rules.adapters import pandas_rule
 from plumbline.rules.dwc import REGISTRY
 from plumbline.rules.registry import Registry
@@ -223,7 +225,9 @@ def test_parameters_of_a_request(spark):
             (1, "VALIDATION_EVENTDATE_INRANGE", {"dwc:eventDate": "2000-01-01", "latestValidDate": "junk"}),
             (2, "VALIDATION_EVENTDATE_INRANGE", {"dwc:eventDate": "2000-01-01"}), (3, None, {})]
     out = evaluate_requests(spark.createDataFrame(rows, "seq int, id string, params map<string,string>"), REGISTRY)
-    assert {r["seq"]: r["result"] for r in out.collect()} == {0: "NOT_COMPLIANT", 1: "COMPLIANT", 2: "COMPLIANT", 3: ""}
+    got = {r["seq"]: (r["status"], r["result"], r["comment"]) for r in out.collect()}
+    assert {k: v[1] for k, v in got.items()} == {0: "NOT_COMPLIANT", 1: "", 2: "COMPLIANT", 3: ""}
+    assert got[1][0] == "INTERNAL_PREREQUISITES_NOT_MET" and got[1][2] == "Parameter latestValidDate is no date: junk"
     ids = spark.createDataFrame([(None, "x"), ("A", "x")], "id string, status string")
     assert not batch_summary(ids).first()["homogeneous"]
 
@@ -242,3 +246,40 @@ def test_user_rule_answers_are_checked(spark):
         bound = pandas_rule(lambda v, answer=answer: answer, ["a"])(Inputs(column_source(), {}))
         got = spark.createDataFrame([("x",)], "a string").select(bound.alias("r")).first()["r"]
         assert got["status"] == "INTERNAL_PREREQUISITES_NOT_MET" and "must return" in got["comment"]
+
+
+def test_parameters_take_defaults_and_are_checked(spark, refs):
+    near = {"dwc:decimalLatitude": "42.0", "dwc:decimalLongitude": "8.01", "dwc:countryCode": "FR"}  # some 800 m outside the box
+    buffers = {0: {}, 1: {"spatialBufferInMeters": "0"}, 2: {"bdq:spatialBufferInMeters": "5000"}, 3: {"spatialBufferInMeters": "-1"}, 4: {"spatialBufferInMeters": "wide"},
+               5: {"spatialBufferInMeters": " "}, 6: {"spatialBufferInMeters": "100"}, 7: {"spatialBufferInMeters": "NaN"}, 8: {"spatialBufferInMeters": "1e7"}}
+    rows = [(i, "VALIDATION_COORDINATES_IN_COUNTRY", near | b) for i, b in buffers.items()]
+    out = evaluate_requests(spark.createDataFrame(rows, "seq int, id string, params map<string,string>"), REGISTRY, refs).collect()
+    got = {r["seq"]: r["result"] or r["status"] for r in out}
+    wrong = "INTERNAL_PREREQUISITES_NOT_MET"
+    assert got == {0: "COMPLIANT", 1: "NOT_COMPLIANT", 2: "COMPLIANT", 3: wrong, 4: wrong, 5: "COMPLIANT", 6: "NOT_COMPLIANT", 7: wrong, 8: "COMPLIANT"}
+    rule = REGISTRY["VALIDATION_EVENTDATE_INRANGE"].with_params(earliestValidDate="junk")
+    assert answer(spark, refs, "", rule, eventDate="2000-01-01") == UNMET
+
+
+def test_rules_that_raise_are_left_out(spark, tmp_path):
+    from plumbline.operators.isolate import reason_of, run_stored, write_isolated
+    registry = Registry()
+    for i in range(5):
+        registry.rule(f"VALIDATION_OK{i}", acted=["a"])(B.not_empty("a"))
+    registry.rule("VALIDATION_CAST", acted=["a"])(lambda v: B.verdict(v["a"].cast("int") > 0, "y", "n"))
+    registry.rule("VALIDATION_DIVIDE", acted=["a", "b"])(lambda v: B.verdict(F.lit(1) / (F.length(v["b"]) - 1) > 0, "y", "n"))
+    df = spark.createDataFrame([("p", "x"), ("2", "yy"), ("3", "z")], "a string, b string")
+    run = run_stored(df, registry, str(tmp_path / "r"))
+    assert {r["test_id"]: r["reason"].split("]")[0] for r in run.failed.collect()} == {"VALIDATION_CAST": "[CAST_INVALID_INPUT", "VALIDATION_DIVIDE": "[DIVIDE_BY_ZERO"}
+    counts = {r["test_id"]: r["n"] for r in run.results.groupBy("test_id").agg(F.sum("count").alias("n")).collect()}
+    assert counts == {f"VALIDATION_OK{i}": 3 for i in range(5)} and len(run.rules) == 5
+    again = run_stored(df.where("a = '2'"), registry.select("VALIDATION_CAST"), str(tmp_path / "r"))  # the folder is replaced
+    assert again.failed.count() == 0 and again.results.count() == 1
+    none = run_stored(df, registry.select("VALIDATION_CAST"), str(tmp_path / "r"))
+    assert none.results.count() == 0 and none.failed.count() == 1
+
+    def lost(some):
+        raise PySparkException("Job aborted: ExecutorLostFailure (executor 3 exited)")
+    with pytest.raises(PySparkException):  # a fault of the cluster is no rule's fault
+        write_isolated(spark, registry.select("VALIDATION_CAST"), lost, str(tmp_path / "x"))
+    assert reason_of(ValueError("plain words\nmore")) == "plain words"

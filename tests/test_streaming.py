@@ -2,14 +2,27 @@ from __future__ import annotations
 
 import json
 
-from test_sources import attachment, encode, message
-
+import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from test_sources import attachment, encode
+from test_sources import message as plain_message
+
+from plumbline.operators.lookups import References
+from plumbline.rules import base as B
 from plumbline.rules.dwc import REGISTRY
+from plumbline.rules.registry import Registry
 from plumbline.streaming import intake, running
 
 RULES = REGISTRY.select("VALIDATION_COUNTRYCODE_NOTEMPTY", "VALIDATION_COUNTRY_NOTEMPTY", "VALIDATION_TAXONRANK_STANDARD")
 
 
+def message(i, attachments, thread=None, **more):
+    """A message in a thread of its own."""
+    return plain_message(i, attachments, thread or f"t{i}", **more)
+
+
 def test_intake_once_only_with_restart(spark, tmp_path):
     inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     inbox.mkdir()
@@ -118,3 +131,120 @@ def test_intake_loses_no_message(spark, tmp_path):
         ("m2", "no identifier column"), ("m3", "processed"), ("m4", "no rule applies"), ("m5", "processed"), ("m6", "processed")]
     assert ["LOST" in r.problem for r in spark.read.parquet(f"{out}/rejected").collect()] == [True]
     assert spark.read.parquet(f"{out}/results").select("run_id").distinct().count() == 6
+
+
+def feed(spark, tmp_path, rules=RULES, refs=None):
+    """(put a message into the inbox, run the intake over what is there, its output)."""
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+
+    def drop(name, m):
+        (inbox / f"{name}.json").write_text(json.dumps(m, indent=1))
+
+    def run():
+        query = intake.start_intake(intake.stream_submissions(spark, str(inbox)), out, str(tmp_path / "state"), rules, once=True, refs=refs)
+        query.awaitTermination()
+        return query
+    return drop, run, out
+
+
+def outcomes(spark, out):
+    return sorted((r["messageId"], r["reason"]) for r in spark.read.parquet(f"{out}/outcome").collect())
+
+
+def test_threads_and_ids_are_state_without_age(spark, tmp_path):
+    good = [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,France,FR\n"))]
+    drop, run, out = feed(spark, tmp_path)
+    drop("a", message(1, good, "t", at="2024-03-02T00:00:00Z"))
+    drop("b", message(2, good, "t", at="2024-03-03T00:00:00Z"))  # in the same batch, later
+    run()
+    assert outcomes(spark, out) == [("m1", "processed"), ("m2", "reply")]
+    drop("c", message(3, good, "t", at="2024-03-04T00:00:00Z"))  # later in a later batch
+    drop("d", message(4, good, "u", at="2024-01-02T00:00:00Z"))  # sixty days old, another thread
+    drop("e", message(1, good, "t", at="2024-03-02T00:00:00Z"))  # a repeat
+    drop("f", message(5, good, "t", at="2024-01-01T00:00:00Z"))  # earlier than all of its thread
+    drop("g", {**message(6, good), "threadId": None})
+    drop("h", {**message(7, good), "threadId": ""})
+    query = run()
+    assert outcomes(spark, out) == [("m1", "processed"), ("m2", "reply"), ("m3", "reply"), ("m4", "processed"), ("m5", "processed"), ("m6", "processed"),
+                                    ("m7", "processed")]
+    states = {op["operatorName"]: op["numRowsTotal"] for op in query.recentProgress[-1]["stateOperators"]}
+    assert states["dedupe"] == 7  # the state grows with ids; a batch reads only its own
+
+
+def whole_run_rules():
+    rules = Registry()
+    rules.add(REGISTRY["VALIDATION_COUNTRY_NOTEMPTY"])
+    rules.add(REGISTRY["VALIDATION_COUNTRY_FOUND"])
+    rules.add(REGISTRY["AMENDMENT_COUNTRYCODE_STANDARDIZED"])
+    rules.rule("VALIDATION_NUMBER", acted=["dwc:country"])(lambda v: B.verdict(v["dwc:country"].cast("int") > 0, "y", "n"))
+    rules.rule("AMENDMENT_Z_LAST", "Amendment", acted=["dwc:countryCode"])(
+        lambda v: F.when(v["dwc:countryCode"] == "usa", B.changed({"dwc:countryCode": F.lit("ZZ"), "dwc:missing": F.lit("x")}, "z")).otherwise(B.unchanged("same")))
+    rules.add(REGISTRY["VALIDATION_SCIENTIFICNAME_FOUND"])
+    return rules
+
+
+def test_a_whole_run_for_each_submission(spark, refs, tmp_path):
+    drop, run, out = feed(spark, tmp_path, whole_run_rules(), References(iso=refs.iso))
+    drop("a", message(1, [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,France,fr\n2,Nowhere,FR\n3,France,usa\n"))]))
+    drop("b", message(2, [attachment("t.csv", "", encode("taxonID,country\n1,Canada\n"))]))
+    drop("c", message(3, []))
+    run()
+    amended = {(r["run_id"], r["line"]): r["values"] for r in intake.committed(spark, out, "amended").collect()}
+    assert {k: v.get("dwc:countryCode") for k, v in amended.items()} == {("m1", 0): "FR", ("m1", 1): "FR", ("m1", 2): "ZZ", ("m2", 0): None}
+    assert all("dwc:missing" not in v for v in amended.values())
+    summary = {r["run_id"]: r for r in intake.committed(spark, out, "summary").collect()}
+    assert {k: (r["number_of_records_in_dataset"], r["no_of_tests_run"], r["no_of_non_compliant_validations"], r["no_of_amendments"]) for k, r in summary.items()} == {
+        "m1": (3, 4, 1, 3), "m2": (1, 1, 0, 0)}  # m2 has no country code, which one of the two country tests consults
+    found = {(r["run_id"], r["actedUpon"]): r["result"] for r in intake.committed(spark, out, "results").where("test_id = 'VALIDATION_COUNTRY_FOUND'").collect()}
+    assert found[("m1", "dwc:country=Nowhere")] == "NOT_COMPLIANT" and found[("m2", "dwc:country=Canada")] == "COMPLIANT"
+    curated = intake.committed(spark, out, "curated")
+    assert {r["run_id"] for r in curated.collect()} == {"m1"} and curated.where("description = ''").count() <= curated.count()
+    left = {r["test_id"]: r["reason"] for r in intake.committed(spark, out, "left_out").collect()}
+    assert "backbone" in left["VALIDATION_SCIENTIFICNAME_FOUND"] and "CAST_INVALID_INPUT" in left["VALIDATION_NUMBER"] and len(left) == 2
+    assert outcomes(spark, out) == [("m1", "processed"), ("m2", "processed"), ("m3", "no attachment")]
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    good = [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,France,FR\n"))]
+    messages = intake.parse_messages(spark.createDataFrame([(json.dumps(message(i, good)),) for i in (1, 2)], "value string"))
+    out = str(tmp_path / "out")
+    monkeypatch.setattr(intake, "curated", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        intake.process_batch(out, RULES)(messages, 0)
+    assert intake.committed(spark, out, "results").count() == 0 and spark.read.parquet(f"{out}/results").count() > 0
+    monkeypatch.undo()
+    intake.process_batch(out, RULES)(messages, 0)
+    once = intake.committed(spark, out, "results").count()
+    assert once == spark.read.parquet(f"{out}/results").count() > 0
+    intake.process_batch(out, RULES)(messages.where("false"), 0)  # committed: not run again
+    assert intake.committed(spark, out, "results").count() == once
+    intake.process_batch(out, RULES)(messages.where("false"), 1)
+    assert intake.committed(spark, out, "outcome").count() == 2
+    (tmp_path / "out" / "commits" / "batch_id=7").mkdir()
+    (tmp_path / "out" / "commits" / "batch_id=7" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises((PySparkException, Py4JJavaError)):  # an unreadable store is not an empty one
+        intake.is_committed(spark, out, 7)
+
+
+def test_counts_in_a_base_and_deltas(spark, tmp_path, monkeypatch):
+    out, cols = str(tmp_path / "out"), ["k"]
+    step = running.count_batch(out, cols, "t", "1 hour", merge_every=3)
+    want = {}
+    for b in range(8):
+        rows = [("a" if i % 2 else f"k{b}", f"2024-01-01 {b:02d}:{i:02d}:00") for i in range(6)]
+        for k, _ in rows:
+            want[k] = want.get(k, 0) + 1
+        if b == 5:
+            rows += [("late", "2024-01-01 00:00:00"), ("late", "2024-01-01 03:00:00"), ("fine", "2024-01-01 04:30:00"), (None, None)]
+            want |= {"fine": 1, "": 1}
+        batch = spark.createDataFrame(rows, "k string, s string").selectExpr("k", "cast(s as timestamp) as t")
+        step(batch, b)
+        if b in (1, 3):  # a repeated batch replaces itself, one that is in the base is left out
+            step(batch, b)
+        assert {r["k"]: r["count"] for r in running.current_counts(spark, out, cols, b).collect()} == want
+        assert running.last_batch(spark, out) == b
+        files = running._parts(spark, out, cols, b).inputFiles()
+        assert len({f.rsplit("/", 2)[1] for f in files}) <= 4  # a base and three deltas at most
+    assert sorted(str(r["t"]) for r in spark.read.parquet(f"{out}/late").collect()) == ["2024-01-01 00:00:00", "2024-01-01 03:00:00"]
+    assert [r["late"] for r in spark.read.parquet(f"{out}/commits").orderBy("batch").collect()] == [0] * 5 + [2, 0, 0]

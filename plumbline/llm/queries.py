@@ -81,7 +81,7 @@ def source_tree():
     return [domain, F.col("lang"), F.col("source")]
 
 
-def _mixing_sql() -> str:
+def _mixing_sql(share: float = SHARE, epochs: int = EPOCHS) -> str:
     """The mixture in DuckDB: water filling for each level of the tree, then the seeded prefix."""
     cases = " ".join(f"WHEN '{path[0]}' THEN {w}" for path, w in WEIGHTS.items())
     keys, levels = ["domain", "lang", "source"], []
@@ -92,7 +92,7 @@ def _mixing_sql() -> str:
         part = f"PARTITION BY {', '.join(above)}" if above else ""
         path = " || ',' || ".join(f"coalesce(to_json(n.{k})::VARCHAR, 'null')" for k in keys[:i + 1])
         levels.append(f"""c{i} AS (SELECT n.*, {weight}::DOUBLE AS w, p.budget, '[' || {path} || ']' AS node
-  FROM (SELECT {own}, sum(supply) * {EPOCHS} AS cap FROM leaves GROUP BY {own} HAVING sum(supply) > 0) n JOIN b{i} p ON {same}),
+  FROM (SELECT {own}, sum(supply) * {epochs} AS cap FROM leaves GROUP BY {own} HAVING sum(supply) > 0) n JOIN b{i} p ON {same}),
 r{i} AS (SELECT *, row_number() OVER (o) AS place, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c{i} WINDOW o AS ({part} ORDER BY cap / w, node)),
 s{i} AS (SELECT *, min(CASE WHEN level * w <= cap THEN place END) OVER ({part}) AS first_open FROM r{i}),
@@ -107,7 +107,7 @@ b{i + 1} AS (SELECT {own}, coalesce(least(cap::DOUBLE, max(CASE WHEN place = fir
 WITH d AS (SELECT doc_id, lang, source, CASE source {domains} END AS domain,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply FROM d GROUP BY ALL),
-b0 AS (SELECT least(sum(supply) * {SHARE}::DOUBLE, (sum(supply) * {EPOCHS})::DOUBLE) AS budget FROM leaves),
+b0 AS (SELECT least(sum(supply) * {share}::DOUBLE, (sum(supply) * {epochs})::DOUBLE) AS budget FROM leaves),
 {ladder},
 q AS (SELECT l.*, floor(b.budget / supply)::BIGINT AS whole, (floor(b.budget) - floor(b.budget / supply) * supply)::BIGINT AS rest
       FROM leaves l JOIN b3 b ON {same.replace('d.', 'l.').replace('q.', 'b.')}),

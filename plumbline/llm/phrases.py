@@ -2,13 +2,15 @@
 
 A phrase is a run of words inside a piece of a text; pieces end at punctuation or a line break. Counts are per language.
 
-The texts are dealt once, row by row, to ``SHARDS`` shards, which are scanned in a cycle. Words are counted from the first step on. A phrase of
+The texts are dealt once, chunk by chunk, to ``SHARDS`` shards, which are scanned in a cycle. Words are counted from the first step on. A phrase of
 two words or more becomes active in the step after both its subphrases (all but the last word, all but the first) have reached the threshold
 with what has been counted so far, and is then counted for exactly one cycle, whichever shard that begins with. So lengths overlap:
 while late words still wait for their cycle to end, pairs and triples of early ones are counted already. Scanning ends when a whole cycle
 has brought no phrase to the threshold that a longer one could follow.
 
-* **A step** is one Spark job over one shard. Tasks turn words into numbers, chunk by chunk, look up in which step each subphrase reached the
+* **Texts are split once** and stored as chunks: the different words of a chunk, and its words as numbers. After the words' own cycle a shard's chunks
+  are stored again without the words that stayed below the threshold.
+* **A step** is one Spark job over one shard. Tasks look up in which step each subphrase reached the
   threshold, and count active phrases exactly (by words, not by hashes); Spark sums the chunks' counts by phrase. The sums of a
   step are stored and never merged or moved again.
 * **Reaching the threshold**: a phrase that has it after a cycle of s shards has at least its s-th part in one of them. Only such phrases are summed
@@ -27,11 +29,13 @@ empty table gives an empty result. Other columns are not read, so their names ca
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,44 +79,59 @@ def _words(text: str | None) -> Iterator[list[bytes]]:
 class _Numbers(dict):
     """Numbers of the words of one language, given out on demand."""
 
-    def __init__(self, words: list[tuple[str, bytes]], lang: str) -> None:
-        self.words, self.lang = words, lang
+    def __init__(self, words: list[bytes], of: list[int], lang: int) -> None:
+        self.words, self.of, self.lang = words, of, lang
+        self[_BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
-        self.words.append((self.lang, word))
+        self.words.append(word)
+        self.of.append(self.lang)
         self[word] = number = len(self.words)
         return number
 
 
-class Chunk:
+class _Builder:
     """Consecutive words of some texts as numbers from 1; 0 ends a piece."""
 
     def __init__(self) -> None:
-        self.words: list[tuple[str, bytes]] = []
         self.langs: dict[str, _Numbers] = {}
+        self.words: list[bytes] = []
+        self.of: list[int] = []  # the language of each word, by number
         self.parts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, lang: str, words: list[bytes]) -> None:
         if lang not in self.langs:
-            self.langs[lang] = _Numbers(self.words, lang)
-            self.langs[lang][_BREAK] = 0
-        self.parts.append(np.fromiter(map(self.langs[lang].__getitem__, words), dtype=np.int64, count=len(words)))
+            self.langs[lang] = _Numbers(self.words, self.of, len(self.langs))
+        self.parts.append(np.fromiter(map(self.langs[lang].__getitem__, words), dtype=np.int32, count=len(words)))
         self.size += len(words)
 
     def end_text(self) -> None:
-        self.parts.append(np.zeros(1, dtype=np.int64))
+        self.parts.append(np.zeros(1, dtype=np.int32))
         self.size += 1
 
     def tail(self, n: int) -> list[tuple[str, bytes]]:
         """The last words with their language, 0xFF where a piece ends."""
-        last = np.concatenate(self.parts)[-n:]
-        return [self.words[i - 1] if i else (NULL_LANG, _BREAK) for i in last]
+        names = list(self.langs) or [NULL_LANG]
+        return [(names[self.of[i - 1]], self.words[i - 1]) if i else (names[0], _BREAK) for i in np.concatenate(self.parts)[-n:].tolist()]
+
+
+@dataclass
+class Chunk:
+    """Consecutive words as numbers; the words of number i stand at place i - 1 of ``words``, 0 ends a piece."""
+
+    langs: list[str]
+    words: pa.Array  # strings
+    of: np.ndarray  # the language of each word, by place
+    ids: np.ndarray
+    starts: int  # phrases start at so many places; the words after them only go on with phrases
 
 
-def _hashes(words: list[tuple[str, bytes]]) -> np.ndarray:
-    """A hash of each word with its language; place 0 is the break."""
-    return np.array([0] + [xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang)) for lang, w in words], dtype=np.uint64)
+def _hashes(chunk: Chunk) -> np.ndarray:
+    """A hash of each word with its language, by number; place 0 is the break."""
+    seeds = [xxhash.xxh64_intdigest(lang) for lang in chunk.langs]
+    digest = xxhash.xxh64_intdigest
+    return np.array([0] + [digest(w, seeds[k]) for w, k in zip(chunk.words.cast(pa.binary()).to_pylist(), chunk.of.tolist(), strict=True)], dtype=np.uint64)
 
 
 def phrase_hash(lang: str, words: list[bytes], bits: int = HASH_BITS) -> int:
@@ -123,28 +142,31 @@ def phrase_hash(lang: str, words: list[bytes], bits: int = HASH_BITS) -> int:
     return out >> (64 - bits)
 
 
-def _counted(chunk: Chunk, starts: int, step: int, shards: int, reached: dict[int, tuple[np.ndarray, np.ndarray]], bits: int
+def _steps_of(reached: dict[int, tuple[np.ndarray, np.ndarray]], length: int, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The step in which each phrase of ``length`` words reached the threshold."""
+    keys, steps = reached.get(length, (np.empty(0, np.int32), np.empty(0, np.uint8)))
+    if not len(keys):
+        return np.full(len(hashes), NEVER, dtype=np.int64)
+    short = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+    return np.where(keys[at] == short, steps[at].astype(np.int64), NEVER)
+
+
+def _counted(chunk: Chunk, step: int, shards: int, reached: dict[int, tuple[np.ndarray, np.ndarray]], bits: int
              ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``length, words, counts`` of the phrases that are active in ``step`` and start at the first ``starts`` places of the chunk."""
-    ids = np.concatenate(chunk.parts)
+    """``length, words, counts`` of the phrases that are active in ``step`` and start in the chunk."""
+    ids, starts = chunk.ids, chunk.starts
     if step < shards:
         count = np.bincount(ids[:starts], minlength=len(chunk.words) + 1)
         count[0] = 0
         some = np.flatnonzero(count)
         yield 1, some[:, None], count[some]
-    own = _hashes(chunk.words)
-    shift = np.uint64(64 - bits)
-
-    def steps_of(length: int, hashes: np.ndarray) -> np.ndarray:
-        keys, steps = reached.get(length, (None, None))
-        if keys is None or not len(keys):
-            return np.full(len(hashes), NEVER, dtype=np.int64)
-        short = (hashes >> shift).astype(np.int32)
-        at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-        return np.where(keys[at] == short, steps[at].astype(np.int64), NEVER)
+    if 1 not in reached:
+        return
+    own = _hashes(chunk)
 
     # a phrase is never held to have reached the threshold before it was active, which a collision could make believe
-    by_word = steps_of(1, own)
+    by_word = _steps_of(reached, 1, own, bits)
     by_word[0] = NEVER
     since = by_word[ids]  # step in which the phrase that starts here reached the threshold
     places = np.flatnonzero(since < NEVER)  # starts of phrases of the present length that have
@@ -155,11 +177,8 @@ def _counted(chunk: Chunk, starts: int, step: int, shards: int, reached: dict[in
         if not len(places):
             return
         # the phrase without its first word must be there too
-        follows = np.searchsorted(places, places + 1)
-        inside = follows < len(places)
-        inside[inside] = places[follows[inside]] == places[inside] + 1
-        first = np.flatnonzero(inside)
-        active = np.maximum(since[first], since[follows[first]]) + 1
+        first = np.flatnonzero(places[1:] == places[:-1] + 1)
+        active = np.maximum(since[first], since[first + 1]) + 1
         first = first[active <= step]
         active = active[active <= step]
         last = ids[places[first] + length - 1]
@@ -172,46 +191,102 @@ def _counted(chunk: Chunk, starts: int, step: int, shards: int, reached: dict[in
             begin = places[now][at]
             yield length, ids[begin[:, None] + np.arange(length)], count
         code = alike.astype(np.int64)
-        since = np.maximum(steps_of(length, hashes), active)
+        since = np.maximum(_steps_of(reached, length, hashes, bits), active)
         known = since < NEVER
         places, hashes, code, since = places[known], hashes[known], code[known], since[known]
 
 
-def count_shard(shard: DataFrame, step: int, shards: int, reached: dict[int, tuple[np.ndarray, np.ndarray]], bits: int = HASH_BITS,
-                chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """``lang, phrase, words, f``: the counts of the active phrases in ``shard(lang, text)``."""
-    session = shard.sparkSession
-    shared = session.sparkContext.broadcast(reached)
+_ENCODED = "shard int, langs array<string>, words array<string>, sizes array<int>, places long, starts long, ids binary"
+_ROW = pa.schema([("shard", pa.int32()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())),
+                  ("places", pa.int64()), ("starts", pa.int64()), ("ids", pa.binary())])
+
+
+def _row(shard: int, chunk: Chunk) -> pa.RecordBatch:
+    """A chunk as one row: words by language, numbers compressed."""
+    order = np.argsort(chunk.of, kind="stable")
+    number = np.zeros(len(order) + 1, dtype=np.int32)
+    number[order + 1] = np.arange(1, len(order) + 1)
+    words = chunk.words.take(pa.array(order))
+    sizes = np.bincount(chunk.of, minlength=len(chunk.langs)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([
+        pa.array([shard], pa.int32()), pa.array([chunk.langs], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+        pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([len(chunk.ids)], pa.int64()), pa.array([chunk.starts], pa.int64()),
+        pa.array([pa.compress(number[chunk.ids].astype("<i4").tobytes(), codec="zstd", asbytes=True)], pa.binary())], schema=_ROW)
 
-    def batch(chunk: Chunk, starts: int) -> Iterator[pa.RecordBatch]:
-        langs = pa.array([""] + [lang for lang, _ in chunk.words], pa.string())
-        words = pa.array([b""] + [w for _, w in chunk.words], pa.binary()).cast(pa.string())
-        for length, numbers, counts in _counted(chunk, starts, step, shards, shared.value, bits):
-            columns = [words.take(pa.array(numbers[:, i])) for i in range(length)]
-            text = columns[0] if length == 1 else pc.binary_join_element_wise(*columns, " ")
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(numbers[:, 0])), text, pa.array(np.full(len(counts), length, dtype=np.int32)),
-                                              pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "f"])
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
+    """The chunks that :func:`_row` made, with their shard."""
+    for b in slices(batches, 1):
+        if b.num_rows:
+            shard, langs, sizes, places, starts, ids = (b.column(i)[0].as_py() for i in (0, 1, 3, 4, 5, 6))
+            numbers = np.frombuffer(pa.decompress(ids, places * 4, codec="zstd"), dtype="<i4").astype(np.int64)
+            yield shard, Chunk(langs, b.column(2)[0].values, np.repeat(np.arange(len(langs)), sizes), numbers, starts)
+
+
+def encode(rows: DataFrame, shards: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """The texts of ``rows(lang, text)`` as chunks, dealt to the shards in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk()
+        builder, turn = _Builder(), TaskContext.get().partitionId()
+
+        def row(starts: int) -> pa.RecordBatch:
+            words = pa.array(builder.words, pa.binary()).cast(pa.string())
+            return _row(turn % shards, Chunk(list(builder.langs), words, np.array(builder.of, dtype=np.int64), np.concatenate(builder.parts), starts))
+
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for words in _words(text):
                     for at in range(0, len(words), chunk_words):
-                        some = words[at:at + chunk_words]
-                        chunk.add(lang, some)
-                        if chunk.size >= max(chunk_words, LONGEST):
+                        builder.add(lang, words[at:at + chunk_words])
+                        if builder.size >= max(chunk_words, LONGEST):
                             # the last words may start phrases that go on: they open the next chunk
-                            yield from batch(chunk, chunk.size - (LONGEST - 1))
-                            tail = chunk.tail(LONGEST - 1)
-                            chunk = Chunk()
+                            yield row(builder.size - (LONGEST - 1))
+                            tail = builder.tail(LONGEST - 1)
+                            builder, turn = _Builder(), turn + 1
                             for own, word in tail:
-                                chunk.add(own, [word])
-                chunk.end_text()
-        if chunk.size:
-            yield from batch(chunk, chunk.size)
+                                builder.add(own, [word])
+                builder.end_text()
+        if builder.size:
+            yield row(builder.size)
+
+    return rows.select("lang", "text").mapInArrow(run, _ENCODED)
 
-    found = shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, f long")
+
+def without_rare_words(shard: DataFrame, reached: dict[int, tuple[np.ndarray, np.ndarray]], bits: int = HASH_BITS) -> DataFrame:
+    """The chunks of a shard once the words' cycle is complete: words below the threshold end a piece, words without a neighbour go."""
+    shared = shard.sparkSession.sparkContext.broadcast(reached)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, c in _chunks(batches):
+            often = _steps_of(shared.value, 1, _hashes(c), bits) < NEVER
+            often[0] = False
+            here = often[c.ids]
+            here &= np.concatenate((here[1:], [False])) | np.concatenate(([False], here[:-1]))
+            keep = here | np.concatenate(([False], here[:-1]))  # of several breaks in a row one stays
+            ids = np.where(here, c.ids, 0)[keep]
+            if not len(ids):
+                continue
+            used = np.flatnonzero(np.bincount(ids, minlength=len(often))[1:]) + 1
+            number = np.zeros(len(often), dtype=np.int64)
+            number[used] = np.arange(1, len(used) + 1)
+            yield _row(own, Chunk(c.langs, c.words.take(pa.array(used - 1)), c.of[used - 1], number[ids], int(keep[:c.starts].sum())))
+
+    return shard.mapInArrow(run, _ENCODED)
+
+
+def count_shard(shard: DataFrame, step: int, shards: int, reached: dict[int, tuple[np.ndarray, np.ndarray]], bits: int = HASH_BITS) -> DataFrame:
+    """``lang, phrase, words, f``: the counts of the active phrases in the chunks of a shard."""
+    shared = shard.sparkSession.sparkContext.broadcast(reached)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk in _chunks(batches):
+            langs = pa.array(chunk.langs, pa.string())
+            for length, numbers, counts in _counted(chunk, step, shards, shared.value, bits):
+                columns = [chunk.words.take(pa.array(numbers[:, i] - 1)) for i in range(length)]
+                text = columns[0] if length == 1 else pc.binary_join_element_wise(*columns, " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(chunk.of[numbers[:, 0] - 1])), text, pa.array(np.full(len(counts), length, dtype=np.int32)),
+                                                  pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "f"])
+
+    found = shard.mapInArrow(run, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
@@ -252,12 +327,18 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     ship_package(spark)
     folder = new_folder(spark, "phrases")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NULL_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = stored(rows.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")), f"{folder}/texts", "shard")
+    encode(rows, shards, chunk_words).write.parquet(f"{folder}/chunks", partitionBy="shard", compression="zstd")
+    stored_chunks = spark.read.schema(_ENCODED).parquet(f"{folder}/chunks")
     reached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     deltas, newly = [], []
     step, last = 0, -1
+    columns = ["shard", "langs", "words", "sizes", "places", "starts", "ids"]
+    shard = {s: stored_chunks.where(F.col("shard") == s).select(*columns) for s in range(shards)}
     while step < shards or last >= step - shards:
-        counted = count_shard(dealt.where(F.col("shard") == step % shards), step, shards, reached, bits, chunk_words)
+        now = step % shards
+        if step >= shards and step < 2 * shards:
+            shard[now] = stored(without_rare_words(shard[now], reached, bits), f"{folder}/frequent-{now}")
+        counted = count_shard(shard[now], step, shards, reached, bits)
         deltas.append(stored(counted, f"{folder}/counts-{step}"))
         # phrases counted in this step have all their counts in the last steps
         recent = _union([d.withColumn("step", F.lit(s)) for s, d in list(enumerate(deltas))[-shards:]])

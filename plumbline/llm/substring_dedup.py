@@ -18,7 +18,8 @@ Words are what stands between ASCII white space, A-Z lower-cased.
 6. **What representatives miss**: the representatives of a passage's seeds may be documents that hold too little of it. So the runs of ``LEAST`` words
    of a stretch that no passage so far covers with equal words are hashed and joined as a whole, again with the first document that has
    them, and chained and aligned in the same way. A run that is covered is held by a document with a smaller id as well, so all documents with a run
-   of ``LEAST`` equal words are linked, directly or through others that hold the same run.
+   of ``LEAST`` equal words are linked, directly or through others that hold the same run. Only runs without a window that lacks a shared seed can
+   be shared; those of documents that are themselves the representative of all their seeds are kept only where another document's run asks for them.
 
 A document's seeds bound what one task holds; hot seeds and runs are rows of plain equi-joins of stored tables.
 
@@ -50,6 +51,7 @@ REACH = WORDS + WINDOW + 3  # a passage of equal words ends within so many words
 MARGIN = 4 * REACH  # words fetched around a stretch
 APART = (BREAK + 1) * (WORDS + WINDOW - 1)  # words without a shared seed that part stretches
 SLICE = 64  # rows worked on at once
+MANY_RUNS = 1 << 21  # hashes (one long each) that are broadcast at most
 
 _P = 0x9E3779B97F4A7C15  # odd
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -239,25 +241,26 @@ def stretches_of(places: np.ndarray) -> np.ndarray:
 
 
 def _in_stretches(shared: DataFrame) -> DataFrame:
-    """``seed, id, at, first``: shared seeds with the first seed of their stretch."""
+    """``seed, id, at, first, home``: shared seeds with the first seed of their stretch, and whether the document is their representative."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             if not b.num_rows:
                 continue
-            seeds, firsts, places, counts = [], [], [], []
-            for at, own in zip(b.column(1), b.column(2), strict=True):
-                place, seed = at.values.to_numpy(zero_copy_only=False), own.values.to_numpy(zero_copy_only=False)
+            seeds, firsts, places, homes, counts = [], [], [], [], []
+            for own in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                place, seed, home = (x.values.to_numpy(zero_copy_only=False) for x in own)
                 order = np.argsort(place, kind="stable")
                 places.append(place[order])
                 seeds.append(seed[order])
+                homes.append(home[order])
                 firsts.append(stretches_of(place[order]))
                 counts.append(len(order))
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(places)), pa.array(np.concatenate(firsts))],
-                                             ["seed", "id", "at", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(places)), pa.array(np.concatenate(firsts)),
+                                              pa.array(np.concatenate(homes))], ["seed", "id", "at", "first", "home"])
 
-    per_document = shared.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("seed").alias("seed"))
-    return per_document.mapInArrow(run, f"seed long, id {dict(shared.dtypes)['id']}, at int, first int")
+    per_document = shared.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("seed").alias("seed"), F.collect_list("home").alias("home"))
+    return per_document.mapInArrow(run, f"seed long, id {dict(shared.dtypes)['id']}, at int, first int, home boolean")
 
 
 def _chained(matches: DataFrame, seeds: int) -> DataFrame:
@@ -316,32 +319,49 @@ def run_hashes(words: np.ndarray, least: int) -> np.ndarray:
     return _mixed((prefix[least:] - prefix[:-least]) * _powers(_P_INVERSE, len(words))[:n])
 
 
-def _open_runs(pieces: DataFrame, least: int) -> DataFrame:
-    """``seed, id, at, first`` of the runs of ``pieces(id, first, from, piece, runs)`` that no run of equal words covers."""
+def _open_runs(pieces: DataFrame, least: int, own: bool) -> DataFrame:
+    """``seed, id, at, first`` of the runs of ``pieces(id, first, from, piece, ats, homes, runs)`` that may be shared and that no run of equal words
+    covers: those whose seeds all have their representative here if ``own``, else the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
             place, seeds, ats = [], [], []
-            for i, (start, piece, covered) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            for i, (start, piece, at, home, covered) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)), strict=True)):
                 hashes = run_hashes(np.frombuffer(piece, dtype="<u2"), least)
-                change = np.zeros(len(hashes) + 1, dtype=np.int64)
-                for own in covered or []:
-                    for p, q in zip(own[::2], own[1::2], strict=True):
-                        change[max(0, p - start)] += 1
-                        change[min(len(hashes), max(0, q - start - least + 1))] -= 1
-                at = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                place.append(np.full(len(at), i))
-                seeds.append(hashes[at].view(np.int64))
-                ats.append((at + start).astype(np.int32))
+                n, shingles = len(hashes), least - WORDS + 1
+                if not n:
+                    continue
+                spots = np.unique(np.array(at, dtype=np.int64)) - start
+                foreign = np.zeros(n + least, dtype=np.int64)
+                foreign[np.array([p for p, h in zip(at, home, strict=True) if not h], dtype=np.int64) - start] = 1
+                # windows of shingles without a shared seed, by their first place
+                void = np.ones(n + least, dtype=np.int64)
+                for p in spots.tolist():
+                    void[max(0, p - WINDOW + 1):p + 1] = 0
+                change = np.zeros(n + 1, dtype=np.int64)
+                for equal in covered or []:
+                    for p, q in zip(equal[::2], equal[1::2], strict=True):
+                        change[min(n, max(0, p - start))] += 1
+                        change[min(n, max(0, q - start - least + 1))] -= 1
+                first = np.arange(n)
+                voids, others = (np.concatenate(([0], np.cumsum(x))) for x in (void, foreign))
+                shared = voids[first + shingles - WINDOW + 1] == voids[first]
+                mine = others[first + shingles] == others[first]
+                found = np.flatnonzero((np.cumsum(change[:-1]) == 0) & shared & (mine if own else ~mine))
+                place.append(np.full(len(found), i))
+                seeds.append(hashes[found].view(np.int64))
+                ats.append((found + start).astype(np.int32))
             if place:
                 rows = pa.array(np.concatenate(place))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds), pa.int64()), b.column(0).take(rows), pa.array(np.concatenate(ats), pa.int32()),
                                                   b.column(1).take(rows)], ["seed", "id", "at", "first"])
 
-    return pieces.select("id", "first", "from", "piece", "runs").mapInArrow(run, f"seed long, id {dict(pieces.dtypes)['id']}, at int, first int")
+    rows = pieces.select("id", "first", "from", "piece", "ats", "homes", "runs")
+    return rows.mapInArrow(run, f"seed long, id {dict(pieces.dtypes)['id']}, at int, first int")
 
 
 def _pairs(found: DataFrame, homes: DataFrame, seeds: int) -> DataFrame:
-    """Matches of ``found(seed, id, at, first)`` with the first place of each seed in ``homes(seed, other)``, by pair of stretches."""
+    """Matches of ``found(seed, id, at, first, ...)`` with the first place of each seed in ``homes(seed, other)``, by pair of stretches."""
+    found = found.select("seed", "id", "at", "first")
     home = found.join(homes.withColumnRenamed("other", "id"), ["seed", "id"]).groupBy("seed", "id").agg(F.min(F.struct("at", "first")).alias("home"))
     home = cut(home.select("seed", F.col("id").alias("other"), "home"))
     matches = found.join(home, "seed").where("id <> other").select("id", "first", "other", F.col("home.first").alias("other_first"), "at", F.col("home.at").alias("other_at"))
@@ -371,15 +391,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         texts = texts.join(one, "id").where(F.xxhash64("text") == F.col("one")).drop("one").dropDuplicates(["id"])
     found = _seeds(texts)
     first = cut(_homes(found))
-    shared = cut(_in_stretches(found.join(first, "seed").select("seed", "id", "at")))
-    wanted = shared.groupBy("id", "first").agg((F.max("at") + WORDS + MARGIN).alias("to")).withColumn("from", F.greatest(F.lit(0), F.col("first") - MARGIN))
+    shared = cut(_in_stretches(found.join(first, "seed").select("seed", "id", "at", (F.col("id") == F.col("other")).alias("home"))))
+    wanted = shared.groupBy("id", "first").agg((F.max("at") + WORDS + MARGIN).alias("to"), F.collect_list("at").alias("ats"), F.collect_list("home").alias("homes"))
+    wanted = wanted.withColumn("from", F.greatest(F.lit(0), F.col("first") - MARGIN))
     wanted = wanted.where(F.col("to") - F.col("first") >= least - REACH + MARGIN - REACH)  # shorter ones hold no passage
     pieces = cut(_packed_words(texts).join(cut(wanted), "id").select(
-        "id", "first", "from", F.expr("substring(words, `from` * 2 + 1, (`to` - `from`) * 2)").alias("piece")))
+        "id", "first", "from", "ats", "homes", F.expr("substring(words, `from` * 2 + 1, (`to` - `from`) * 2)").alias("piece")))
 
     near = cut(_passages(_chained(_pairs(shared, first, seeds), seeds), pieces, least, similar))
     covered = near.groupBy("id", "first").agg(F.collect_list("runs").alias("runs"))
-    open_ = cut(_open_runs(pieces.join(covered, ["id", "first"], "left"), least))
+    covered = cut(pieces.join(covered, ["id", "first"], "left"))
+    asking = cut(_open_runs(covered, least, False))
+    asked = asking.select("seed").distinct()
+    held = _open_runs(covered, least, True).join(F.broadcast(asked) if asked.count() <= MANY_RUNS else asked, "seed", "left_semi")
+    open_ = cut(asking.unionByName(held.select(*asking.columns)))
     rest = _passages(_chained(_pairs(open_, _homes(open_), 1), 1), pieces, least, similar)
     columns = ["id", "start", "end", "other", "other_start", "other_end", "similarity"]
     # chains of one pair may meet in a passage

@@ -526,16 +526,24 @@ def _(spark, d):
     return joined.withColumn("curated", F.coalesce("curated", F.lit(0)).cast("bigint")).groupBy("reason", "records", "bad", "filled", "code", "curated").agg(F.count("*").alias("runs"))
 
 
+WRITERS = 4  # tasks for each core that write message files
+
+
 def _inbox(spark, d) -> str:
-    """Suppliers as message files, each twice; some are no JSON."""
+    """Suppliers as message files, each twice, in one folder; some are no JSON. Rows with one key are lines of one file."""
     s, k, path = table(spark, d, "supplier"), F.col("s_suppkey"), _folder(spark, "inbox")
     table_text = F.concat(F.lit("taxonID,country,countryCode\n"), k, F.lit(",Land_"), k % 3, F.lit(",\n"))
     attached = F.array(F.struct(F.lit("t.csv").alias("filename"), F.base64(F.encode(table_text, "UTF-8")).alias("contentBase64")))
     message = F.struct(F.lit("2024-01-01").alias("receivedAt"), F.concat(F.lit("m"), k).alias("messageId"), F.struct(F.col("s_name").alias("subject"),
                        F.when(k % 7 == 3, "<x>").alias("inReplyTo")).alias("headers"), F.when(k % 5 != 1, attached).alias("attachments"))
     text = F.when(k % 10 == 0, F.lit("{broken")).otherwise(F.to_json(message))
-    files = s.select(text.alias("value"), k.alias("file"))
-    files.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).write.partitionBy("file", "copy").text(path)
+    files = s.select(text.alias("value"), k.alias("file")).groupBy("file").agg(F.concat_ws("\n", F.collect_list("value")).alias("value"))
+    copies = files.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    # a file of its own for each row, made by all cores; a folder for each file would cost more than the files
+    tasks = WRITERS * spark.sparkContext.defaultParallelism
+    # the tasks move their own files into place, in parallel; a repeated one gives files of the same names
+    placed = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+    copies.repartition(tasks, "file", "copy").select("value").write.options(**placed).text(path)
     return path
 
 
@@ -550,7 +558,7 @@ def _(spark, d):
   CAST(sum(CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS messages, CAST(sum(CASE WHEN s_suppkey % 10 <> 0 AND s_suppkey % 7 <> 3 AND s_suppkey % 5 <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS filled
 FROM supplier GROUP BY 1""")
 def _(spark, d):
-    stream = intake.stream_submissions(spark, f"{_inbox(spark, d)}/*/*", max_files=1000)
+    stream = intake.stream_submissions(spark, _inbox(spark, d), max_files=1000)
     out = _folder(spark, "stream")
     intake.start_intake(stream, out, _folder(spark, "state"), I.OCC_RULES.select(*_REPORT_RULES), once=True).awaitTermination()
     reason = F.when(F.col("reason").startswith("invalid"), "unreadable").otherwise(F.col("reason")).alias("reason")

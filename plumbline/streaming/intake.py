@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -65,9 +66,23 @@ class EarliestOfThread(StatefulProcessor):
 
 # The state store of keyed state; ids and threads are kept on disk, so their number is not bounded by memory.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STATE_PARTITIONS = 8  # at least, where the session has as many shuffle partitions
 FIRST = "first_of_thread"
 
 
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while. A stream keeps a copy of those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def once_per_thread(stream: DataFrame) -> DataFrame:
     """Messages by id once, with ``first_of_thread``: whether a message is the earliest of its thread so far.
 
@@ -133,6 +148,11 @@ def process_batch(out: str, rules: Iterable[Rule], refs: References | None = Non
     waiting = [(r.id, "reference table not given: " + ",".join(missing_tables(r, refs))) for r in chosen if missing_tables(r, refs)]
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        # a stream turns adaptive plans off for its state; what is done here is read from files and must not take every state partition's task
+        with _settings(batch.sparkSession, {"spark.sql.adaptive.enabled": "true"}):
+            run_batch(batch, batch_id)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"batch_id={batch_id}"
         if is_committed(spark, out, batch_id):
@@ -215,7 +235,16 @@ def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 
 def start_intake(stream: DataFrame, out: str, checkpoint: str, rules: Iterable[Rule], once: bool = False, refs: References | None = None) -> StreamingQuery:
-    """Run the intake over each micro-batch. ``once`` handles what is there and stops."""
-    stream.sparkSession.conf.set(*STATE_STORE)
-    writer = once_per_thread(stream).writeStream.foreachBatch(process_batch(out, rules, refs)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start()
+    """Run the intake over each micro-batch. ``once`` handles what is there and stops.
+
+    A batch opens and commits every partition of the state, and lists each of its files; both are dealt over the cores there are, not over as
+    many tasks as a large shuffle would take. The session's own number of shuffle partitions holds for the runs themselves.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(*STATE_STORE)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    few = str(min(int(shuffles), max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)))
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", few)  # the source reads it from this session with each batch
+    with _settings(spark, {"spark.sql.shuffle.partitions": few, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": shuffles}):
+        writer = once_per_thread(stream).writeStream.foreachBatch(process_batch(out, rules, refs)).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start()

@@ -248,3 +248,25 @@ def test_counts_in_a_base_and_deltas(spark, tmp_path, monkeypatch):
         assert len({f.rsplit("/", 2)[1] for f in files}) <= 4  # a base and three deltas at most
     assert sorted(str(r["t"]) for r in spark.read.parquet(f"{out}/late").collect()) == ["2024-01-01 00:00:00", "2024-01-01 03:00:00"]
     assert [r["late"] for r in spark.read.parquet(f"{out}/commits").orderBy("batch").collect()] == [0] * 5 + [2, 0, 0]
+
+
+def test_intake_deals_its_state_over_the_cores(spark, tmp_path):
+    from plumbline.plans import queries_reference as Q
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (10, "c")], "s_suppkey long, s_name string").coalesce(1).write.parquet(str(tmp_path / "d" / "supplier.parquet"))
+    inbox = Q._inbox(spark, str(tmp_path / "d"))
+    files = spark.read.format("binaryFile").load(inbox).selectExpr("substring_index(path, '/', -2) AS at", "decode(content, 'UTF-8') AS text").collect()
+    assert len(files) == 6 and {r.at.split("/")[0] for r in files} == {inbox.rsplit("/", 1)[1]}  # no folder for each message
+    assert sorted(r.text.count("\n") for r in files) == [1, 1, 1, 1, 2, 2] and sum(r.text == "{broken\n" for r in files) == 2
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out, state = str(tmp_path / "out"), tmp_path / "state"
+        intake.start_intake(intake.stream_submissions(spark, inbox), out, str(state), RULES, once=True).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    most = max(intake.STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    assert 0 < len([p for p in (state / "state" / "0").iterdir() if p.name.isdigit()]) <= most
+    assert sorted(r.reason.split(":")[0] for r in spark.read.parquet(f"{out}/outcome").collect()) == ["invalid JSON", "invalid JSON", "no attachment", "processed"]
+    assert len(list((tmp_path / "out" / "results").rglob("*.parquet"))) <= most  # the runs of a batch are planned by what is there

@@ -182,3 +182,17 @@ def test_each_point_has_its_own_radius(spark, refs):
         alike = geo.point_near(some, refs.boundaries, r) if r else geo.point_countries(some, refs.boundaries)
         want |= {(p["lat"], p["lon"], r): p["codes"] for p in alike.collect()}
     assert got == want and any(r > 0 for _, _, r in got)
+
+
+def test_a_name_of_many_entries_is_on_a_list_once(spark, tmp_path):
+    rows = [(i, ("Ringed bolt", "Ring", "Blue ring", "Bolt")[i % 4]) for i in range(4000)]
+    index = L.backbone_index(spark.createDataFrame(rows, "pos int, canonical_name string").repartition(5), str(tmp_path / "index"))
+    assert index.postings.where("gram = 'rin'").count() == 3 and index.keys.count() == 4 and index.names.count() == 4000
+    asked = spark.createDataFrame([("ring",), ("rin",), ("ing",), ("t",), ("ed bo",)], "n string")
+    got = {}
+    for r in L.taxon_search(asked, "n", index, 1002).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["pos"]))
+    known = sorted((n.lower(), i) for i, n in rows)
+    for q in ("ring", "rin", "ing", "t", "ed bo"):
+        hits = [i for k, i in known if k == q] or [i for k, i in known if q in k]
+        assert got[q] == list(enumerate(hits[:1002], 1))

@@ -98,18 +98,32 @@ def _families(rules: Sequence[Rule]) -> list[tuple[tuple[str, ...], list[Rule]]]
     return [(g[0].columns, g) for g in groups.values()]
 
 
+@dataclass(frozen=True)
+class Combos:
+    """The combinations of several key sets, from one pass over an input."""
+
+    sets: list[tuple[str, ...]]
+    rows: DataFrame
+
+
+def shared_combos(df: DataFrame, rules: Iterable[Rule], carry: Sequence[str] = ()) -> Combos | None:
+    """What ``single_pass`` reads of ``df`` for those of ``rules`` that need no reference table."""
+    sets = distinct_key_sets([r.columns for r in applicable_rules(rules, df.columns) if not r.needs])
+    return Combos(sets, unique_combos_all(df, sets, carry)) if sets else None
+
+
 def run_tests(df: DataFrame, rules: Iterable[Rule], refs: References | None = None, single_pass: bool = False,
-              carry: Sequence[str] = ()) -> Run:
+              carry: Sequence[str] = (), combos: Combos | None = None) -> Run:
     """Run every applicable rule over the distinct combinations of its columns.
 
     Rules with equal key columns share one aggregation. By default each key set is aggregated on its own and
     reads only its columns; ``single_pass`` builds the combinations of all rules that need no reference
-    table in one read of ``df``, for inputs that are expensive to produce.
+    table in one read of ``df``, for inputs that are expensive to produce; ``combos`` gives them as they were stored for these rules or more.
     """
     refs = refs or References()
     candidates = applicable_rules(rules, df.columns)
     shared = [r for r in candidates if not r.needs] if single_pass else []
-    jobs = [(shared, lambda rs: _evaluate_single_pass(df, rs, carry))] if shared else []
+    jobs = [(shared, lambda rs: _evaluate_single_pass(combos or shared_combos(df, rs, carry), rs, carry))] if shared else []
     for columns, family in _families([r for r in candidates if r not in shared]):
         jobs.append((family, lambda rs, columns=columns: evaluate(unique_combos(df, columns, carry), rs, refs, carry)))
     parts, good, bad = [], [], []
@@ -126,11 +140,9 @@ def run_tests(df: DataFrame, rules: Iterable[Rule], refs: References | None = No
     return Run(reduce(DataFrame.unionByName, parts), failed, good)
 
 
-def _evaluate_single_pass(df: DataFrame, rules: Sequence[Rule], carry: Sequence[str]) -> DataFrame:
-    sets = distinct_key_sets([r.columns for r in rules])
-    combos = unique_combos_all(df, sets, carry)
+def _evaluate_single_pass(combos: Combos, rules: Sequence[Rule], carry: Sequence[str]) -> DataFrame:
     source = column_source()  # within its own set a column is never null
-    members = {frozenset(s): i for i, s in enumerate(sets)}
+    members = {frozenset(s): i for i, s in enumerate(combos.sets)}
     per_set: dict[int, list[Column]] = {}
     for r in rules:
         per_set.setdefault(members[frozenset(r.columns)], []).append(_entry(r, source))
@@ -138,7 +150,7 @@ def _evaluate_single_pass(df: DataFrame, rules: Sequence[Rule], carry: Sequence[
     for i, entries in per_set.items():
         cond = F.col("set_id") == i
         choice = F.when(cond, F.array(*entries)) if choice is None else choice.when(cond, F.array(*entries))
-    return _flatten(combos.select(*[N.col(c) for c in carry], "count", F.inline(choice)), carry)
+    return _flatten(combos.rows.select(*[N.col(c) for c in carry], "count", F.inline(choice)), carry)
 
 
 def run_map_tests(rows: DataFrame, rules: Iterable[Rule], carry: Sequence[str], values: str = "values",

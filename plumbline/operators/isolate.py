@@ -2,7 +2,8 @@
 
 A rule that cannot be planned is found when the plan is built (see ``evaluate``). One that raises inside a task is only found by running it: the
 results of all rules are written together, and if that fails, halves are tried until the failing rule is alone. Halves that succeed keep
-what they wrote, so with one failing rule of n about twice the work of the plain run is done, in log2(n) steps.
+what they wrote, so with one failing rule of n about twice the work of the plain run is done, in log2(n) steps. An input that is dear to
+produce (``single_pass``) is read once: its combinations are stored first, and every step works on these.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.operators.evaluate import FAILED_SCHEMA, Run, run_map_tests, run_tests
+from plumbline.operators.evaluate import FAILED_SCHEMA, Combos, Run, run_map_tests, run_tests, shared_combos
 from plumbline.operators.lookups import References
 from plumbline.rules.registry import Rule
 from plumbline.session import checkpoint_dir
@@ -64,6 +65,21 @@ def write_isolated(spark: SparkSession, rules: Sequence[Rule], build: Callable[[
     return good, failed
 
 
+def _stored_combos(df: DataFrame, rules: Sequence[Rule], carry: Sequence[str]) -> Combos | None:
+    """:func:`shared_combos`, stored; None if there are none or the input raises, which the rules are then told by."""
+    combos = shared_combos(df, rules, carry)
+    if combos is None:
+        return None
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/combos-{uuid.uuid4().hex}"
+    try:
+        combos.rows.write.parquet(path)
+    except (PySparkException, Py4JJavaError) as error:
+        if not _is_rule_fault(error):
+            raise
+        return None
+    return Combos(combos.sets, df.sparkSession.read.parquet(path))
+
+
 def run_stored(df: DataFrame, rules: Iterable[Rule], path: str, refs: References | None = None, single_pass: bool = False, carry: Sequence[str] = ()) -> Run:
     """:func:`run_tests` with its results stored under ``path`` and read back; rules that raise at run time are in ``failed`` as well."""
     spark = df.sparkSession
@@ -71,7 +87,8 @@ def run_stored(df: DataFrame, rules: Iterable[Rule], path: str, refs: References
     if not run.rules:
         run.results.write.mode("overwrite").parquet(path)
         return Run(spark.read.parquet(path), run.failed, [])
-    good, raised = write_isolated(spark, run.rules, lambda some: run_tests(df, some, refs, single_pass, carry).results, path)
+    combos = _stored_combos(df, run.rules, carry) if single_pass else None
+    good, raised = write_isolated(spark, run.rules, lambda some: run_tests(df, some, refs, single_pass, carry, combos).results, path)
     if not good:
         run.results.limit(0).write.mode("overwrite").parquet(path)
     failed = run.failed.unionByName(spark.createDataFrame(raised, FAILED_SCHEMA)) if raised else run.failed

@@ -283,3 +283,22 @@ def test_rules_that_raise_are_left_out(spark, tmp_path):
     with pytest.raises(PySparkException):  # a fault of the cluster is no rule's fault
         write_isolated(spark, registry.select("VALIDATION_CAST"), lost, str(tmp_path / "x"))
     assert reason_of(ValueError("plain words\nmore")) == "plain words"
+
+
+def test_failing_rules_do_not_read_the_input_again(spark, tmp_path):
+    from plumbline.operators import isolate
+    from plumbline.plans.queries_rules import _with_raising
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        taken.add(1)
+        return text
+
+    names = ["dwc:country", "dwc:countryCode", "dwc:basisOfRecord", "dwc:taxonRank"]
+    rows = spark.createDataFrame([("NATION_1", "N1", "1-URGENT", "R"), ("", "", "2-HIGH", "A"), ("NATION_2", None, "9", "R")], ", ".join(f"`{n}` string" for n in names))
+    rows = rows.withColumn("dwc:taxonRank", F.udf(seen, "string")("dwc:taxonRank"))
+    run = isolate.run_stored(rows, _with_raising(), str(tmp_path / "out"), single_pass=True)
+    assert taken.value == 3
+    counts = {r.test_id: r.records for r in run.results.groupBy("test_id").agg(F.sum("count").alias("records")).collect()}
+    assert len(counts) == 5 and set(counts.values()) == {3}
+    assert {r.test_id for r in run.failed.collect()} == {"VALIDATION_COUNTRY_NUMBER", "VALIDATION_RANK_SHARE", "VALIDATION_BASIS_PART"}

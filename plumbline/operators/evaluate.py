@@ -16,6 +16,7 @@ from plumbline.operators.combos import distinct_key_sets, unique_combos, unique_
 from plumbline.operators.lookups import MissingReference, References, attach_answers, missing_tables
 from plumbline.rules.base import unmet
 from plumbline.rules.registry import Rule, Source, bind, column_source, columns_source, map_source
+from plumbline.session import cut
 
 RESULT_SCHEMA = (
     "test_id string, test_type string, status string, result string, comment string, actedUpon string, "
@@ -48,6 +49,8 @@ def evaluate(combos: DataFrame, rules: Sequence[Rule] | Rule, refs: References |
     """Result rows of one or more rules over the same combinations (columns of the rules, and ``count``)."""
     rules = [rules] if isinstance(rules, Rule) else list(rules)
     source = columns_source(combos)
+    if any(n.startswith("geo_") for r in rules for n in r.needs):
+        combos = cut(combos)  # else the points are read from each row, several times, where Spark moves their filter below the counting
     ready, done = combos, set()
     for r in rules:
         wanted = [n for n in r.needs if n not in done]

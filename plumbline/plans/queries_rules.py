@@ -156,7 +156,9 @@ def _(spark, d):
     # Nation names stand in for taxa only to derive the habitat table from a driver table.
     habitat = n.select(F.when(F.col("n_nationkey") % 2 == 0, "fish").otherwise("fox").alias("name"),
                        F.when(F.col("n_nationkey") % 2 == 0, "marine").otherwise("terrestrial").alias("habitat")).distinct()
-    return _outcomes(_located(spark, d), [
+    path = f"{checkpoint_dir(spark)}/located-{uuid.uuid4().hex}"
+    _located(spark, d).write.parquet(path)  # joined and put into text once, then read once per key set
+    return _outcomes(spark.read.parquet(path), [
         "VALIDATION_COORDINATES_NOTZERO", "VALIDATION_DECIMALLONGITUDE_INRANGE", "VALIDATION_COORDINATESCOUNTRYCODE_CONSISTENT",
         "AMENDMENT_COUNTRYCODE_FROM_COORDINATES", "AMENDMENT_COORDINATES_TRANSPOSED", "VALIDATION_COORDINATESTERRESTRIALMARINE_CONSISTENT",
     ], References(iso=iso, boundaries=shapes, habitat=habitat))

@@ -302,3 +302,18 @@ def test_failing_rules_do_not_read_the_input_again(spark, tmp_path):
     counts = {r.test_id: r.records for r in run.results.groupBy("test_id").agg(F.sum("count").alias("records")).collect()}
     assert len(counts) == 5 and set(counts.values()) == {3}
     assert {r.test_id for r in run.failed.collect()} == {"VALIDATION_COUNTRY_NUMBER", "VALIDATION_RANK_SHARE", "VALIDATION_BASIS_PART"}
+
+
+def test_points_are_read_from_stored_combinations(spark, refs):
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        taken.add(1)
+        return text
+
+    names = ["dwc:decimalLatitude", "dwc:decimalLongitude", "dwc:countryCode"]
+    rows = spark.createDataFrame([("40.5", "-100", "US"), ("40.5", "-100", "US"), ("0", "0", "US"), ("x", None, "US")], ", ".join(f"`{n}` string" for n in names))
+    rows = rows.withColumn(names[0], F.udf(seen, "string")(names[0]))
+    run = run_tests(rows, REGISTRY.select("VALIDATION_COORDINATESCOUNTRYCODE_CONSISTENT"), refs)
+    assert sorted((r["count"], r.result) for r in run.results.collect()) == [(1, ""), (1, "NOT_COMPLIANT"), (2, "COMPLIANT")]
+    assert taken.value == 4  # the rows are not counted again for each part of the answer

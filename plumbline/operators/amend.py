@@ -196,7 +196,7 @@ def amend_maps(rows: DataFrame, results: DataFrame, rules: Iterable[Rule], keys:
     pairs = F.flatten(F.transform(F.coalesce("writes", F.array().cast("array<struct<test_id:string,changes:array<struct<key:string,value:string>>>>")),
                                   lambda w: w["changes"]))
     new = F.transform_values(values, lambda k, v: F.coalesce(F.try_element_at(F.filter(F.col("__pairs"), lambda p: (p["key"] == k) & p["value"].isNotNull()), F.lit(-1))["value"], v))
-    return out.withColumn("__pairs", pairs).withColumn(values, new).select(*rows.columns)
+    return out.withColumn("__pairs", pairs).withColumn(values, F.when(F.col("writes").isNull(), F.col(values)).otherwise(new)).select(*rows.columns)
 
 
 def amend_metrics(df: DataFrame, results: DataFrame) -> DataFrame:

@@ -47,16 +47,18 @@ def run_summary(results: DataFrame, n_records: int | None = None, issue_results:
         F.sum(counted()).alias("all"),
         *[F.sum(F.when(cond, counted()).otherwise(0)).alias(f"sum_{n}") for n, cond in classes.items()],
         *[F.count_if(cond).alias(f"rows_{n}") for n, cond in classes.items()])
-    by_test = per_test.groupBy(*keys, "test_id").agg(
-        F.sum("all").alias("all"), F.collect_list("fields").alias("fields"),
-        *[F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in classes for p in ("sum", "rows")])
     zero = F.lit(0).cast("bigint")
+    if n_records is None and records is None:
+        # only the largest sum over a test needs the tests themselves
+        per_test = per_test.groupBy(*keys, "test_id").agg(
+            F.sum("all").alias("all"), F.flatten(F.collect_list("fields")).alias("fields"),
+            *[F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in classes for p in ("sum", "rows")])
     size = F.coalesce(F.max("all"), zero) if n_records is None else F.lit(n_records).cast("bigint")
-    out = by_test.groupBy(*keys).agg(
+    out = per_test.groupBy(*keys).agg(
         size.alias("number_of_records_in_dataset"),
-        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("fields"))))).alias("list_of_all_columns_tested"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))).alias("list_of_all_columns_tested"),
         F.coalesce(F.sum("all"), zero).alias("no_of_tests_results"),
-        F.count_if(F.col("test_id").isNotNull()).alias("no_of_tests_run"),
+        F.size(F.collect_set("test_id")).cast("bigint").alias("no_of_tests_run"),
         *[F.coalesce(F.sum(f"sum_{n}"), zero).alias(f"no_of_{n}") for n in classes],
         *[F.coalesce(F.sum(f"rows_{n}"), zero).alias(f"no_of_unique_{n}") for n in classes],
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions.text import NA_TOKENS
+from plumbline.functions.text import NA_TOKENS, let
 from plumbline.names import CORE_PREFIX
 from plumbline.session import ship_package
 from plumbline.sources.delimited import clean_names, sniff_delimiter, unique_names
@@ -45,8 +45,9 @@ def split_corrupt(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return submissions.filter(~bad).drop(CORRUPT), submissions.filter(bad).select(CORRUPT)
 
 
-# Rows handed back to Spark at a time.
+# Rows handed back to Spark at a time, and the longest header (characters) whose names are remembered.
 OUTPUT_ROWS = 5000
+LONG_HEAD = 4096
 
 
 def is_table(a: Column) -> Column:
@@ -59,10 +60,16 @@ def is_table(a: Column) -> Column:
 def decode_base64(c: Column) -> Column:
     """Text of standard or url-safe base64, padded or not; null when it cannot be decoded. Characters outside
     the alphabet are skipped, bytes that are no UTF-8 become replacement characters."""
-    body = F.regexp_replace(F.translate(c, "-_", "+/"), r"[^A-Za-z0-9+/]", "")
-    padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
-    binary = F.when(F.length(body) % 4 != 1, F.try_to_binary(padded, F.lit("base64")))
-    return F.make_valid_utf8(binary.cast("string"))
+    # padding and white space go with the translation, so that the costly replacement is left to texts that hold something else
+    plain = F.translate(c, "-_= \t\r\n", "+/")
+
+    def decoded(body: Column) -> Column:
+        padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
+        binary = F.when(F.length(body) % 4 != 1, F.try_to_binary(padded, F.lit("base64")))
+        return F.make_valid_utf8(binary.cast("string"))
+
+    body = let(plain, lambda p: F.when(p.rlike(r"\A[A-Za-z0-9+/]*+\z"), p).otherwise(F.regexp_replace(p, r"[^A-Za-z0-9+/]", "")))
+    return let(body, decoded)
 
 
 def extract_attachments(submissions: DataFrame) -> DataFrame:
@@ -84,15 +91,25 @@ _NA = frozenset(NA_TOKENS)
 csv.field_size_limit(1 << 30)  # a field may be as long as a message
 
 
+@lru_cache(maxsize=1024)
+def _delimiter(head: str) -> str:
+    return sniff_delimiter(head)
+
+
+@lru_cache(maxsize=1024)
+def _names(header: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(n if n.startswith(CORE_PREFIX) else CORE_PREFIX + n for n in unique_names(clean_names(header)))
+
+
 def _table_rows(content: str) -> Iterator[tuple[int, dict[str, str] | None, str | None]]:
     """(line, values, problem): a row with more cells than the header has no values but its own text as problem."""
-    text = content.lstrip("﻿")
+    text = content.lstrip("\ufeff")
     head = text.split("\n", 1)[0].rstrip("\r")
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(head))
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=(_delimiter if len(head) <= LONG_HEAD else sniff_delimiter)(head))
     header = next(reader, None)
     if not header:
         return
-    names = [n if n.startswith(CORE_PREFIX) else CORE_PREFIX + n for n in unique_names(clean_names(header))]
+    names = (_names if len(head) <= LONG_HEAD and reader.line_num == 1 else _names.__wrapped__)(tuple(header))
     for i, row in enumerate(r for r in reader if any(cell.strip() for cell in r)):
         if len(row) > len(names):
             yield i, None, f"{len(row)} cells under {len(names)} names: {row!r}"
@@ -121,30 +138,35 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
     """
     ship_package(messages.sparkSession)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lines, values, faults = [], [], [], []
 
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame({"id": ids.copy(), "line": lines.copy(), "values": values.copy(), "problem": faults.copy()})
+        def batch_of_rows() -> pa.RecordBatch:
+            offsets, at = [], 0
+            for cells in values:
+                offsets.append(None if cells is None else at)
+                at += len(cells or ())
+            keys = pa.array([k for cells in values if cells for k in cells], pa.string())
+            items = pa.array([v for cells in values if cells for v in cells.values()], pa.string())
+            maps = pa.MapArray.from_arrays(pa.array([*offsets, at], pa.int32()), keys, items)
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.int64()), maps, pa.array(faults, pa.string())],
+                                             ["id", "line", "values", "problem"])
             for part in (ids, lines, values, faults):
                 part.clear()
             return out
 
         for batch in batches:
-            for key, text in zip(batch["id"], batch["content"]):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for line, cells, fault in _isolated_rows(text):
                     ids.append(key)
                     lines.append(line)
                     values.append(cells)
                     faults.append(fault)
                     if len(ids) >= OUTPUT_ROWS:
-                        yield frame()
+                        yield batch_of_rows()
         if ids:
-            yield frame()
+            yield batch_of_rows()
 
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("line", T.LongType()),
-                           T.StructField("values", T.MapType(T.StringType(), T.StringType())),
-                           T.StructField("problem", T.StringType())])
-    chosen = messages.select(F.col(id_column).alias("id"), F.col(content).alias("content")).filter(F.col("content").isNotNull())
-    rows = chosen.repartition("id").mapInPandas(parse, schema)
+    chosen = messages.select(F.col(id_column).cast("string").alias("id"), F.col(content).alias("content")).filter(F.col("content").isNotNull())
+    rows = chosen.repartition("id").mapInArrow(parse, "id string, line long, values map<string,string>, problem string")
     return rows if problems else rows.where("problem IS NULL").drop("problem")

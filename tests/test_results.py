@@ -138,3 +138,17 @@ def test_pages_after_a_key(spark, tmp_path):
     assert got == want
     plan = summary.page_after(stored, ["dwc:a", "b"], 10, (3, "n010"))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(`dwc:a`,3)" in plan
+
+
+def test_summary_of_each_run_takes_two_shuffles(spark, unique):
+    runs = unique.withColumn("run_id", F.lit("a")).unionByName(unique.where("count > 1").withColumn("run_id", F.lit("b"))).unionByName(
+        unique.withColumn("test_id", F.lit(None).cast("string")).withColumn("run_id", F.lit("c")))
+    records = spark.createDataFrame([("a", 7), ("b", 8), ("c", 9), ("d", 1)], "run_id string, n long")
+    got = summary.run_summary(runs, keys=["run_id"], records=records)
+    for run, n in (("a", 7), ("b", 8), ("c", 9), ("d", 1)):
+        want = summary.run_summary(runs.where(F.col("run_id") == run).drop("run_id"), n_records=n)
+        assert got.where(F.col("run_id") == run).drop("run_id").select(*want.columns).collect() == want.collect()
+        sized = summary.run_summary(runs.where(F.col("run_id") == run).drop("run_id"))
+        assert sized.drop("number_of_records_in_dataset").collect() == want.drop("number_of_records_in_dataset").collect()
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("collect_list(") <= 2

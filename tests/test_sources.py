@@ -101,6 +101,31 @@ def test_attachments(spark, tmp_path):
     assert dead.count() == 1
 
 
+def test_base64_is_cleaned_and_decoded_once(spark):
+    bodies = ["QUJD", "QUJDRA==", "QUJDRA", "Q U\tJ\r\nD", "Q=U=JD", "=", "", "A", "AAAAA", "QU*JD", "é", "QUJDé", "QU.JD.RA==", "-_-_", "QUJD\n", "\x0bQUJD", None]
+
+    def want(body):
+        if body is None:
+            return None
+        kept = "".join(c for c in body.replace("-", "+").replace("_", "/") if c.isascii() and (c.isalnum() or c in "+/"))
+        return None if len(kept) % 4 == 1 else base64.b64decode(kept + "=" * (-len(kept) % 4)).decode("utf-8", "replace")
+
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").coalesce(1)
+    got = {r["i"]: r["text"] for r in df.select("i", submissions.decode_base64(F.col("body")).alias("text")).collect()}
+    assert got == {i: want(b) for i, b in enumerate(bodies)}
+    plan = df.select(submissions.decode_base64(F.col("body")).alias("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("translate(") == 1
+
+
+def test_headers_are_read_as_before(spark):
+    long = ",".join(f"c{i}" for i in range(2000))
+    df = spark.createDataFrame([("a", 'x,"y\nz",x,dwc:x\n1,2,3,4\n5\n'), ("b", long + "\n" + ",".join("1" * 2000)), ("c", "x;y\n1;2"), ("d", "x;y\n3;4;5\n6"), ("e", "\n")],
+                               "messageId string, content string").coalesce(1)
+    got = {(r["id"], r["line"]): r["values"] for r in submissions.submission_rows(df, problems=True).collect()}
+    assert got == {("a", 0): {"dwc:x": "4", "dwc:y\nz": "2", "dwc:x (2)": "3"}, ("a", 1): {"dwc:x": "", "dwc:y\nz": "", "dwc:x (2)": ""},
+                   ("b", 0): {f"dwc:c{i}": "1" for i in range(2000)}, ("c", 0): {"dwc:x": "1", "dwc:y": "2"}, ("d", 0): None, ("d", 1): {"dwc:x": "6", "dwc:y": ""}}
+
+
 def test_tables_inside_messages(spark):
     df = spark.createDataFrame([("m1", 'occurrenceID;dwc:x\n1;"a;b"\n2;NA\n\n3\n'), ("m2", "taxonID\tx\n7\tlong\ttoo\n8\tfits\n"), ("m3", None), ("m4", "")], "messageId string, content string")
     got = {(r["id"], r["line"]): r["values"] for r in submissions.submission_rows(df).collect()}

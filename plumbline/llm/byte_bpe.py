@@ -7,7 +7,8 @@ pre-token and is encoded by itself; a pre-token that is a token as a whole is th
 Decoding maps ids back to bytes.
 
 The model is a few MB, bounded by the vocabulary, and is broadcast. Pre-tokens already met are remembered in each
-Python worker until its task ends, up to ``MEMORY`` of them; that changes the time only. No shuffle, and no text leaves its row.
+Python worker until its task ends, up to ``MEMORY`` of them and those of the texts in hand; that changes the time only. They are kept in two generations,
+so that a full memory does not forget the words that are in use. No shuffle, and no text leaves its row.
 
 Edge cases: a null or empty text has no tokens, and its digests are those of the empty string. Long texts are
 encoded whole. Repeated rows give repeated results.
@@ -18,7 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.batches import slices
 from plumbline.session import ship_package
 
-MEMORY = 1 << 16
+MEMORY = 1 << 17  # pre-tokens remembered, in two generations
+AT_ONCE = 1 << 18  # characters of texts that are held as pre-tokens
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -57,8 +60,11 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
+_CHARACTERS = "".join(chr(0x100 + b) for b in range(256))
+
+
 def _mapped(raw: bytes) -> str:
-    return "".join(chr(0x100 + b) for b in raw)
+    return charmap_decode(raw, "strict", _CHARACTERS)[0]
 
 
 def model_of(ranks: dict[bytes, int]) -> bytes:
@@ -86,38 +92,66 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.whole = dict(zip(tokens, ranks, strict=True))
         self.bytes_of = dict(zip(ranks, tokens, strict=True))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.written = dict(zip(ranks, map(str, ranks), strict=True))
+        self.forget()
 
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str) -> Codec:
         order = sorted(ranks.items(), key=lambda x: x[1])
         return cls(model_of(ranks), [r for _, r in order], [t for t, _ in order], pattern)
 
-    def pieces(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of each pre-token in order."""
-        parts = self.split.findall(text)
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known = self.known = {p: known[p] for p in set(parts) if p in known}
-            rest = []
-            for p in new:
-                rank = self.whole.get(p.encode("utf-8", "replace"))
-                if rank is None:
-                    rest.append(p)
-                else:
-                    known[p] = (rank,)
-            mapped = [_mapped(p.encode("utf-8", "replace")) for p in rest]
-            for p, ids in zip(rest, self.sp.encode(mapped, out_type=int, num_threads=1) if rest else [], strict=True):
-                known[p] = tuple(self.ranks[i] for i in ids)
-        return [known[p] for p in parts]
+    def _learn(self, parts: set[str]) -> None:
+        """Makes the ids of all these pre-tokens known."""
+        new = parts.difference(self.known)
+        if not new:
+            return
+        if len(self.known) + len(new) > MEMORY // 2:  # what was used since the last change of generation is kept, the rest waits in ``older``
+            self.older, self.known = self.known, {p: self.known[p] for p in parts.intersection(self.known)}
+        known, older, rest = self.known, self.older, []
+        for p in new:
+            ids = older.get(p)
+            if ids is not None:
+                known[p] = ids
+                continue
+            raw = p.encode("utf-8", "replace")
+            rank = self.whole.get(raw)
+            if rank is None:
+                rest.append((p, raw))
+            else:
+                known[p] = (rank,)
+        found = self.sp.encode([_mapped(raw) for _, raw in rest], out_type=int, num_threads=1) if rest else []
+        of = self.ranks.__getitem__
+        for (p, _), ids in zip(rest, found, strict=True):
+            known[p] = tuple(map(of, ids))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text in order. New pre-tokens of several texts, about ``AT_ONCE`` characters, are encoded together."""
+        waiting, held = [], 0
+
+        def encoded() -> Iterator[list[int]]:
+            self._learn(set().union(*waiting))
+            of = self.known.__getitem__
+            for parts in waiting:
+                yield list(chain.from_iterable(map(of, parts)))
+
+        for text in texts:
+            waiting.append(self.split.findall(text))
+            held += len(text)
+            if held >= AT_ONCE:
+                yield from encoded()
+                waiting, held = [], 0
+        yield from encoded()
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces(text)))
+        return next(self.encode_all([text]))
 
     def forget(self) -> None:
-        self.known = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def digest(self, ids: list[int]) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        return hashlib.sha256(",".join(map(self.written.__getitem__, ids)).encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -149,7 +183,7 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in slices(batches):
-            ids = [codec.encode(t or "") for t in b.column(1).to_pylist()]
+            ids = list(codec.encode_all(t or "" for t in b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
         codec.forget()
 
@@ -180,10 +214,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         codec = _codec(shared)
         for b in slices(batches):
             out = []
-            for text in b.column(1).to_pylist():
-                ids = codec.encode(text or "")
-                digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-                out.append((len(ids), digest, hashlib.sha256(codec.decode(ids)).hexdigest()))
+            for ids in codec.encode_all(t or "" for t in b.column(1).to_pylist()):
+                out.append((len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest()))
             n, a, d = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],

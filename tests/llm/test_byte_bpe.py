@@ -34,6 +34,31 @@ def test_memory_limit_changes_nothing(peer, monkeypatch):
         assert codec.encode(text) == peer.encode_ordinary(text)
 
 
+def test_texts_are_encoded_together_and_words_in_use_stay_known(peer, monkeypatch):
+    class Watched:
+        def __init__(self, sp):
+            self.sp, self.calls = sp, []
+
+        def encode(self, mapped, **named):
+            self.calls.append(len(mapped))
+            return self.sp.encode(mapped, **named)
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("bcdfgqxz", k=9)) for _ in range(400)]
+    texts = [" ".join([words[0], words[i], "é🙂"]) for i in range(1, 400)] + ["", "  "]
+    codec = byte_bpe.Codec.of(byte_bpe.read_ranks(PATH), PATTERN)
+    codec.sp = Watched(codec.sp)
+    assert list(codec.encode_all(texts)) == [peer.encode_ordinary(t) for t in texts]
+    assert len(codec.sp.calls) == 1
+    monkeypatch.setattr(byte_bpe, "MEMORY", 16)
+    monkeypatch.setattr(byte_bpe, "AT_ONCE", 30)
+    codec.forget()
+    codec.sp.calls.clear()
+    assert list(codec.encode_all(texts)) == [peer.encode_ordinary(t) for t in texts]
+    assert sum(codec.sp.calls) <= 404  # every word once: the one that all texts hold is not forgotten
+    assert list(codec.encode_all([])) == []
+
+
 def test_round_trip_and_stored_ids(spark, peer):
     docs = odd(spark)
     want = []

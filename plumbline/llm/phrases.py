@@ -172,7 +172,7 @@ def _counted(chunk: Chunk, step: int, shards: int, reached: dict[int, tuple[np.n
     places = np.flatnonzero(since < NEVER)  # starts of phrases of the present length that have
     hashes = own[ids[places]]
     since = since[places]
-    code, alike = ids[places], None  # a number for each different phrase
+    code = ids[places]  # a number for each different phrase
     for length in range(2, LONGEST + 1):
         if not len(places):
             return
@@ -182,14 +182,17 @@ def _counted(chunk: Chunk, step: int, shards: int, reached: dict[int, tuple[np.n
         first = first[active <= step]
         active = active[active <= step]
         last = ids[places[first] + length - 1]
-        _, alike = np.unique(code[first] << 32 | last, return_inverse=True)
+        alike = pa.array(code[first] << 32 | last).dictionary_encode().indices.to_numpy()
         hashes = hashes[first] * _FACTOR + own[last]
         places = places[first]
         now = (active + shards > step) & (places < starts)
         if now.any():
-            some, at, count = np.unique(alike[now], return_index=True, return_counts=True)
-            begin = places[now][at]
-            yield length, ids[begin[:, None] + np.arange(length)], count
+            mine = alike[now]
+            count = np.bincount(mine)
+            some = np.flatnonzero(count)
+            at = np.zeros(len(count), dtype=np.int64)
+            at[mine] = places[now]  # any place of a phrase tells its words
+            yield length, ids[at[some][:, None] + np.arange(length)], count[some]
         code = alike.astype(np.int64)
         since = np.maximum(_steps_of(reached, length, hashes, bits), active)
         known = since < NEVER

@@ -84,3 +84,20 @@ def test_wide_products(spark):
     finally:
         phrases.frequencies = keep
     assert row["score"] == 1000 * 3 * 10**11 * 8 * 10**14 // (5 * 10**11 * 3 * 10**11)
+
+
+def test_phrases_of_a_chunk_are_counted_without_sorting(monkeypatch):
+    rnd = random.Random(4)
+    words = [b"a", b"b", b"c", b"d"]
+    numbers = [rnd.randint(0, 4) for _ in range(500)]
+    chunk = phrases.Chunk(["en"], phrases.pa.array([w.decode() for w in words]), phrases.np.zeros(4, dtype="int64"), phrases.np.array(numbers, dtype="int64"), 500)
+    hashes = sorted(phrases.phrase_hash("en", [w]) for w in words)
+    reached = {1: (phrases.np.array(hashes, dtype="int32"), phrases.np.zeros(4, dtype="uint8"))}
+
+    def refused(*_, **__):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(phrases.np, "unique", refused)
+    got = {length: {tuple(p): c for p, c in zip(found.tolist(), counts.tolist(), strict=True)} for length, found, counts in phrases._counted(chunk, 1, 3, reached, phrases.HASH_BITS)}
+    want = Counter(p for p in zip(numbers, numbers[1:]) if all(p))
+    assert got == {1: {(n,): c for n, c in Counter(numbers).items() if n}, 2: dict(want)}

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,7 @@ REACH = WORDS + WINDOW + 3  # a passage of equal words ends within so many words
 MARGIN = 4 * REACH  # words fetched around a stretch
 APART = (BREAK + 1) * (WORDS + WINDOW - 1)  # words without a shared seed that part stretches
 SLICE = 64  # rows worked on at once
+TOGETHER = 1 << 18  # bytes of texts whose words are hashed at once (a longer text by itself)
 MANY_RUNS = 1 << 21  # hashes (one long each) that are broadcast at most
 
 _P = 0x9E3779B97F4A7C15  # odd
@@ -71,16 +73,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word: the difference of two prefix hashes, moved to the start."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), dtype=np.uint8)
+def _hashed(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where it starts: the difference of two prefix hashes, moved to the start."""
+    raw = np.frombuffer(plain.lower(), dtype=np.uint8)
     if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     inside = np.concatenate(([False], ~_SPACE[raw], [False]))
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[::2], turns[1::2]
     prefix = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(raw)))))
-    return _mixed((prefix[ends] - prefix[starts]) * _powers(_P_INVERSE, len(raw))[starts])
+    return _mixed((prefix[ends] - prefix[starts]) * _powers(_P_INVERSE, len(raw))[starts]), starts
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a text."""
+    return _hashed((text or "").encode("utf-8", "replace"))[0]
+
+
+def _by_size(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """The first and the last of groups of consecutive rows that hold ``TOGETHER`` bytes at most, or one row."""
+    first = 0
+    while first < len(sizes):
+        last, size = first + 1, sizes[first]
+        while last < len(sizes) and size + sizes[last] <= TOGETHER:
+            size += sizes[last]
+            last += 1
+        yield first, last
+        first = last
+
+
+def hashed_together(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts in groups of consecutive ones: the place of the first, the hashes of all words, and how many words each text has.
+
+    A word's hash does not depend on where it stands, so texts are joined by a space.
+    """
+    plain = [(t or "").encode("utf-8", "replace") for t in texts]
+    for first, last in _by_size([len(t) + 1 for t in plain]):
+        words, starts = _hashed(b" ".join(plain[first:last]))
+        ends = np.cumsum([len(t) + 1 for t in plain[first:last]])
+        yield first, words, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def seeds_of(words: np.ndarray, k: int = WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +123,49 @@ def seeds_of(words: np.ndarray, k: int = WORDS, window: int = WINDOW) -> tuple[n
     for j in range(k):
         shingles = shingles * np.uint64(0xC2B2AE3D27D4EB4F) + words[j:n + j]
     shingles = _mixed(shingles)
-    if n <= window:
-        at = np.array([shingles.argmin()])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(shingles, window)
-        at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    at = _smallest(shingles, min(n, window))
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
     return at, shingles[at]
 
 
+def _smallest(values: np.ndarray, window: int) -> np.ndarray:
+    """The place of the first smallest value of each ``window`` neighbouring ones: those of shorter windows are paired."""
+    least, at, span = values, np.arange(len(values)), 1
+    while span < window:
+        step = min(span, window - span)
+        left, right = least[:-step], least[step:]
+        at = np.where(right < left, at[step:], at[:-step])
+        least = np.minimum(left, right)
+        span += step
+    return at
+
+
+def seeds_together(words: np.ndarray, sizes: np.ndarray, k: int = WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and numbers of the seeds of texts with so many words each, as :func:`seeds_of` finds them one by one."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    reach = window + k - 1
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.zeros(len(sizes), dtype=np.int64)
+    shingles = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        shingles = shingles * np.uint64(0xC2B2AE3D27D4EB4F) + words[j:n + j]
+    shingles = _mixed(shingles)
+    some = [np.empty(0, dtype=np.int64)]
+    if n >= window:
+        at = _smallest(shingles, window)
+        at = at[(np.repeat(ends, sizes) - np.arange(len(words)))[:len(at)] >= reach]  # windows within one text
+        some.append(at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at)
+    short = np.flatnonzero((sizes >= k) & (sizes < reach))  # these have no whole window
+    some.append(np.array([s + shingles[s:e - k + 1].argmin() for s, e in zip(starts[short].tolist(), ends[short].tolist(), strict=True)], dtype=np.int64))
+    at = np.concatenate(some)
+    if len(short):
+        at = np.sort(at)
+    counts = np.diff(np.searchsorted(at, ends), prepend=0)
+    return at - np.repeat(starts, counts), shingles[at], counts
+
+
 def chains(x: list[int], y: list[int], k: int = WORDS, gap: float = GAP) -> list[list[int]]:
     """Chains of matches (x, y), each a list of indices in order; every match is in one chain at most.
 
@@ -153,14 +219,19 @@ def _alike(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _bridge(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int] | None:
-    """The fewest words to skip on both sides so that ``k`` equal ones follow, or ``SHORT_RUN`` after as many words at most."""
-    p, q = a[:BREAK + k].tolist(), b[:BREAK + k].tolist()
-    for need, most in ((k, BREAK), (SHORT_RUN, SHORT_RUN)):
-        for longer in range(1, most + 1):
-            for shorter in range(longer, -1, -1):
-                for x, y in ((longer, shorter), (shorter, longer)):
-                    if x + need <= len(p) and y + need <= len(q) and p[x:x + need] == q[y:y + need]:
-                        return x, y
+    """The fewest words to skip on both sides so that ``k`` equal ones follow, or ``SHORT_RUN`` after as many words at most.
+
+    Fewest by the longer side, then most on the shorter one, then more on the side of a.
+    """
+    wide = a.itemsize  # of b as well
+    p, q = a[:BREAK + k].tobytes(), b[:BREAK + k].tobytes()
+    for need, most in ((k * wide, BREAK * wide), (SHORT_RUN * wide, SHORT_RUN * wide)):
+        left = [p[x:x + need] for x in range(0, min(most, len(p) - need) + 1, wide)]
+        right = [q[y:y + need] for y in range(0, min(most, len(q) - need) + 1, wide)]
+        if not set(left).isdisjoint(right):
+            steps = [(x, y) for x, here in enumerate(left) for y, there in enumerate(right) if here == there and (x or y)]
+            if steps:
+                return min(steps, key=lambda s: (max(s), -min(s), s[0] < s[1]))
     return None
 
 
@@ -213,13 +284,11 @@ def passages(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int], k: int
 def _seeds(docs: DataFrame) -> DataFrame:
     """``seed, id, at`` of the documents ``docs(id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, SLICE):
-            found = [seeds_of(word_hashes(t)) for t in b.column(1).to_pylist()]
-            if found:
-                counts = [len(f[0]) for f in found]
-                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), counts)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[1] for f in found]).view(np.int64)), ids,
-                                                  pa.array(np.concatenate([f[0] for f in found]).astype(np.int32))], ["seed", "id", "at"])
+        for b in slices(batches):
+            for first, words, sizes in hashed_together(b.column(1).to_pylist()):
+                at, seeds, counts = seeds_together(words, sizes)
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(first, first + len(sizes)), counts)))
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), ids, pa.array(at.astype(np.int32))], ["seed", "id", "at"])
 
     return docs.mapInArrow(run, f"seed long, id {dict(docs.dtypes)['id']}, at int")
 
@@ -227,9 +296,12 @@ def _seeds(docs: DataFrame) -> DataFrame:
 def _packed_words(docs: DataFrame) -> DataFrame:
     """``id, words``: 16 bits of each word's hash, two bytes a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, SLICE):
-            packed = [(word_hashes(t) >> np.uint64(48)).astype("<u2").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "words"])
+        for b in slices(batches):
+            for first, words, sizes in hashed_together(b.column(1).to_pylist()):
+                packed = (words >> np.uint64(48)).astype("<u2").tobytes()
+                ends = np.concatenate(([0], np.cumsum(2 * sizes))).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sizes)), column], ["id", "words"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, words binary")
 
@@ -264,41 +336,42 @@ def _in_stretches(shared: DataFrame) -> DataFrame:
 
 
 def _chained(matches: DataFrame, seeds: int) -> DataFrame:
-    """Chains of the pairs ``matches(id, first, other, other_first, xs, ys)``."""
+    """Chains of the pairs ``matches(id, first, other, other_first, xs, ys)``, all of a pair in one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             place, xs, ys = [], [], []
             for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 pairs = sorted({(p, q) for p, q in zip(x, y, strict=True)})
                 x, y = [p for p, _ in pairs], [q for _, q in pairs]
-                for chain in chains(x, y):
-                    if len(chain) >= seeds:
-                        place.append(i)
-                        xs.append([x[c] for c in chain])
-                        ys.append([y[c] for c in chain])
-            at = pa.array(place, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(4)], pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32()))],
+                found = [chain for chain in chains(x, y) if len(chain) >= seeds]
+                if found:
+                    place.append(i)
+                    xs.append([[x[c] for c in chain] for chain in found])
+                    ys.append([[y[c] for c in chain] for chain in found])
+            at, kind = pa.array(place, pa.int64()), pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(4)], pa.array(xs, kind), pa.array(ys, kind)],
                                              ["id", "first", "other", "other_first", "xs", "ys"])
 
     kind = dict(matches.dtypes)["id"]
     return matches.select("id", "first", "other", "other_first", "xs", "ys").mapInArrow(
-        run, f"id {kind}, first int, other {kind}, other_first int, xs array<int>, ys array<int>")
+        run, f"id {kind}, first int, other {kind}, other_first int, xs array<array<int>>, ys array<array<int>>")
 
 
 _FOUND = "start long, end long, other_start long, other_end long, similarity double, runs array<int>"
 
 
 def _aligned(fetched: DataFrame, least: int, similar: float) -> DataFrame:
-    """Passages of ``fetched(id, first, other, xs, ys, a, b, a_from, b_from)``; ``runs`` has starts and ends of equal runs in turn."""
+    """Passages of ``fetched(id, first, other, xs, ys, a, b, a_from, b_from)``, whose words come once for all chains of a pair; ``runs`` has starts and ends of equal runs in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
             place, rows = [], []
             cols = [batch.column(i).to_pylist() for i in range(3, 9)]
             for i, (xs, ys, a, b, a_from, b_from) in enumerate(zip(*cols, strict=True)):
                 left, right = np.frombuffer(a, dtype="<u2"), np.frombuffer(b, dtype="<u2")
-                for sa, ea, sb, eb, share, runs in passages(left, right, [x - a_from for x in xs], [y - b_from for y in ys], least=least, similar=similar):
-                    place.append(i)
-                    rows.append((sa + a_from, ea + a_from, sb + b_from, eb + b_from, share, [p + a_from for r in runs for p in r]))
+                for x, y in zip(xs, ys, strict=True):
+                    for sa, ea, sb, eb, share, runs in passages(left, right, [p - a_from for p in x], [q - b_from for q in y], least=least, similar=similar):
+                        place.append(i)
+                        rows.append((sa + a_from, ea + a_from, sb + b_from, eb + b_from, share, [p + a_from for r in runs for p in r]))
             at = pa.array(place, pa.int64())
             parts = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(3)], *[pa.array(p, pa.int64()) for p in parts[:4]],
@@ -310,7 +383,7 @@ def _aligned(fetched: DataFrame, least: int, similar: float) -> DataFrame:
 
 
 def run_hashes(words: np.ndarray, least: int) -> np.ndarray:
-    """A hash of every run of ``least`` words."""
+    """A hash of every run of ``least`` words, which does not depend on where it stands."""
     n = len(words) - least + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
@@ -319,40 +392,52 @@ def run_hashes(words: np.ndarray, least: int) -> np.ndarray:
     return _mixed((prefix[least:] - prefix[:-least]) * _powers(_P_INVERSE, len(words))[:n])
 
 
+def open_places(words: np.ndarray, sizes: np.ndarray, spots: np.ndarray, foreign: np.ndarray, covered: tuple[np.ndarray, np.ndarray], least: int, own: bool
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the open runs of some pieces, one piece after the other: ``words`` of so many words (``sizes``) each, the places of shared seeds and
+    of those that have their representative elsewhere, starts and ends of covered runs (all as places in ``words``)."""
+    hashes = run_hashes(words, least)
+    n, shingles = len(hashes), least - WORDS + 1
+    if not n:
+        return np.empty(0, dtype=np.int64), hashes
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    first = np.flatnonzero((np.repeat(ends, sizes) - np.arange(len(words)))[:n] >= least)  # runs within one piece
+    own_start = np.repeat(starts, sizes)
+    elsewhere = np.zeros(len(words), dtype=np.int64)
+    elsewhere[foreign] = 1
+    # windows of shingles without a shared seed, by their first place
+    seen = np.bincount(np.maximum(own_start[spots], spots - WINDOW + 1), minlength=len(words) + 1) - np.bincount(spots + 1, minlength=len(words) + 1)
+    voids, others = (np.concatenate(([0], np.cumsum(x))) for x in (np.cumsum(seen)[:-1] == 0, elsewhere))
+    begun, ended = (np.bincount(x, minlength=len(words) + 1) for x in covered)
+    bare = np.cumsum(begun - ended) == 0
+    mine = others[first + shingles] == others[first]
+    found = first[bare[first] & (voids[first + shingles - WINDOW + 1] == voids[first]) & (mine if own else ~mine)]
+    return found, hashes[found]
+
+
 def _open_runs(pieces: DataFrame, least: int, own: bool) -> DataFrame:
     """``seed, id, at, first`` of the runs of ``pieces(id, first, from, piece, ats, homes, runs)`` that may be shared and that no run of equal words
     covers: those whose seeds all have their representative here if ``own``, else the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, SLICE):
-            place, seeds, ats = [], [], []
-            for i, (start, piece, at, home, covered) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)), strict=True)):
-                hashes = run_hashes(np.frombuffer(piece, dtype="<u2"), least)
-                n, shingles = len(hashes), least - WORDS + 1
-                if not n:
-                    continue
-                spots = np.unique(np.array(at, dtype=np.int64)) - start
-                foreign = np.zeros(n + least, dtype=np.int64)
-                foreign[np.array([p for p, h in zip(at, home, strict=True) if not h], dtype=np.int64) - start] = 1
-                # windows of shingles without a shared seed, by their first place
-                void = np.ones(n + least, dtype=np.int64)
-                for p in spots.tolist():
-                    void[max(0, p - WINDOW + 1):p + 1] = 0
-                change = np.zeros(n + 1, dtype=np.int64)
-                for equal in covered or []:
-                    for p, q in zip(equal[::2], equal[1::2], strict=True):
-                        change[min(n, max(0, p - start))] += 1
-                        change[min(n, max(0, q - start - least + 1))] -= 1
-                first = np.arange(n)
-                voids, others = (np.concatenate(([0], np.cumsum(x))) for x in (void, foreign))
-                shared = voids[first + shingles - WINDOW + 1] == voids[first]
-                mine = others[first + shingles] == others[first]
-                found = np.flatnonzero((np.cumsum(change[:-1]) == 0) & shared & (mine if own else ~mine))
-                place.append(np.full(len(found), i))
-                seeds.append(hashes[found].view(np.int64))
-                ats.append((found + start).astype(np.int32))
-            if place:
-                rows = pa.array(np.concatenate(place))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds), pa.int64()), b.column(0).take(rows), pa.array(np.concatenate(ats), pa.int32()),
+        for whole in slices(batches):
+            for one, last in _by_size(pc.binary_length(whole.column(3)).to_pylist()):
+                b = whole.slice(one, last - one)
+                texts = b.column(3).to_pylist()
+                sizes = np.array([len(t) // 2 for t in texts], dtype=np.int64)
+                starts = np.cumsum(sizes) - sizes
+                shift = starts - b.column(2).to_numpy(zero_copy_only=False)  # from places in the document to places in the group
+                spots = b.column(4).flatten().to_numpy(zero_copy_only=False) + np.repeat(shift, pc.list_value_length(b.column(4)).to_numpy(zero_copy_only=False))
+                home = b.column(5).flatten().to_numpy(zero_copy_only=False).astype(bool)
+                runs, row = b.column(6).flatten(), pc.list_parent_indices(b.column(6)).to_numpy(zero_copy_only=False)
+                edges = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # starts and ends in turn
+                row = np.repeat(row, pc.list_value_length(runs).to_numpy(zero_copy_only=False) // 2)
+                low, high = starts[row], starts[row] + np.maximum(0, sizes[row] - least + 1)
+                covered = np.clip(edges[::2] + shift[row], low, high), np.clip(edges[1::2] + shift[row] - least + 1, low, high)
+                found, hashes = open_places(np.frombuffer(b"".join(texts), dtype="<u2"), sizes, spots, spots[~home], covered, least, own)
+                place = np.searchsorted(starts + sizes, found, side="right")
+                rows = pa.array(place)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), b.column(0).take(rows), pa.array((found - shift[place]).astype(np.int32)),
                                                   b.column(1).take(rows)], ["seed", "id", "at", "first"])
 
     rows = pieces.select("id", "first", "from", "piece", "ats", "homes", "runs")

@@ -180,3 +180,81 @@ def test_long_gaps_and_rows_with_one_id(spark):
     docs = [(1, " ".join(core)), (2, " ".join(other)), (3, "a b"), (3, " ".join(core)), (3, " ".join(core))]
     found = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert (2, 1, 0, 900) in {(r.doc_id, r.other_id, r.start, r.end) for r in found}
+
+
+def test_chains_of_a_pair_stay_in_one_row(spark):
+    """A word that repeats meets the same place of the other document again and again: many chains, whose words are fetched once."""
+    matches = spark.createDataFrame([(2, 0, 1, 5, list(range(40)), [5] * 40)], "id long, first int, other long, other_first int, xs array<int>, ys array<int>")
+    (row,) = S._chained(matches, 1).collect()
+    assert sorted(row.xs) == [[x] for x in range(40)] and row.ys == [[5]] * 40
+    assert S._chained(matches, 2).count() == 0
+
+
+def test_repeated_words_keep_their_passages(spark):
+    fresh = lambda k, n: [f"x{k}y{i}" for i in range(n)]
+    docs = {1: fresh(1, 20) + ["a"] * 60 + fresh(2, 20), 2: fresh(3, 20) + ["a"] * 200 + fresh(4, 20)}
+    found = S.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert {r.start for r in found} >= {20, 100, 170} and all(r.doc_id == 2 and r.other_id == 1 and r.similarity == 1 for r in found)
+    for r in found:
+        assert docs[2][r.start:r.end] == docs[1][r.other_start:r.other_end] == ["a"] * (r.end - r.start) and r.end - r.start >= 50
+
+
+def test_seeds_of_several_texts(monkeypatch):
+    rnd = random.Random(14)
+    texts = [None, "", "  ", "a b c", " a b c d e ", "é " * 16, "q " * 300]
+    texts += [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.choice([4, 5, 15, 16, 17, 60, 400]))) for _ in range(60)]
+    for together in (1, 300, 1 << 18):
+        monkeypatch.setattr(S, "TOGETHER", together)
+        at = 0
+        for first, words, sizes in S.hashed_together(texts):
+            assert first == at
+            places, hashes, counts = S.seeds_together(words, sizes)
+            for n, own in zip(np.split(np.arange(len(places)), np.cumsum(counts)[:-1]), np.split(words, np.cumsum(sizes)[:-1]), strict=True):
+                assert own.tolist() == S.word_hashes(texts[at]).tolist()
+                shingles = [tuple(own[i:i + S.WORDS].tolist()) for i in range(len(own) - S.WORDS + 1)]
+                value = {s: int(S.seeds_of(np.array(s, dtype=np.uint64))[1][0]) for s in shingles}
+                spans = [range(i, i + S.WINDOW) for i in range(len(shingles) - S.WINDOW + 1)] or ([range(len(shingles))] if shingles else [])
+                want = sorted({min(span, key=lambda i: (value[shingles[i]], i)) for span in spans})
+                assert places[n].tolist() == want == S.seeds_of(own)[0].tolist()
+                assert hashes[n].tolist() == [value[shingles[i]] for i in want] == S.seeds_of(own)[1].tolist()
+                at += 1
+        assert at == len(texts)
+
+
+def test_bridge_skips_the_fewest_words():
+    rnd = random.Random(15)
+    for _ in range(400):
+        a, b = ([rnd.randrange(rnd.choice([2, 4])) for _ in range(rnd.randint(0, 28))] for _ in range(2))
+        a, b = [7, *a], [8, *a[rnd.randrange(10):]] if rnd.random() < 0.5 else [8, *b]
+        want = None
+        for need, most in ((5, S.BREAK), (S.SHORT_RUN, S.SHORT_RUN)):
+            steps = [(max(x, y), -min(x, y), x < y, x, y) for x in range(most + 1) for y in range(most + 1)
+                     if x + need <= len(a) and y + need <= len(b) and a[x:x + need] == b[y:y + need]]
+            want = want or (min(steps)[3:] if steps else None)
+        assert S._bridge(np.array(a, dtype="<u2"), np.array(b, dtype="<u2"), 5) == want
+
+
+def test_open_places_of_several_pieces():
+    """Against one place at a time."""
+    rnd, least = random.Random(16), 20
+    for _ in range(20):
+        sizes = [rnd.choice([0, 5, 19, 20, 21, 60, 90]) for _ in range(6)]
+        starts = np.cumsum([0, *sizes])[:-1].tolist()
+        words = np.array([rnd.randrange(9) for _ in range(sum(sizes))], dtype="<u2")
+        spots = [s + i for s, n in zip(starts, sizes, strict=True) for i in range(n) if rnd.random() < 0.25]
+        foreign = [p for p in spots if rnd.random() < 0.1]
+        covered = [(s + p, s + rnd.randint(p, n - least + 1)) for s, n in zip(starts, sizes, strict=True) if n >= least and rnd.random() < 0.5
+                   for p in [rnd.randint(0, n - least + 1)]]
+        for own in (False, True):
+            want = []
+            for s, n in zip(starts, sizes, strict=True):
+                for i in range(s, s + n - least + 1):
+                    windows = range(i, i + least - S.WORDS + 1 - S.WINDOW + 1)
+                    shared = all(any(p in spots for p in range(w, w + S.WINDOW)) for w in windows)
+                    mine = not any(p in foreign for p in range(i, i + least - S.WORDS + 1))
+                    if shared and mine == own and not any(p <= i < q for p, q in covered):
+                        want.append(i)
+            edges = tuple(np.array([c[k] for c in covered], dtype=np.int64) for k in (0, 1))
+            found, hashes = S.open_places(words, np.array(sizes), np.array(spots, dtype=np.int64), np.array(foreign, dtype=np.int64), edges, least, own)
+            assert found.tolist() == want
+            assert hashes.tolist() == [int(S.run_hashes(words[i:i + least], least)[0]) for i in want]

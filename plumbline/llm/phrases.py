@@ -52,6 +52,7 @@ HASH_BITS = 24
 CHUNK_WORDS = 1 << 20  # words that a task holds as numbers at once
 MANY_PHRASES = 1 << 20  # rows of a broadcast join side (one long each) at most
 NEVER = 255  # step of a phrase that has not reached the threshold
+_FIRST_BITS = 20  # of a hash, looked up in a table of bytes
 NULL_LANG = "und"
 
 # A-Z becomes a-z; . , ; : ! ? and line breaks become 0xFF, which no UTF-8 text holds; what splits words besides is space and tab
@@ -144,12 +145,32 @@ def phrase_hash(lang: str, words: list[bytes], bits: int = HASH_BITS) -> int:
 
 def _steps_of(reached: dict[int, tuple[np.ndarray, np.ndarray]], length: int, hashes: np.ndarray, bits: int) -> np.ndarray:
     """The step in which each phrase of ``length`` words reached the threshold."""
+    out = np.full(len(hashes), NEVER, dtype=np.uint8)
     keys, steps = reached.get(length, (np.empty(0, np.int32), np.empty(0, np.uint8)))
     if not len(keys):
-        return np.full(len(hashes), NEVER, dtype=np.int64)
+        return out
     short = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    # most phrases have not, which their first bits tell without a search
+    less = max(0, bits - _FIRST_BITS)
+    seen = np.zeros(1 << (bits - less), dtype=bool)
+    seen[keys >> less] = True
+    some = np.flatnonzero(seen[short >> less])
+    short = short[some]
     at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-    return np.where(keys[at] == short, steps[at].astype(np.int64), NEVER)
+    out[some] = np.where(keys[at] == short, steps[at], np.uint8(NEVER))
+    return out
+
+
+def _alike(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A number for each different phrase of ``length`` words that starts at the places ``at``."""
+    wide = int(ids.max()).bit_length()
+    code, used = ids[at], wide
+    for j in range(1, length):
+        if used + wide > 62:  # numbers of so many phrases take fewer bits than their words
+            code = pa.array(code).dictionary_encode().indices.to_numpy().astype(np.int64)
+            used = len(code).bit_length()
+        code, used = code << wide | ids[at + j], used + wide
+    return pa.array(code).dictionary_encode().indices.to_numpy()
 
 
 def _counted(chunk: Chunk, step: int, shards: int, reached: dict[int, tuple[np.ndarray, np.ndarray]], bits: int
@@ -172,31 +193,27 @@ def _counted(chunk: Chunk, step: int, shards: int, reached: dict[int, tuple[np.n
     places = np.flatnonzero(since < NEVER)  # starts of phrases of the present length that have
     hashes = own[ids[places]]
     since = since[places]
-    code = ids[places]  # a number for each different phrase
     for length in range(2, LONGEST + 1):
         if not len(places):
             return
         # the phrase without its first word must be there too
         first = np.flatnonzero(places[1:] == places[:-1] + 1)
-        active = np.maximum(since[first], since[first + 1]) + 1
-        first = first[active <= step]
-        active = active[active <= step]
-        last = ids[places[first] + length - 1]
-        alike = pa.array(code[first] << 32 | last).dictionary_encode().indices.to_numpy()
-        hashes = hashes[first] * _FACTOR + own[last]
+        active = np.maximum(since[first], since[first + 1]) + np.uint8(1)
+        if active.size and int(active.max()) > step:
+            first = first[active <= step]
+            active = active[active <= step]
         places = places[first]
-        now = (active + shards > step) & (places < starts)
-        if now.any():
-            mine = alike[now]
+        hashes = hashes[first] * _FACTOR + own[ids[places + (length - 1)]]
+        now = places[(active > step - shards) & (places < starts)]
+        if len(now):
+            mine = _alike(ids, now, length)
             count = np.bincount(mine)
-            some = np.flatnonzero(count)
             at = np.zeros(len(count), dtype=np.int64)
-            at[mine] = places[now]  # any place of a phrase tells its words
-            yield length, ids[at[some][:, None] + np.arange(length)], count[some]
-        code = alike.astype(np.int64)
+            at[mine] = now  # any place of a phrase tells its words
+            yield length, ids[at[:, None] + np.arange(length)], count
         since = np.maximum(_steps_of(reached, length, hashes, bits), active)
-        known = since < NEVER
-        places, hashes, code, since = places[known], hashes[known], code[known], since[known]
+        known = np.flatnonzero(since < NEVER)
+        places, hashes, since = places[known], hashes[known], since[known]
 
 
 _ENCODED = "shard int, langs array<string>, words array<string>, sizes array<int>, places long, starts long, ids binary"
@@ -333,7 +350,7 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     encode(rows, shards, chunk_words).write.parquet(f"{folder}/chunks", partitionBy="shard", compression="zstd")
     stored_chunks = spark.read.schema(_ENCODED).parquet(f"{folder}/chunks")
     reached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    deltas, newly = [], []
+    deltas, newly, large = [], [], []
     step, last = 0, -1
     columns = ["shard", "langs", "words", "sizes", "places", "starts", "ids"]
     shard = {s: stored_chunks.where(F.col("shard") == s).select(*columns) for s in range(shards)}
@@ -343,9 +360,10 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             shard[now] = stored(without_rare_words(shard[now], reached, bits), f"{folder}/frequent-{now}")
         counted = count_shard(shard[now], step, shards, reached, bits)
         deltas.append(stored(counted, f"{folder}/counts-{step}"))
+        large.append(stored(deltas[-1].where(F.col("f") * shards >= threshold).select("lang", "phrase"), f"{folder}/large-{step}"))
         # phrases counted in this step have all their counts in the last steps
         recent = _union([d.withColumn("step", F.lit(s)) for s, d in list(enumerate(deltas))[-shards:]])
-        often = recent.where(F.col("f") * shards >= threshold).select("lang", "phrase")
+        often = _union(large[-shards:])
         sums = _holding(recent, often).groupBy("lang", "phrase", "words").agg(
             F.sum("f").alias("f"), F.sum(F.when(F.col("step") == step, F.col("f")).otherwise(0)).alias("now"))
         new = stored(sums.where((F.col("f") >= threshold) & (F.col("f") - F.col("now") < threshold)).select("lang", "phrase", "words"), f"{folder}/reached-{step}")
@@ -355,7 +373,7 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         step += 1
     everything = _union(deltas)
     found = _holding(everything, _union(newly).select("lang", "phrase")).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    totals = everything.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = _union(deltas[:shards]).where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))  # words are counted in the first cycle
     return stored(found.where(F.col("f") >= threshold), f"{folder}/frequencies"), stored(totals, f"{folder}/totals")
 
 

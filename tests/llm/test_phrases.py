@@ -101,3 +101,34 @@ def test_phrases_of_a_chunk_are_counted_without_sorting(monkeypatch):
     got = {length: {tuple(p): c for p, c in zip(found.tolist(), counts.tolist(), strict=True)} for length, found, counts in phrases._counted(chunk, 1, 3, reached, phrases.HASH_BITS)}
     want = Counter(p for p in zip(numbers, numbers[1:]) if all(p))
     assert got == {1: {(n,): c for n, c in Counter(numbers).items() if n}, 2: dict(want)}
+
+
+def test_phrases_are_numbered_by_their_words():
+    """Also where the words' numbers take more bits than an integer has."""
+    rnd = random.Random(5)
+    for most in (3, 40, (1 << 21) - 1, (1 << 31) - 1):
+        few = [rnd.randint(max(1, most - 3), most) for _ in range(4)]
+        ids = phrases.np.array([rnd.choice(few) for _ in range(400)] + [0], dtype="int64")
+        at = phrases.np.arange(300)
+        for length in range(1, 6):
+            own = [tuple(ids[p:p + length].tolist()) for p in at.tolist()]
+            numbers = phrases._alike(ids, at, length).tolist()
+            assert len(set(zip(numbers, own, strict=True))) == len(set(own)) == len(set(numbers)) == max(numbers) + 1
+
+
+def test_phrases_that_are_not_counted_are_not_numbered(monkeypatch):
+    """Long after a phrase's cycle a step only passes over it."""
+    numbers = [1, 2, 3, 1, 2, 0] * 50
+    words = [b"a", b"b", b"c"]
+    chunk = phrases.Chunk(["en"], phrases.pa.array([w.decode() for w in words]), phrases.np.zeros(3, dtype="int64"), phrases.np.array(numbers, dtype="int64"), len(numbers))
+
+    def table(*some):
+        return phrases.np.array(sorted({phrases.phrase_hash("en", list(s)) for s in some}), dtype="int32")
+    reached = {1: (table(*[(w,) for w in words]), phrases.np.zeros(3, dtype="uint8")), 2: (table((b"a", b"b")), phrases.np.ones(1, dtype="uint8"))}
+    seen, number = [], phrases._alike
+    monkeypatch.setattr(phrases, "_alike", lambda ids, at, length: seen.append((length, len(at))) or number(ids, at, length))
+    assert [(n, found.tolist(), count.tolist()) for n, found, count in phrases._counted(chunk, 9, 3, reached, phrases.HASH_BITS)] == []
+    assert seen == []
+    ((length, found, count),) = phrases._counted(chunk, 3, 3, reached, phrases.HASH_BITS)
+    assert length == 2 and dict(zip(map(tuple, found.tolist()), count.tolist(), strict=True)) == {(1, 2): 100, (2, 3): 50, (3, 1): 50}
+    assert seen == [(2, 200)]

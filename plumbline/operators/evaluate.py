@@ -190,11 +190,14 @@ def evaluate_requests(requests: DataFrame, rules: Iterable[Rule], refs: Referenc
     rules = list(rules)
     by_name = {**{r.guid: r for r in rules}, **{r.id: r for r in rules}}
     keyed_requests = requests.withColumn("__id", F.coalesce("id", F.lit("")))
-    spark = requests.sparkSession
     source = map_source(F.col("params"))
-    names = spark.createDataFrame([(k, r.id, sorted(r.params), r.class_name) for k, r in by_name.items()],
-                                  "__id string, test_id string, __parameters array<string>, __class string")
-    known = with_default_params(keyed_requests.join(F.broadcast(names), "__id", "left"), parameters="__parameters", class_name="__class")  # one row per registered name
+    # one entry for each registered name; a join would become a nested loop where all requests ask for one literal id
+    names = F.map_from_arrays(F.array(*[F.lit(k) for k in by_name]).cast("array<string>"), F.array(*[
+        F.struct(F.lit(r.id).alias("test_id"), F.array(*[F.lit(p) for p in sorted(r.params)]).cast("array<string>").alias("parameters"), F.lit(r.class_name).alias("class"))
+        for r in by_name.values()]).cast("array<struct<test_id:string,parameters:array<string>,class:string>>"))
+    rule = F.try_element_at(names, F.col("__id"))
+    known = keyed_requests.withColumns({"test_id": rule["test_id"], "__parameters": rule["parameters"], "__class": rule["class"]})
+    known = with_default_params(known, parameters="__parameters", class_name="__class")
 
     pure = [r for r in rules if not r.needs]
     answer = (

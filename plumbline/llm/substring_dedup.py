@@ -21,7 +21,7 @@ Words are what stands between ASCII white space, A-Z lower-cased.
    of ``LEAST`` equal words are linked, directly or through others that hold the same run. Only runs without a window that lacks a shared seed can
    be shared; those of documents that are themselves the representative of all their seeds are kept only where another document's run asks for them.
 
-A document's seeds bound what one task holds; hot seeds and runs are rows of plain equi-joins of stored tables.
+A document's seeds bound what one task holds; hot seeds and runs are rows of plain equi-joins of stored tables. A step's shuffle files go once its rows are stored.
 
 Edge cases: null ids take no part, null and empty texts have no words. Of rows with one id the text with the smallest hash counts. Repeats
 within one document are not reported. An empty table gives an empty result. Long texts are read whole, a few rows at a time.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.batches import slices
-from plumbline.session import cut, ship_package
+from plumbline.session import cut_and_free, ship_package
 
 WORDS = 5
 WINDOW = 12
@@ -448,7 +448,7 @@ def _pairs(found: DataFrame, homes: DataFrame, seeds: int) -> DataFrame:
     """Matches of ``found(seed, id, at, first, ...)`` with the first place of each seed in ``homes(seed, other)``, by pair of stretches."""
     found = found.select("seed", "id", "at", "first")
     home = found.join(homes.withColumnRenamed("other", "id"), ["seed", "id"]).groupBy("seed", "id").agg(F.min(F.struct("at", "first")).alias("home"))
-    home = cut(home.select("seed", F.col("id").alias("other"), "home"))
+    home = cut_and_free(home.select("seed", F.col("id").alias("other"), "home"))
     matches = found.join(home, "seed").where("id <> other").select("id", "first", "other", F.col("home.first").alias("other_first"), "at", F.col("home.at").alias("other_at"))
     pairs = matches.groupBy("id", "first", "other", "other_first").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys"))
     return pairs.where(F.size("xs") >= seeds)
@@ -475,21 +475,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         one = texts.groupBy("id").agg(F.min(F.xxhash64("text")).alias("one"))
         texts = texts.join(one, "id").where(F.xxhash64("text") == F.col("one")).drop("one").dropDuplicates(["id"])
     found = _seeds(texts)
-    first = cut(_homes(found))
-    shared = cut(_in_stretches(found.join(first, "seed").select("seed", "id", "at", (F.col("id") == F.col("other")).alias("home"))))
+    first = cut_and_free(_homes(found))
+    shared = cut_and_free(_in_stretches(found.join(first, "seed").select("seed", "id", "at", (F.col("id") == F.col("other")).alias("home"))))
     wanted = shared.groupBy("id", "first").agg((F.max("at") + WORDS + MARGIN).alias("to"), F.collect_list("at").alias("ats"), F.collect_list("home").alias("homes"))
     wanted = wanted.withColumn("from", F.greatest(F.lit(0), F.col("first") - MARGIN))
     wanted = wanted.where(F.col("to") - F.col("first") >= least - REACH + MARGIN - REACH)  # shorter ones hold no passage
-    pieces = cut(_packed_words(texts).join(cut(wanted), "id").select(
+    pieces = cut_and_free(_packed_words(texts).join(cut_and_free(wanted), "id").select(
         "id", "first", "from", "ats", "homes", F.expr("substring(words, `from` * 2 + 1, (`to` - `from`) * 2)").alias("piece")))
 
-    near = cut(_passages(_chained(_pairs(shared, first, seeds), seeds), pieces, least, similar))
+    near = cut_and_free(_passages(_chained(_pairs(shared, first, seeds), seeds), pieces, least, similar))
     covered = near.groupBy("id", "first").agg(F.collect_list("runs").alias("runs"))
-    covered = cut(pieces.join(covered, ["id", "first"], "left"))
-    asking = cut(_open_runs(covered, least, False))
+    covered = pieces.join(covered, ["id", "first"], "left")
+    asking = cut_and_free(_open_runs(covered, least, False))
     asked = asking.select("seed").distinct()
     held = _open_runs(covered, least, True).join(F.broadcast(asked) if asked.count() <= MANY_RUNS else asked, "seed", "left_semi")
-    open_ = cut(asking.unionByName(held.select(*asking.columns)))
+    open_ = asking.unionByName(cut_and_free(held.select(*asking.columns)))
     rest = _passages(_chained(_pairs(open_, _homes(open_), 1), 1), pieces, least, similar)
     columns = ["id", "start", "end", "other", "other_start", "other_end", "similarity"]
     # chains of one pair may meet in a passage

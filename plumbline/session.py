@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(app: str = "plumbline", cores: str | int = "*", shuffle_partitions: int = 8,
                 driver_memory: str = "8g") -> SparkSession:
@@ -51,6 +53,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, and the shuffle files behind ``df`` are removed once it is written, not when the driver's garbage collector finds them.
+
+    Later steps read the written rows only. The setting holds for DataFrames made while it is set, so ``df`` is selected once more.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, None)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.unset(FREE_SHUFFLES) if before is None else conf.set(FREE_SHUFFLES, before)
+
+
 _SHIPPED: set[str] = set()
 
 

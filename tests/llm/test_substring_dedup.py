@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 from llm_fixtures import empty, odd
 
+from plumbline import session
 from plumbline.llm import substring_dedup as S
 
 
@@ -258,3 +260,40 @@ def test_open_places_of_several_pieces():
             found, hashes = S.open_places(words, np.array(sizes), np.array(spots, dtype=np.int64), np.array(foreign, dtype=np.int64), edges, least, own)
             assert found.tolist() == want
             assert hashes.tolist() == [int(S.run_hashes(words[i:i + least], least)[0]) for i in want]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_a_freed_step_leaves_no_shuffle_files(spark):
+    numbers = spark.range(1000).selectExpr("id % 7 n", "id").groupBy("n").sum("id")
+    kept = shuffle_files(spark)
+    out = session.cut_and_free(numbers)
+    until = time.time() + 20
+    while shuffle_files(spark) - kept and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - kept
+    assert spark.conf.get(session.FREE_SHUFFLES, None) in (None, "false")
+    assert sorted(r.n for r in out.collect()) == list(range(7)) and numbers.count() == 7  # what was freed is made again when asked for
+
+
+def test_words_are_stored_once_and_steps_freed(spark, monkeypatch):
+    steps, files = [], []
+
+    def watched(df):
+        before = shuffle_files(spark)
+        out = session.cut_and_free(df)
+        steps.append(df.columns)
+        files.append(before)
+        return out
+    monkeypatch.setattr(S, "cut_and_free", watched)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in corpus().items()], "doc_id long, text string")
+    found = S.repeated_passages(docs)
+    until = time.time() + 20
+    while len(shuffle_files(spark) - files[0]) > 20 and time.time() < until:
+        time.sleep(0.2)
+    assert sum("piece" in s for s in steps) == 1
+    assert len(shuffle_files(spark) - files[0]) <= 20  # of two counts between the steps
+    assert found.count() >= 3

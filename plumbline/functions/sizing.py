@@ -25,3 +25,8 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast for a table that :func:`is_small`; else leave the choice to the optimizer."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def stored_bytes(stored: DataFrame) -> int:
+    """Bytes of the files of a table that was just read back, as its scan knows them from listing them."""
+    return int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

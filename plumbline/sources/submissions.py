@@ -126,7 +126,8 @@ def _isolated_rows(content: str) -> Iterator[tuple[int, dict[str, str] | None, s
         yield -1, None, f"{type(error).__name__}: {error}"
 
 
-def submission_rows(messages: DataFrame, id_column: str = "messageId", content: str = "content", problems: bool = False) -> DataFrame:
+def submission_rows(messages: DataFrame, id_column: str = "messageId", content: str = "content", problems: bool = False,
+                    spread: bool = True) -> DataFrame:
     """(id, line, values): the rows of each message's table as a map from prefixed column to text.
 
     ``problems`` adds what could not be taken, as rows without values: column ``problem`` holds a row with more cells than
@@ -134,7 +135,7 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
 
     Tables with different headers stay in one DataFrame. A message is bounded by the mail size limit, so
     one task parses it whole. Messages are spread over tasks by id first, because parsing costs more than
-    moving them and they tend to arrive packed into few files.
+    moving them and they tend to arrive packed into few files; without ``spread`` they are parsed where they are read.
     """
     ship_package(messages.sparkSession)
 
@@ -168,5 +169,5 @@ def submission_rows(messages: DataFrame, id_column: str = "messageId", content:
             yield batch_of_rows()
 
     chosen = messages.select(F.col(id_column).cast("string").alias("id"), F.col(content).alias("content")).filter(F.col("content").isNotNull())
-    rows = chosen.repartition("id").mapInArrow(parse, "id string, line long, values map<string,string>, problem string")
+    rows = (chosen.repartition("id") if spread else chosen).mapInArrow(parse, "id string, line long, values map<string,string>, problem string")
     return rows if problems else rows.where("problem IS NULL").drop("problem")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import reduce
 
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
+from plumbline.functions.sizing import stored_bytes
 from plumbline.functions.text import blank
 from plumbline.operators.amend import amend_maps
 from plumbline.operators.catalogue import context_of
@@ -52,13 +55,13 @@ class EarliestOfThread(StatefulProcessor):
         self._earliest = handle.getValueState("earliest", "at string, id string")
 
     def handleInputRows(self, key, rows, timerValues):
-        found = pd.concat(list(rows), ignore_index=True)  # of one thread in one micro-batch
-        places = list(zip(found["at"].fillna(""), found["id"].fillna(""), strict=True))
-        best, known = min(places), self._earliest.get() if self._earliest.exists() else None
+        found = list(rows)  # of one thread in one micro-batch
+        places = [(r["at"] or "", r["id"] or "") for r in found]
+        best, known = min(places), self._earliest.get()
         if known is None or best < tuple(known):
             self._earliest.update(best)
-        found["first"] = [p == best and (known is None or p <= tuple(known)) for p in places]
-        yield found[["payload", "first"]]
+        for r, place in zip(found, places, strict=True):
+            yield Row(payload=r["payload"], first=place == best and (known is None or place <= tuple(known)))
 
     def close(self) -> None:
         pass
@@ -83,6 +86,11 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partitions, but not many more than cores."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))
+
+
 def once_per_thread(stream: DataFrame) -> DataFrame:
     """Messages by id once, with ``first_of_thread``: whether a message is the earliest of its thread so far.
 
@@ -95,9 +103,10 @@ def once_per_thread(stream: DataFrame) -> DataFrame:
     once = dedupe_submissions(named).select(
         F.when(col_has("threadId"), F.col("threadId")).otherwise(F.concat(F.lit("message "), F.col("messageId"))).alias("thread"),
         F.col("receivedAt").alias("at"), F.col("messageId").alias("id"), F.to_json(F.struct(*stream.columns)).alias("payload"))
-    told = once.groupBy("thread").transformWithStateInPandas(EarliestOfThread(), "payload string, first boolean", "append", "none")
+    told = once.groupBy("thread").transformWithState(EarliestOfThread(), "payload string, first boolean", "append", "none")
     read = told.select(F.from_json("payload", schema).alias("m"), F.col("first").alias(FIRST)).select("m.*", FIRST)
-    return read.unionByName(stream.where(~col_has("messageId")).withColumn(FIRST, F.lit(True)))
+    nameless = stream.where(~col_has("messageId")).withColumn(FIRST, F.lit(True))
+    return read.unionByName(nameless.coalesce(_state_partitions(stream.sparkSession)))
 
 
 def col_has(name: str) -> Column:
@@ -131,64 +140,106 @@ _REASON = ["messageId", "threadId", "receivedAt", "reason"]
 PROCESSED = "processed"
 COMMIT = "batch_id int, tables array<string>, messages bigint, processed bigint"
 CURATED_ROWS = 500  # of each run, as in the report of a single run
+TABLES = ["intake", "no_attachment", "parsed", "rejected", "results", "left_out", "amended", "summary", "curated", "outcome", "dead_letter"]
 
+# A batch whose stored messages have at most so many bytes is run with one task for each step: groupings and joins then need no exchange, joins build no
+# broadcast and expressions are not compiled, which would take longer than their rows. A larger one is dealt over the tasks that adaptive plans choose.
+ONE_TASK = 1024 * 1024
+ADAPTIVE = {"spark.sql.adaptive.enabled": "true"}  # a stream turns it off for its state; what a run does is read from files
+IN_ONE_TASK = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+SIDE_BY_SIDE = 8  # steps at once
 
-def process_batch(out: str, rules: Iterable[Rule], refs: References | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that does a whole run for every submission of a micro-batch, all together.
 
-    Writes below ``out``, each in the folder of its batch and with ``run_id`` (the message id) as leading key: ``parsed`` (the original rows), ``results``,
-    ``amended`` (all rows after the amendments), ``summary`` (one row for each run), ``curated`` (first rows of each run with the texts of their
-    test), ``no_attachment``, ``dead_letter``, ``rejected`` (rows of tables that could not be taken), ``left_out`` (rules that were not run: their reference table
-    is not given, or they raised) and ``outcome`` with one row for every message: processed, reply, no attachment, unreadable, no identifier, no
-    rule that applies, or failed. ``commits`` is written last; :func:`committed` reads only batches that are there, so a batch is seen whole or not at
-    all. A batch that is committed is not run again; one that is not replaces its own folders.
-    """
-    chosen, refs = list(rules), refs or References()
-    runnable = [r for r in chosen if r.type != "Measure" and r.columns and not missing_tables(r, refs)]
-    waiting = [(r.id, "reference table not given: " + ",".join(missing_tables(r, refs))) for r in chosen if missing_tables(r, refs)]
+class Batches:
+    """The two halves of :func:`process_batch`: taking the messages of a micro-batch, and the runs over what was taken."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        # a stream turns adaptive plans off for its state; what is done here is read from files and must not take every state partition's task
-        with _settings(batch.sparkSession, {"spark.sql.adaptive.enabled": "true"}):
-            run_batch(batch, batch_id)
+    def __init__(self, out: str, rules: Iterable[Rule], refs: References | None = None) -> None:
+        self.out, self.chosen, self.refs = out, list(rules), refs or References()
+        self.runnable = [r for r in self.chosen if r.type != "Measure" and r.columns and not missing_tables(r, self.refs)]
+        self.waiting = [(r.id, "reference table not given: " + ",".join(missing_tables(r, self.refs))) for r in self.chosen if missing_tables(r, self.refs)]
+        self._own: SparkSession | None = None
 
-    def run_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        folder = f"batch_id={batch_id}"
-        if is_committed(spark, out, batch_id):
-            return
-        tables = []
+    def _path(self, name: str, batch_id: int) -> str:
+        return f"{self.out}/{name}/batch_id={batch_id}"
+
+    def take(self, batch: DataFrame, batch_id: int) -> StructType:
+        """Store the messages; returns their schema."""
+        first = batch if FIRST in batch.columns else batch.withColumn(FIRST, F.lit(True))
+        messages = extract_attachments(first)
+        with _settings(batch.sparkSession, ADAPTIVE):
+            messages.write.mode("overwrite").parquet(self._path("intake", batch_id))
+        return messages.schema
+
+    def _session(self, spark: SparkSession) -> SparkSession:
+        """A session of the runs with the settings of ``spark``, since a stream plans its next batch in ``spark`` meanwhile."""
+        if self._own is None:
+            self._own = spark.newSession()
+            for k, v in spark.conf.getAll.items():
+                if spark.conf.isModifiable(k):
+                    self._own.conf.set(k, v)
+            for k, v in ADAPTIVE.items():
+                self._own.conf.set(k, v)
+        return self._own
+
+    def finish(self, spark: SparkSession, batch_id: int, schema: StructType | None = None) -> None:
+        """The runs over the messages that were stored, and the commit."""
+        spark = self._session(spark)
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        messages = reader.parquet(self._path("intake", batch_id))
+        little = stored_bytes(messages) <= ONE_TASK
+
+        def read(path: str, schema: StructType | None = None) -> DataFrame:
+            table = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+            return table.coalesce(1) if little else table
 
         def store(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{out}/{name}/{folder}")
-            tables.append(name)
-            return spark.read.schema(df.schema).parquet(f"{out}/{name}/{folder}")
+            df.write.mode("overwrite").parquet(self._path(name, batch_id))
+            return read(self._path(name, batch_id), df.schema)
 
-        first = batch if FIRST in batch.columns else batch.withColumn(FIRST, F.lit(True))
-        messages = store(extract_attachments(first), "intake")
         bad = F.col(CORRUPT).isNotNull()
         top = is_top_level() & F.col(FIRST)
         # a message without an id is told apart by its content
-        messages = messages.withColumn("run_id", F.when(col_has("messageId"), F.col("messageId")).otherwise(
+        messages = (messages.coalesce(1) if little else messages).withColumn("run_id", F.when(col_has("messageId"), F.col("messageId")).otherwise(
             F.concat(F.lit("no id "), F.sha2(F.to_json(F.struct(*messages.columns)), 256))))
         fine, empty = route(messages.filter(~bad & top))
-        store(empty.select(*_REASON[:3], F.lit("no attachment").alias("reason")), "no_attachment")
-
-        # The parsed rows are read once per key set, so they are stored and each message is parsed once.
-        parsed = store(submission_rows(fine, "run_id", problems=True).withColumnRenamed("id", "run_id"), "parsed")
-        store(parsed.where("problem IS NOT NULL").select("run_id", "line", "problem"), "rejected")
-        rows = parsed.where("problem IS NULL").drop("problem")
-        raised = write_map_tests(rows, runnable, ["run_id"], f"{out}/results/{folder}", refs)
-        tables.append("results")
-        results = spark.read.parquet(f"{out}/results/{folder}")
-        store(spark.createDataFrame(waiting + raised, "test_id string, reason string"), "left_out")
-        store(amend_maps(rows, results, runnable, ["run_id"]), "amended")
-        store(run_summary(results, keys=["run_id"], records=rows.groupBy("run_id").agg(F.count("*").alias("n"))), "summary")
-        store(curated(results, context_of(catalogue_of(spark, chosen)), CURATED_ROWS, keys=["run_id"]), "curated")
 
+        def set_aside(parsed: DataFrame) -> DataFrame:
+            outcome = store(self._outcomes(messages, parsed, bad, top), "outcome")
+            store(outcome.where(~F.col("reason").isin(PROCESSED, "reply", "no attachment")).select(*_REASON), "dead_letter")
+            return outcome
+
+        # steps that do not read each other's tables run side by side
+        with _settings(spark, IN_ONE_TASK if little else {}), ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            def start(step: Callable, *given) -> Future:
+                return pool.submit(inheritable_thread_target(spark)(step), *given)
+
+            steps = [start(lambda: store(empty.select(*_REASON[:3], F.lit("no attachment").alias("reason")), "no_attachment"))]
+            # The parsed rows are read once per key set, so they are stored and each message is parsed once.
+            parsed = store(submission_rows(fine, "run_id", problems=True, spread=not little).withColumnRenamed("id", "run_id"), "parsed")
+            outcome = start(set_aside, parsed)
+            steps.append(start(lambda: store(parsed.where("problem IS NOT NULL").select("run_id", "line", "problem"), "rejected")))
+            rows = parsed.where("problem IS NULL").drop("problem")
+            raised = write_map_tests(rows, self.runnable, ["run_id"], self._path("results", batch_id), self.refs)
+            results = read(self._path("results", batch_id))
+            counted = rows.groupBy("run_id").agg(F.count("*").alias("n"))
+            catalogue = catalogue_of(spark, self.chosen)
+            context = context_of(catalogue.coalesce(1) if little else catalogue)
+            left_out = spark.createDataFrame(self.waiting + raised, "test_id string, reason string").coalesce(1)
+            steps += [
+                start(lambda: store(amend_maps(rows, results, self.runnable, ["run_id"]), "amended")),
+                start(lambda: store(run_summary(results, keys=["run_id"], records=counted), "summary")),
+                start(lambda: store(curated(results, context, CURATED_ROWS, keys=["run_id"]), "curated")),
+                start(lambda: store(left_out, "left_out"))]
+            total = outcome.result().agg(F.count("*").alias("messages"), F.count_if(F.col("reason") == PROCESSED).alias("processed"))
+            commit = total.select(F.array(*[F.lit(t) for t in TABLES]).alias("tables"), "messages", "processed")
+            for step in steps:
+                step.result()
+            commit.write.mode("overwrite").parquet(self._path("commits", batch_id))
+
+    def _outcomes(self, messages: DataFrame, parsed: DataFrame, bad: Column, top: Column) -> DataFrame:
         has = [F.map_contains_key("values", F.lit(c)) for c in ("dwc:occurrenceID", "dwc:taxonID")]
         applies = F.lit(False)
-        for keys in {r.columns for r in runnable}:
+        for keys in {r.columns for r in self.runnable}:
             applies = applies | reduce(lambda a, b: a & b, [F.map_contains_key("values", F.lit(k)) for k in keys])
         per_run = parsed.groupBy("run_id").agg(
             F.count("values").alias("n"), F.bool_or(F.coalesce(has[0] | has[1], F.lit(False))).alias("core"),
@@ -203,15 +254,88 @@ def process_batch(out: str, rules: Iterable[Rule], refs: References | None = Non
             .when(~F.col("applies"), F.when(F.col("core"), "no rule applies").otherwise("no identifier column"))
             .otherwise(PROCESSED)
         )
-        outcome = store(messages.join(per_run, "run_id", "left").withColumn("reason", reason).select("run_id", *_REASON), "outcome")
-        store(outcome.where(~F.col("reason").isin(PROCESSED, "reply", "no attachment")).select(*_REASON), "dead_letter")
-        total = outcome.agg(F.count("*").alias("messages"), F.count_if(F.col("reason") == PROCESSED).alias("processed"))
-        commit = total.select(F.array(*[F.lit(t) for t in tables]).alias("tables"), "messages", "processed")
-        commit.write.mode("overwrite").parquet(f"{out}/commits/{folder}")
+        return messages.join(per_run, "run_id", "left").withColumn("reason", reason).select("run_id", *_REASON)
+
+
+def process_batch(out: str, rules: Iterable[Rule], refs: References | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that does a whole run for every submission of a micro-batch, all together.
+
+    Writes below ``out``, each in the folder of its batch and with ``run_id`` (the message id) as leading key: ``parsed`` (the original rows), ``results``,
+    ``amended`` (all rows after the amendments), ``summary`` (one row for each run), ``curated`` (first rows of each run with the texts of their
+    test), ``no_attachment``, ``dead_letter``, ``rejected`` (rows of tables that could not be taken), ``left_out`` (rules that were not run: their reference table
+    is not given, or they raised) and ``outcome`` with one row for every message: processed, reply, no attachment, unreadable, no identifier, no
+    rule that applies, or failed. ``commits`` is written last; :func:`committed` reads only batches that are there, so a batch is seen whole or not at
+    all. A batch that is committed is not run again; one that is not replaces its own folders.
+    """
+    batches = Batches(out, rules, refs)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if not is_committed(batch.sparkSession, out, batch_id):
+            batches.finish(batch.sparkSession, batch_id, batches.take(batch, batch_id))
 
     return run
 
 
+class RunsBeside:
+    """:func:`process_batch` for a stream: the runs of one batch go on while the next one is taken; at most one batch is behind.
+
+    An error of the runs ends the stream with the next batch, or is raised by :meth:`wait`. What was taken and not run then, or when the driver was
+    lost, is run by :meth:`resume`.
+    """
+
+    def __init__(self, batches: Batches) -> None:
+        self._batches, self._pool, self._last = batches, ThreadPoolExecutor(1), None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if is_committed(spark, self._batches.out, batch_id):
+            return
+        schema = self._batches.take(batch, batch_id)
+        self.wait()
+        self._last = self._pool.submit(self._batches.finish, spark, batch_id, schema)
+
+    def wait(self) -> None:
+        """Until the runs of every batch that was taken have ended."""
+        last, self._last = self._last, None
+        if last is not None:
+            last.result()
+
+    def resume(self, spark: SparkSession, checkpoint: str) -> None:
+        """The runs of batches that the stream has done with and that are not committed."""
+        out = self._batches.out
+        stored, done = (_read_if_there(spark, f"{out}/{name}", schema) for name, schema in (("intake", "messageId string, batch_id int"), ("commits", COMMIT)))
+        if stored is None:
+            return
+        ids = stored.select("batch_id").distinct()
+        for row in sorted((ids if done is None else ids.join(done, "batch_id", "left_anti")).collect()):
+            if _is_there(spark, f"{checkpoint}/commits/{row.batch_id}"):
+                self._batches.finish(spark, row.batch_id)
+
+
+class Intake(StreamingQuery):
+    """A running intake; :meth:`awaitTermination` returns when its runs have ended too."""
+
+    def __init__(self, query: StreamingQuery, runs: RunsBeside) -> None:
+        super().__init__(query._jsq)
+        self._runs = runs
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        ended = super().awaitTermination(timeout)
+        if ended is not False:
+            self._runs.wait()
+        return ended
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The table at ``path``; None if there is no such folder. Any other error is one."""
     try:
@@ -234,17 +358,21 @@ def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
     return stored.where("false") if done is None else stored.join(F.broadcast(done.select("batch_id")), "batch_id", "left_semi")
 
 
-def start_intake(stream: DataFrame, out: str, checkpoint: str, rules: Iterable[Rule], once: bool = False, refs: References | None = None) -> StreamingQuery:
+def start_intake(stream: DataFrame, out: str, checkpoint: str, rules: Iterable[Rule], once: bool = False, refs: References | None = None) -> Intake:
     """Run the intake over each micro-batch. ``once`` handles what is there and stops.
 
+    The runs of a batch go on while the next one is taken (:class:`RunsBeside`), so wait for the end with ``awaitTermination`` of what is returned.
+
     A batch opens and commits every partition of the state, and lists each of its files; both are dealt over the cores there are, not over as
     many tasks as a large shuffle would take. The session's own number of shuffle partitions holds for the runs themselves.
     """
     spark = stream.sparkSession
+    runs = RunsBeside(Batches(out, rules, refs))
+    runs.resume(spark, checkpoint)
     spark.conf.set(*STATE_STORE)
     shuffles = spark.conf.get("spark.sql.shuffle.partitions")
-    few = str(min(int(shuffles), max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)))
+    few = str(_state_partitions(spark))
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", few)  # the source reads it from this session with each batch
     with _settings(spark, {"spark.sql.shuffle.partitions": few, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": shuffles}):
-        writer = once_per_thread(stream).writeStream.foreachBatch(process_batch(out, rules, refs)).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start()
+        writer = once_per_thread(stream).writeStream.foreachBatch(runs).option("checkpointLocation", checkpoint)
+        return Intake((writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start(), runs)

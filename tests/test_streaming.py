@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import threading
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -270,3 +271,78 @@ def test_intake_deals_its_state_over_the_cores(spark, tmp_path):
     assert 0 < len([p for p in (state / "state" / "0").iterdir() if p.name.isdigit()]) <= most
     assert sorted(r.reason.split(":")[0] for r in spark.read.parquet(f"{out}/outcome").collect()) == ["invalid JSON", "invalid JSON", "no attachment", "processed"]
     assert len(list((tmp_path / "out" / "results").rglob("*.parquet"))) <= most  # the runs of a batch are planned by what is there
+
+
+def stored_tables(spark, out):
+    """Rows of each table of an intake, as texts in order."""
+    return {t: sorted(str(r) for r in intake.committed(spark, out, t).collect()) for t in intake.TABLES}
+
+
+def test_a_small_batch_is_run_with_few_jobs(spark, tmp_path, monkeypatch):
+    tables = ["occurrenceID,country,countryCode\n1,France,\n2,France,FR\n3,,FR\n", "taxonID,taxonRank\n1,species\n", "occurrenceID,country\n1,a,LOST\n", "x,y\n1,2\n"]
+    sent = [message(i, [attachment("t.csv", "", encode(tables[i % 4]))] if i % 5 else [], reply="<x>" if i % 7 == 0 else None) for i in range(30)]
+    rules = [*RULES, *whole_run_rules()]
+    lines = [*(json.dumps(m) for m in sent), "{broken", json.dumps({**sent[1], "messageId": None})]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "in"))
+    messages = intake.parse_messages(spark.read.text(str(tmp_path / "in")))
+    seen = {}
+    for name, most in (("small", None), ("dealt", 0)):
+        if most is not None:
+            monkeypatch.setattr(intake, "ONE_TASK", most)
+        spark.sparkContext.setJobGroup(f"batch {name}", "")
+        try:
+            intake.process_batch(str(tmp_path / name), rules)(messages, 0)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        seen[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch {name}"))
+    assert stored_tables(spark, str(tmp_path / "small")) == stored_tables(spark, str(tmp_path / "dealt"))
+    assert {r.reason for r in intake.committed(spark, str(tmp_path / "small"), "outcome").collect()} >= {"processed", "reply", "no attachment", "invalid JSON: {broken"}
+    assert seen["small"] < 30 < seen["dealt"], seen
+
+
+def test_runs_go_on_beside_the_next_poll(spark, tmp_path, monkeypatch):
+    good = [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,France,FR\n"))]
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox.mkdir()
+    steps, lock, taken = [], threading.Lock(), threading.Event()
+    take, finish = intake.Batches.take, intake.Batches.finish
+
+    def noted(what, step, batch_id, *given):
+        got = step(*given)
+        with lock:
+            steps.append((what, batch_id))
+        return got
+
+    def slow_finish(self, spark, batch_id, schema=None):
+        assert batch_id or taken.wait(120)  # the first runs end only after the second poll is taken
+        noted("run", finish, batch_id, self, spark, batch_id, schema)
+
+    def noted_take(self, batch, batch_id):
+        got = noted("taken", take, batch_id, self, batch, batch_id)
+        if batch_id == 1:
+            taken.set()
+        return got
+
+    def run():
+        intake.start_intake(intake.stream_submissions(spark, str(inbox), max_files=1), out, state, RULES, once=True).awaitTermination()
+
+    monkeypatch.setattr(intake.Batches, "finish", slow_finish)
+    monkeypatch.setattr(intake.Batches, "take", noted_take)
+    for i in range(3):
+        (inbox / f"{i}.json").write_text(json.dumps(message(i, good), indent=1))
+    run()
+    assert steps.index(("taken", 1)) < steps.index(("run", 0)) < steps.index(("run", 1)) < steps.index(("run", 2)) and len(steps) == 6
+    assert outcomes(spark, out) == [(f"m{i}", "processed") for i in range(3)]
+    assert intake.committed(spark, out, "results").count() == spark.read.parquet(f"{out}/results").count() > 0
+
+    (inbox / "3.json").write_text(json.dumps(message(3, good), indent=1))
+    with monkeypatch.context() as m:
+        m.setattr(intake, "curated", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):  # the error of the last runs is not lost with the stream's end
+            run()
+    assert intake.committed(spark, out, "outcome").count() == 3
+    run()  # nothing new, but what was taken is run
+    assert intake.committed(spark, out, "outcome").count() == 4 and steps[-1] == ("run", 3)
+    before = len(steps)
+    run()
+    assert len(steps) == before

@@ -279,12 +279,14 @@ def process_batch(out: str, rules: Iterable[Rule], refs: References | None = Non
 class RunsBeside:
     """:func:`process_batch` for a stream: the runs of one batch go on while the next one is taken; at most one batch is behind.
 
-    An error of the runs ends the stream with the next batch, or is raised by :meth:`wait`. What was taken and not run then, or when the driver was
-    lost, is run by :meth:`resume`.
+    An error of the runs stops the stream and is raised by :meth:`wait`. What was taken and not run then, or when the driver was lost, is run by
+    :meth:`resume`.
     """
 
     def __init__(self, batches: Batches) -> None:
-        self._batches, self._pool, self._last = batches, ThreadPoolExecutor(1), None
+        self._batches = batches
+        self._last: Future | None = None
+        self.stop_stream: Callable[[], None] | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -292,13 +294,19 @@ class RunsBeside:
             return
         schema = self._batches.take(batch, batch_id)
         self.wait()
-        self._last = self._pool.submit(self._batches.finish, spark, batch_id, schema)
+        pool = ThreadPoolExecutor(1)
+        self._last = pool.submit(self._batches.finish, spark, batch_id, schema)
+        self._last.add_done_callback(self._ended)
+        pool.shutdown(wait=False)  # its thread ends with the runs
+
+    def _ended(self, runs: Future) -> None:
+        if runs.exception() is not None and self.stop_stream is not None:
+            self.stop_stream()
 
     def wait(self) -> None:
         """Until the runs of every batch that was taken have ended."""
-        last, self._last = self._last, None
-        if last is not None:
-            last.result()
+        if self._last is not None:
+            self._last.result()
 
     def resume(self, spark: SparkSession, checkpoint: str) -> None:
         """The runs of batches that the stream has done with and that are not committed."""
@@ -317,7 +325,7 @@ class Intake(StreamingQuery):
 
     def __init__(self, query: StreamingQuery, runs: RunsBeside) -> None:
         super().__init__(query._jsq)
-        self._runs = runs
+        self._runs, runs.stop_stream = runs, query.stop
 
     def awaitTermination(self, timeout: int | None = None) -> bool | None:
         ended = super().awaitTermination(timeout)
@@ -325,6 +333,10 @@ class Intake(StreamingQuery):
             self._runs.wait()
         return ended
 
+    def stop(self) -> None:
+        super().stop()
+        self._runs.wait()
+
 
 def _is_there(spark: SparkSession, path: str) -> bool:
     try:

@@ -346,3 +346,17 @@ def test_runs_go_on_beside_the_next_poll(spark, tmp_path, monkeypatch):
     before = len(steps)
     run()
     assert len(steps) == before
+
+
+def test_failing_runs_stop_the_stream(spark, tmp_path, monkeypatch):
+    drop, run, out = feed(spark, tmp_path)
+    drop("a", message(1, [attachment("t.csv", "", encode("occurrenceID,country,countryCode\n1,France,FR\n"))]))
+    with monkeypatch.context() as m:
+        m.setattr(intake, "curated", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        query = intake.start_intake(intake.stream_submissions(spark, str(tmp_path / "in")), out, str(tmp_path / "state"), RULES)
+        with pytest.raises(RuntimeError):  # though no other message comes
+            query.awaitTermination(180)
+        assert not query.isActive
+    assert intake.committed(spark, out, "outcome").count() == 0
+    run()
+    assert outcomes(spark, out) == [("m1", "processed")] and intake.committed(spark, out, "curated").count() == spark.read.parquet(f"{out}/curated").count()
